@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,6 +113,39 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
+def map_groups(df: DataFrame, keys: list[str], process: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """Run ``process(table, starts)`` on sorted runs of whole groups; ``starts`` holds where each group begins, and the end.
+
+    For groups of bounded size, which callers see to: rows are dealt and sorted by the keys, and a task holds one Arrow
+    batch and the group that the next batch may continue.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def starts_of(t: pa.Table) -> np.ndarray:
+            new = np.zeros(t.num_rows, bool)
+            new[:1] = True
+            for k in keys:
+                values = t.column(k).to_numpy()
+                new[1:] |= values[1:] != values[:-1]
+            return np.flatnonzero(new)
+
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            table = part if held is None else pa.concat_tables([held, part]).combine_chunks()
+            if not table.num_rows:
+                continue
+            starts = starts_of(table)
+            held = table.slice(starts[-1])
+            if len(starts) > 1 and (out := process(table.slice(0, starts[-1]), starts)) is not None:
+                yield out
+        if held is not None and held.num_rows and (out := process(held.combine_chunks(), np.array([0, held.num_rows]))) is not None:
+            yield out
+
+    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def crc_mod(column: Column | str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo ``modulus``: the fold of a row."""
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % modulus
