@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_join, slot_sharding, suffix_dedup, url_cascade
+from . import epsilon_grid, minhash_join, slot_sharding, suffix_dedup, url_cascade
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,12 @@ def op8_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slot_sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epsilon_grid.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op9_epsilon_grid": op9_epsilon_grid,
     "op1_suffix_dedup": op1_suffix_dedup,
     "op4_minhash_join": op4_minhash_join,
     "op6_url_cascade": op6_url_cascade,
