@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import epsilon_grid, minhash_join, slot_sharding, suffix_dedup, url_cascade
+from . import backoff_lm, epsilon_grid, minhash_join, slot_sharding, suffix_dedup, url_cascade
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op4_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), words=3, part=85, whole=100)
 
 
+def op5_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -32,6 +36,7 @@ def op9_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_backoff_lm": op5_backoff_lm,
     "op9_epsilon_grid": op9_epsilon_grid,
     "op1_suffix_dedup": op1_suffix_dedup,
     "op4_minhash_join": op4_minhash_join,
