@@ -183,7 +183,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, part: int = 80, whole: int
     near = materialise(connected_components(candidates), "candidate-groups")
 
     sized = near.join(near.groupBy("component").agg(F.count("*").alias("members")), "component")
-    members = texts.join(sized.withColumnRenamed("node", "doc_id"), "doc_id").select("component", "members", F.col("doc_id").alias("rep"), "text")
+    # neither side has a bounded size: the plan is the same for a small table as for a large one
+    members = texts.join(sized.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").select("component", "members", F.col("doc_id").alias("rep"), "text")
     blocks = in_blocks(members, ["component"], "members", GROUP_BLOCK, "rep")
     links = materialise(map_groups(blocks, ["component", "pair"], lambda t, s: _settle(t, s, words, part, whole), "a long, b long").distinct(), "links")
     groups = connected_components(links, "links")
