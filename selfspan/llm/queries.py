@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff_lm, epsilon_grid, minhash_join, slot_sharding, suffix_dedup, url_cascade
+from . import backoff_lm, decontam, epsilon_grid, minhash_join, mixing, slot_sharding, suffix_dedup, toxicity, url_cascade
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op2_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), words=3, part=85, whole=100)
 
@@ -27,6 +31,10 @@ def op6_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slot_sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -35,7 +43,14 @@ def op9_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epsilon_grid.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op10_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op2_temperature_mix": op2_temperature_mix,
+    "op7_template_decontam": op7_template_decontam,
+    "op10_levenshtein_toxicity": op10_levenshtein_toxicity,
     "op5_backoff_lm": op5_backoff_lm,
     "op9_epsilon_grid": op9_epsilon_grid,
     "op1_suffix_dedup": op1_suffix_dedup,
