@@ -126,3 +126,18 @@ def mix_sources(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPE
     used = schedule(rows, plan, ["doc_id", "h"], seed)
     share = plan.select(F.col("source").alias("of"), "weight")
     return used.join(share, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "tokens", "weight", "epoch", "block", F.xxhash64(F.lit(seed + 1), "block", "shuffled").alias("place"))
+
+
+def resample(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, seed: int = 0) -> DataFrame:
+    """``docs`` with every row as often as the schedule uses it (at least once), all columns kept.
+
+    The schedule is made over ids and token counts; texts are dealt out once, to meet their number of uses. Rows with
+    equal doc_id, source and text are one document and used together.
+    """
+    keyed = docs.withColumn("mix_key", F.xxhash64("doc_id", "text"))
+    rows = materialise(keyed.groupBy("doc_id", "mix_key", "source").agg(F.first(token_count()).alias("tokens")), "mix-tokens")
+    plan = materialise(plan_of(rows, entropy, repeats)[0], "mix-plan")
+    uses = schedule(rows, plan, ["doc_id", "mix_key"], seed).groupBy("doc_id", "mix_key", "source").agg(F.count("*").cast("int").alias("mix_uses"))
+    d, u = keyed.alias("d"), uses.hint("merge").alias("u")
+    joined = d.join(u, (F.col("d.mix_key") == F.col("u.mix_key")) & F.col("d.doc_id").eqNullSafe(F.col("u.doc_id")) & F.col("d.source").eqNullSafe(F.col("u.source")))
+    return joined.select("d.*", F.explode(F.sequence(F.lit(1), F.col("u.mix_uses"))).alias("mix_use")).select(*[F.col(c) for c in docs.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff_lm, decontam, epsilon_grid, minhash_join, mixing, slot_sharding, suffix_dedup, toxicity, url_cascade
+from . import backoff_lm, decontam, epsilon_grid, minhash_join, mixing, slot_sharding, suffix_dedup, token_counts, toxicity, url_cascade
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.sample_revision())
+
+
 def op4_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), words=3, part=85, whole=100)
 
@@ -48,6 +52,7 @@ def op10_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_edit_token_counts": op3_edit_token_counts,
     "op2_temperature_mix": op2_temperature_mix,
     "op7_template_decontam": op7_template_decontam,
     "op10_levenshtein_toxicity": op10_levenshtein_toxicity,

@@ -19,8 +19,9 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_long, crc_mod, materialise, mix, shingle_set, word_hashes
 
@@ -184,7 +185,13 @@ def _features(batches: Iterator[pa.RecordBatch], matcher) -> Iterator[pa.RecordB
     m = matcher.value
     for batch in batches:
         cols = list(zip(*(m.features(t) for t in batch.column("text").to_pylist()), strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int32()) for c in cols)], ["doc_id", *FEATURES])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, pa.int32()) for c in cols)], ["row", *FEATURES])
+
+
+def count_hits(docs: DataFrame, matcher) -> DataFrame:
+    """(row, counts of hits): every row as it is, in one struct, whatever its columns are called. ``matcher``: broadcast."""
+    schema = T.StructType([T.StructField("row", docs.schema), *(T.StructField(f, T.IntegerType()) for f in FEATURES)])
+    return docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(lambda b: _features(b, matcher), schema)
 
 
 def fit_logistic(x: np.ndarray, n: np.ndarray, t: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -210,10 +217,13 @@ def inputs(exact, fuzzy, exact_quoted, fuzzy_quoted) -> list:
 
 
 class Toxicity:
-    """What is learned: terms, harmless look-alikes, weights."""
+    """What is learned: terms, harmless look-alikes, terms with many of them, weights."""
+
+    def __init__(self, terms: list[str], harmless: list[str], crowded: list[str], weights: list[float]):
+        self.terms, self.harmless, self.crowded, self.weights = terms, harmless, crowded, weights
 
-    def __init__(self, terms: list[str], harmless: list[str], weights: list[float]):
-        self.terms, self.harmless, self.weights = terms, harmless, weights
+    def matcher(self, spark: SparkSession):
+        return spark.sparkContext.broadcast(Matcher(self.terms, frozenset(self.harmless), frozenset(self.crowded)))
 
     @staticmethod
     def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -227,8 +237,7 @@ class Toxicity:
         return materialise(prints.groupBy("print", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic").distinct(), "labelled-once")
 
     @classmethod
-    def learn(cls, docs: DataFrame, labels: DataFrame) -> tuple["Toxicity", DataFrame]:
-        """The model, and (doc_id, features) of every row of ``docs`` as a written table."""
+    def learn(cls, docs: DataFrame, labels: DataFrame) -> "Toxicity":
         spark = docs.sparkSession
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         chosen = cls.sample(docs, labels)
@@ -252,14 +261,14 @@ class Toxicity:
             harmless = sorted(r["word"] for r in rows_near)
             alike = Counter(t for r in rows_near for t in r["terms"])
             crowded = frozenset(t for t, k in alike.items() if k >= CROWDED)
-        matcher = spark.sparkContext.broadcast(Matcher(terms, frozenset(harmless), crowded))
-        found = materialise(texts.mapInArrow(lambda b: _features(b, matcher), "doc_id long, " + ", ".join(f"{f} int" for f in FEATURES)), "toxicity-features")
-        weights = [0.0] * 5
+        model = cls(terms, harmless, sorted(crowded), [0.0] * 5)
         if rows:
-            table = found.join(F.broadcast(chosen), "doc_id").groupBy(*FEATURES).agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).toPandas()
-            x = np.column_stack(inputs(*table[list(FEATURES)].to_numpy(float).T))
-            weights = [float(v) for v in fit_logistic(x, table["n"].to_numpy(float), table["t"].to_numpy(float))] if len(x) else weights
-        return cls(terms, harmless, weights), found
+            found = count_hits(texts.join(F.broadcast(chosen), "doc_id"), model.matcher(spark))
+            table = found.groupBy(*FEATURES).agg(F.count("*").alias("n"), F.sum("row.toxic").alias("t")).toPandas()
+            if len(table):
+                x = np.column_stack(inputs(*table[list(FEATURES)].to_numpy(float).T))
+                model.weights = [float(v) for v in fit_logistic(x, table["n"].to_numpy(float), table["t"].to_numpy(float))]
+        return model
 
     def score(self):
         """Column: probability of the label from the feature columns."""
@@ -277,6 +286,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     learned (no labels, or only one kind), and that score is then the share of toxic rows, or 0.5 without rows. A null
     doc_id is scored and not held out. Repeated rows are scored alike. An empty table gives no rows.
     """
-    model, found = Toxicity.learn(docs, labels)
-    score = found.withColumn("score", model.score())
-    return score.select("doc_id", F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), *FEATURES)
+    model = Toxicity.learn(docs, labels)
+    found = count_hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model.matcher(docs.sparkSession)).withColumn("score", model.score())
+    return found.withColumn("doc_id", F.col("row.doc_id")).select(
+        "doc_id", F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), *FEATURES
+    )
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, all columns kept; see score_toxicity for odd rows."""
+    model = Toxicity.learn(docs, labels)
+    return count_hits(docs, model.matcher(docs.sparkSession)).where(model.score() < threshold).select("row.*")
