@@ -8,8 +8,8 @@ the last digit are the repeated windows. Digits run from the most significant on
    suffixes mostly choose the same place: they stay together as one row, a run.
 2. Second digit: the run's whole stretch of text. Runs whose stretch occurs again are repeated as they stand.
 3. Runs that share a block but are no copy as a whole (the edges of passages) are cut into sub-runs of ``STEP``
-   suffixes; the third digit is the stretch that all windows of a sub-run share.
-4. Last digit: the whole window, for the suffixes of sub-runs whose third digit occurs again.
+   suffixes; the third digit is the stretch that all windows of a sub-run share, the fourth its whole stretch.
+4. Last digit: the whole window, for the suffixes of sub-runs that share a third digit but no fourth.
 
 Digits are compared as 64-bit hashes; a window's digits together are at least 128 bits.
 """
@@ -73,7 +73,7 @@ def _batch(columns: dict[str, list[np.ndarray]], kinds: dict[str, pa.DataType])
 
 _ROW = {"id": pa.int64(), "crc": pa.int64()}
 _RUN = _ROW | {"first": pa.int32(), "last": pa.int32(), "place": pa.int32(), "digit": pa.int64(), "stretch": pa.int64()}
-_PART = _ROW | {"first": pa.int32(), "low": pa.int32(), "high": pa.int32(), "key": pa.int64(), "copies": pa.int64()}
+_PART = _ROW | {"first": pa.int32(), "low": pa.int32(), "high": pa.int32(), "digit": pa.int64(), "stretch": pa.int64(), "copies": pa.int64()}
 
 
 def _schema(kinds: dict[str, pa.DataType]) -> str:
@@ -108,15 +108,18 @@ def _cut(batches: Iterator[pa.RecordBatch], depth: int, single: bool) -> Iterato
             h = RollingHash(np.frombuffer(r["piece"], np.uint8), codes)
             first, last, place = r["first"], r["last"], r["place"]
             if single:
-                low = high = np.unique(np.concatenate([np.arange(x["low"], x["high"] + 1) for x in r["parts"]]))
+                low = high = np.concatenate([np.arange(x["low"], x["high"] + 1) for x in r["parts"]])
+                copies = np.concatenate([np.full(x["high"] + 1 - x["low"], x["copies"]) for x in r["parts"]])
                 offset, begin, end = place - low, low, low + depth
             else:
                 offset = np.arange((place - last) // step, (place - first) // step + 1)
                 low, high = np.maximum(place - offset * step - step + 1, first), np.minimum(place - offset * step, last)
                 begin, end = place - offset * step, place - offset * step - step + 1 + depth
-            keys = mix(h.of(begin - first, end - first) ^ mix(offset.astype(np.uint64) ^ np.uint64(r["digit"] & 0xFFFFFFFFFFFFFFFF)))
+                copies = np.full(len(low), r["copies"])
+            digit = mix(h.of(begin - first, end - first) ^ mix(offset.astype(np.uint64) ^ np.uint64(r["digit"] & 0xFFFFFFFFFFFFFFFF)))
+            stretch = digit if single else mix(h.of(low - first, high + depth - first) ^ mix(digit + ((place - low) << 32 | (high - low)).astype(np.uint64)))
             n = len(low)
-            for name, c in zip(_PART, (np.full(n, r["id"]), np.full(n, r["crc"]), np.full(n, first), low, high, as_long(keys), np.full(n, r["copies"])), strict=True):
+            for name, c in zip(_PART, (np.full(n, r["id"]), np.full(n, r["crc"]), np.full(n, first), low, high, as_long(digit), as_long(stretch), copies), strict=True):
                 out[name].append(c)
         if rows:
             yield _batch(out, _PART)
@@ -150,10 +153,19 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _again(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """The rows whose ``keys`` occur in other rows too. The counts are written first, so that Spark can split the join where one key has very many rows."""
-    weight = F.sum(F.least("copies", F.lit(2))) if "copies" in rows.columns else F.count("*")
+    weight = F.sum("copies") if "copies" in rows.columns else F.count("*")
     return rows.join(materialise(rows.groupBy(*keys).agg(weight.alias("n")).where("n > 1").drop("n"), name), keys)
 
 
+def _compare(rows: DataFrame, place: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """(repeated, open): the rows whose whole stretch occurs again, and one row of each stretch that shares its digit with
+    other stretches, if some of them occur once: what the next digit has to tell apart. ``copies`` counts up to 2."""
+    classes = materialise(rows.groupBy("digit", "stretch").agg(F.least(F.sum("copies"), F.lit(2)).alias("copies"), F.min(F.struct("id", "crc", *place)).alias("one")), name)
+    repeated = rows.join(classes.where("copies > 1").select("digit", "stretch"), ["digit", "stretch"])
+    mixed = classes.groupBy("digit").agg(F.min("copies").alias("least"), F.count("*").alias("kinds")).where("least = 1 AND kinds > 1")
+    return repeated, classes.join(mixed.select("digit"), "digit").select("digit", "copies", "one.*")
+
+
 def repeated_spans(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(texts, spans): every row's (doc_id, id, crc, text), and for each row (id, crc) the stretches [start, end) of bytes
     that windows occurring elsewhere cover. A row without an id goes by a hash of its text."""
@@ -168,22 +180,21 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id",
     runs = materialise(long_enough.mapInArrow(lambda b: _emit_runs(b, depth), _schema(_RUN)), "runs")
     shared = materialise(_again(runs, ["digit"], "first-digits"), "runs-sharing-a-block")
 
-    stretches = materialise(
-        shared.groupBy("digit", "stretch").agg(F.count("*").alias("copies"), F.min(F.struct("id", "crc", "first", "last", "place")).alias("one")), "second-digits"
-    )
-    whole = shared.join(stretches.where("copies > 1").select("stretch", "digit"), ["digit", "stretch"])
-    found = whole.select("id", "crc", F.col("first").alias("start"), (F.col("last") + depth).alias("end"))
-
-    edges = stretches.groupBy("digit").agg(F.min("copies").alias("least"), F.count("*").alias("kinds")).where("least = 1 AND kinds > 1")
-    ask = stretches.join(edges.select("digit"), "digit").select("digit", "copies", "one.*")
+    span = lambda df, low, high: df.select("id", "crc", F.col(low).alias("start"), (F.col(high) + depth).alias("end"))
+    whole, ask = _compare(shared.withColumn("copies", F.lit(1).cast("long")), ["first", "last", "place"], "second-digits")
     pieces = materialise(
-        ask.join(long_enough, ["id", "crc"]).select("id", "crc", "first", "last", "place", "digit", "copies", F.substring(F.col("text").cast("binary"), F.col("first") + 1, F.col("last") - F.col("first") + depth).alias("piece")),
+        # the texts are dealt out anew at every size: nothing bounds either side
+        ask.join(long_enough.hint("merge"), ["id", "crc"]).select("id", "crc", "first", "last", "place", "digit", "copies", F.substring(F.col("text").cast("binary"), F.col("first") + 1, F.col("last") - F.col("first") + depth).alias("piece")),
         "pieces",
     )
     thirds = materialise(pieces.mapInArrow(lambda b: _cut(b, depth, False), _schema(_PART)), "third-digits")
-    parts = _again(thirds, ["key"], "third-digits-again").groupBy("id", "crc", "first").agg(F.collect_list(F.struct("low", "high")).alias("parts"))
-    last = materialise(pieces.join(parts, ["id", "crc", "first"]).mapInArrow(lambda b: _cut(b, depth, True), _schema(_PART)), "last-digits")
-    singles = _again(last, ["key"], "last-digits-again").where("copies = 1").select("id", "crc", F.col("low").alias("start"), (F.col("low") + depth).alias("end"))
+    part, ask = _compare(thirds, ["first", "low", "high"], "fourth-digits")
+    # copies of a sub-run that stand for a run found whole are covered already
+    parts = ask.groupBy("id", "crc", "first").agg(F.collect_list(F.struct("low", "high", "copies")).alias("parts"))
+    last = materialise(pieces.drop("copies").join(parts, ["id", "crc", "first"]).mapInArrow(lambda b: _cut(b, depth, True), _schema(_PART)), "last-digits")
+    single = _again(last, ["digit"], "last-digits-again")
+    singles = span(part.where("copies = 1"), "low", "high").union(span(single.where("copies = 1"), "low", "low"))
+    found = span(whole, "first", "last")
     return texts, found.union(singles)
 
 
@@ -198,7 +209,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     texts, spans = repeated_spans(docs, depth)
     gone = spans.groupBy("id", "crc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # at most one per byte of a text
     return (
-        texts.join(gone, ["id", "crc"], "left")
+        texts.join(gone.hint("merge"), ["id", "crc"], "left")
         .select("doc_id", "text", "spans")
         .mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     )
