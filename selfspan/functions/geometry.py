@@ -108,77 +108,83 @@ def solidity(points: Column) -> Column:
     return polygon_area(points) / (hull_area(points) + EPS)
 
 
-def _eye(p: Column, side: str) -> dict[str, Column]:
-    width = distance(extreme(p, "x"), extreme(p, "x", True))
-    height = distance(extreme(p, "y"), extreme(p, "y", True))
-    area, around = polygon_area(p), perimeter(p)
+def measures(points: Column) -> Column:
+    """What the plugins need of a region, as one struct: extremes, centre, area, perimeter, curvature, solidity, height."""
+    y = F.transform(points, lambda q: q["y"])
+    return F.struct(
+        extreme(points, "x").alias("left"), extreme(points, "x", True).alias("right"), extreme(points, "y").alias("top"), extreme(points, "y", True).alias("bottom"),
+        centre(points).alias("centre"), polygon_area(points).alias("area"), perimeter(points).alias("perimeter"), quadratic_curvature(points).alias("curvature"),
+        (F.array_max(y) - F.array_min(y)).alias("height"),
+    )
+
+
+def _eye(m: Column, side: str) -> dict[str, Column]:
+    width, height = distance(m["left"], m["right"]), distance(m["top"], m["bottom"])
     return {
         f"{side} Eye Width": width,
         f"{side} Eye Height": height,
         f"{side} EAR": aspect_ratio(height, width),
-        f"{side} Eye Area": area,
-        f"{side} Eye Perimeter": around,
-        f"{side} Eye Circularity": circularity(area, around),
-        f"{side} Eye Solidity": solidity(p),
+        f"{side} Eye Area": m["area"],
+        f"{side} Eye Perimeter": m["perimeter"],
+        f"{side} Eye Circularity": circularity(m["area"], m["perimeter"]),
+        f"{side} Eye Solidity": m["area"] / (m["hull"] + EPS),
     }
 
 
-def eyes(pts: Column) -> dict[str, Column]:
-    left, right = region(pts, LEFT_EYE), region(pts, RIGHT_EYE)
+def eyes(face: dict[str, Column]) -> dict[str, Column]:
+    left, right = face["left_eye"], face["right_eye"]
     out = _eye(left, "Left") | _eye(right, "Right")
     out["Eye Symmetry"] = F.abs(out["Left EAR"] - out["Right EAR"])
-    out["Inter-Eye Distance"] = distance(centre(left), centre(right))
+    out["Inter-Eye Distance"] = distance(left["centre"], right["centre"])
     return out
 
 
-def mouth(pts: Column) -> dict[str, Column]:
-    p = region(pts, MOUTH)
-    width, opening = distance(extreme(p, "x"), extreme(p, "x", True)), distance(extreme(p, "y"), extreme(p, "y", True))
-    area, around = polygon_area(p), perimeter(p)
+def mouth(face: dict[str, Column]) -> dict[str, Column]:
+    m = face["mouth"]
+    width, opening = distance(m["left"], m["right"]), distance(m["top"], m["bottom"])
     return {
         "Mouth Width": width,
         "Mouth Opening": opening,
         "MAR": aspect_ratio(opening, width),
-        "Mouth Area": area,
-        "Mouth Perimeter": around,
-        "Mouth Circularity": circularity(area, around),
-        "Mouth Solidity": solidity(p),
-        "Upper Lip Curvature": quadratic_curvature(p),
+        "Mouth Area": m["area"],
+        "Mouth Perimeter": m["perimeter"],
+        "Mouth Circularity": circularity(m["area"], m["perimeter"]),
+        "Mouth Solidity": m["area"] / (m["hull"] + EPS),
+        "Upper Lip Curvature": m["curvature"],
     }
 
 
-def _brow(p: Column, side: str) -> dict[str, Column]:
-    inner, outer = extreme(p, "x"), extreme(p, "x", True)  # by x for both brows, not mirrored
+def _brow(m: Column, side: str) -> dict[str, Column]:
+    inner, outer = m["left"], m["right"]  # by x for both brows, not mirrored
     width = distance(inner, outer)
-    height = F.array_max(F.transform(p, lambda q: q["y"])) - F.array_min(F.transform(p, lambda q: q["y"]))
     return {
         f"{side} Brow Width": width,
-        f"{side} Brow Height": height,
-        f"{side} Brow Ratio": aspect_ratio(height, width),
+        f"{side} Brow Height": m["height"],
+        f"{side} Brow Ratio": aspect_ratio(m["height"], width),
         f"{side} Brow Slope": F.degrees(F.atan2(outer["y"] - inner["y"], outer["x"] - inner["x"])),
-        f"{side} Brow Curvature": quadratic_curvature(p),
+        f"{side} Brow Curvature": m["curvature"],
     }
 
 
-def brows(pts: Column) -> dict[str, Column]:
-    left, right = region(pts, LEFT_BROW), region(pts, RIGHT_BROW)
+def brows(face: dict[str, Column]) -> dict[str, Column]:
+    left, right = face["left_brow"], face["right_brow"]
     out = _brow(left, "Left") | _brow(right, "Right")
-    out["Inner Brow Distance"] = distance(extreme(left, "x"), extreme(right, "x"))
-    out["Brow Centre Distance"] = distance(centre(left), centre(right))
+    out["Inner Brow Distance"] = distance(left["left"], right["left"])
+    out["Brow Centre Distance"] = distance(left["centre"], right["centre"])
     for name in ("Height", "Ratio", "Slope", "Curvature"):
         a, b = out[f"Left Brow {name}"], out[f"Right Brow {name}"]
         out[f"Eyebrow {name} Symmetry"] = F.abs(F.abs(a) - F.abs(b)) if name == "Slope" else F.abs(a - b)
     return out
 
 
-#: Feature plugins by name; register_plugin adds more.
-PLUGINS: dict[str, Callable[[Column], dict[str, Column]]] = {"eyes": eyes, "mouth": mouth, "eyebrows": brows}
+#: Feature plugins by name, from the measures of a face's regions; register_plugin adds more.
+PLUGINS: dict[str, Callable[[dict[str, Column]], dict[str, Column]]] = {"eyes": eyes, "mouth": mouth, "eyebrows": brows}
 
 
 def register_plugin(name: str):
     """Decorator that adds a feature plugin; a taken name is an error."""
 
-    def add(builder: Callable[[Column], dict[str, Column]]):
+    def add(builder: Callable[[dict[str, Column]], dict[str, Column]]):
         if name in PLUGINS:
             raise ValueError(f"a feature plugin named {name!r} exists")
         PLUGINS[name] = builder
@@ -188,16 +194,23 @@ def register_plugin(name: str):
 
 
 def face_features(landmarks: DataFrame, id_col: str = "Image", points: str = "pts", enabled: list[str] | None = None) -> DataFrame:
-    """Id first, then the features of the enabled plugins in order; rows without landmarks are dropped (see rejected)."""
+    """Id first, then the features of the enabled plugins in order; rows without landmarks are dropped (see rejected).
+
+    Regions, their measures and the features are three projections, so that each region is measured once.
+    """
+    face = {r: F.col(f"m_{r}") for r in REGIONS}
     out: dict[str, Column] = {}
     for name in enabled or list(PLUGINS):
         if name not in PLUGINS:
             raise ValueError(f"unknown feature plugin {name!r}")
-        for feature, column in PLUGINS[name](F.col(points)).items():
+        for feature, column in PLUGINS[name](face).items():
             if feature in out:
                 raise ValueError(f"two plugins give {feature!r}")
             out[feature] = column
-    return landmarks.where(F.size(points) > 0).select(id_col, *[c.alias(n) for n, c in out.items()])
+    regions = landmarks.where(F.size(points) > 0).select(id_col, *[region(F.col(points), places).alias(f"p_{r}") for r, places in REGIONS.items()])
+    hulls = regions.withColumns({f"h_{r}": hull_area(f"p_{r}") for r in REGIONS})
+    measured = hulls.select(id_col, *[measures(F.col(f"p_{r}")).withField("hull", F.col(f"h_{r}")).alias(f"m_{r}") for r in REGIONS])
+    return measured.select(id_col, *[c.alias(n) for n, c in out.items()])
 
 
 def rejected(landmarks: DataFrame, id_col: str = "Image", points: str = "pts") -> DataFrame:

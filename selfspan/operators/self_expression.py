@@ -12,7 +12,7 @@ over tasks. The low-rank problem does not separate, so it is solved over the dic
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -167,8 +167,13 @@ def sparse_coefficients(rows: DataFrame, id_col: str, features: str = "features"
     ids, d = dictionary(rows, id_col, features, atoms)
     shared = rows.sparkSession.sparkContext.broadcast((ids, d))
     data = rows.select(F.col(id_col).cast("long"), F.col(features).cast("array<double>"))
-    sums = data.mapInArrow(lambda b: _fit_batches(b, *shared.value, solver, None), "k long, part long, x double").groupBy("k", "part").agg(F.sum("x").alias("x")).groupBy("k").agg(F.max("x").alias("x"))
-    done = sums.where(F.col("x") < solver.tol**2).agg(F.min("k")).first()[0]
+    done, steps = None, 0
+    while done is None and steps < solver.max_iter:  # few iterations first, then four times as many
+        steps = min(max(64, 4 * steps), solver.max_iter)
+        tried = replace(solver, max_iter=steps)
+        norms = data.mapInArrow(lambda b, s=tried: _fit_batches(b, *shared.value, s, None), "k long, part long, x double")
+        largest = norms.groupBy("k", "part").agg(F.sum("x").alias("x")).groupBy("k").agg(F.max("x").alias("x"))
+        done = largest.where(F.col("x") < solver.tol**2).agg(F.min("k")).first()[0]
     if done is None and strict:
         raise ArithmeticError(f"not converged in {solver.max_iter} iterations")
     k = solver.max_iter if done is None else done + 1

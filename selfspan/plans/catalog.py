@@ -252,7 +252,7 @@ def row_l2(spark, sf_dir):
     return rounded(rows.select("vec_id", F.posexplode("features").alias("feature", "value")))
 
 
-@query(f"""SELECT vec_id AS i, f::BIGINT AS j, round(sign(x) * greatest(abs(x) - 0.1, 0), 6) AS value FROM ({LONG_SQL})""")
+@query(f"""SELECT vec_id AS i, f::BIGINT AS j, round(sign(x) * greatest(abs(x) - 0.1, 0), 6) + 0.0 AS value FROM ({LONG_SQL})""")
 def soft_threshold(spark, sf_dir):
     c = embedded(spark, sf_dir).select(F.col("vec_id").alias("i"), F.posexplode("features").alias("j", "value")).withColumn("j", F.col("j").cast("long"))
     return rounded(affinity.threshold(c, 0.1)).withColumn("value", F.col("value") + F.lit(0.0))
@@ -454,7 +454,7 @@ def surface(spark, sf_dir):
 
 # ---- geometry ----------------------------------------------------------------------------------------------------------
 
-SHAPE_SQL = "p AS (SELECT l_orderkey AS id, l_linenumber AS k, l_extendedprice / 1000 AS x, l_quantity AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS at, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)"
+SHAPE_SQL = "p AS (SELECT l_orderkey AS id, l_linenumber AS k, l_extendedprice / 1000 AS x, l_quantity AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_quantity) AS at, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)"
 
 
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -470,12 +470,6 @@ def polygons(spark, sf_dir):
     return rounded(shapes(spark, sf_dir).select("id", geometry.polygon_area(p).alias("area"), geometry.perimeter(p).alias("perimeter")), 5)
 
 
-@query(f"""WITH {SHAPE_SQL} SELECT id, arg_min(y, (x, at)) AS left_y, arg_min(y, (-x, at)) AS right_y, arg_min(x, (y, at)) AS top_x, round(avg(x), 6) AS centre_x FROM p GROUP BY id""")
-def extremes(spark, sf_dir):
-    p = F.col("pts")
-    return rounded(shapes(spark, sf_dir).select("id", geometry.extreme(p, "x")["y"].alias("left_y"), geometry.extreme(p, "x", True)["y"].alias("right_y"), geometry.extreme(p, "y")["x"].alias("top_x"), geometry.centre(p)["x"].alias("centre_x")))
-
-
 @query()
 def face_features(spark, sf_dir):
     """The 40 features of landmark sets made from each vector's coordinates."""
