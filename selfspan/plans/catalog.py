@@ -353,7 +353,7 @@ def projected(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
 
 @query()
 def sparse_coefficients(spark, sf_dir):
-    return self_expression.sparse_coefficients(projected(spark, sf_dir), "vec_id", strict=False).values
+    return self_expression.sparse_coefficients(projected(spark, sf_dir), "vec_id", atoms=256, strict=False).values
 
 
 @query()
@@ -365,8 +365,8 @@ def low_rank_coefficients(spark, sf_dir):
 def clustered(spark: SparkSession, sf_dir: str, method: str) -> stages.Run:
     rows = embedded(spark, sf_dir)
     features = rows.select("vec_id", *[F.col("features")[k].alias(f"f{k}") for k in range(64)])
-    s = stages.Settings(id_col="vec_id", components=8, clusters=10, method=method, atoms=256)
-    run = stages.Run(s, {"features": features, "truth": rows.select("vec_id", "label")})
+    s = stages.Settings(id_col="vec_id", components=8, clusters=10, method=method, atoms=128, strict=False)
+    run = stages.Run(s, {"features": truncate(features), "truth": rows.select("vec_id", "label")})
     return stages.run_stages(run, stages.select_stages(2, 6))
 
 

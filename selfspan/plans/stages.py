@@ -29,6 +29,8 @@ class Settings:
     clusters: int = 4
     seed: int = 42
     atoms: int = self_expression.ATOMS
+    #: Whether a fit that has not converged ends the run.
+    strict: bool = True
     sparse: self_expression.Solver = self_expression.SPARSE
     low_rank: self_expression.Solver = self_expression.LOW_RANK
 
@@ -55,16 +57,16 @@ def process(run: Run) -> None:
         raise ValueError("the feature table is empty")
     clean = preparation.scale(preparation.impute(df, s.missing, s.id_col), s.scaling, s.id_col)
     groups = preparation.feature_groups(clean.columns)
-    run.tables["processed"] = preparation.weight_features(clean, groups, s.weighting)
+    run.tables["processed"] = truncate(preparation.weight_features(clean, groups, s.weighting))
 
 
 def reduce_dimensions(run: Run) -> None:
     """processed -> scores (id, features)."""
     s, df = run.settings, run.tables["processed"]
-    v = decomposition.vectors(df, s.id_col, validation.numeric_columns(df, (s.id_col, s.label_col)))
+    v = truncate(decomposition.vectors(df, s.id_col, validation.numeric_columns(df, (s.id_col, s.label_col))))
     c = decomposition.fit_components(v, threshold=s.variance, k=s.components)
     run.extra["components"] = c
-    run.tables["scores"] = decomposition.vectors(decomposition.scores(v, c), s.id_col, [f"PC{k + 1}" for k in range(c.k)])
+    run.tables["scores"] = truncate(decomposition.vectors(decomposition.scores(v, c), s.id_col, [f"PC{k + 1}" for k in range(c.k)]))
 
 
 def express(run: Run) -> None:
@@ -73,11 +75,11 @@ def express(run: Run) -> None:
     rows = run.tables["scores"]
     if self_expression.method_names(s.method) == ["low_rank"]:
         ids, fit = self_expression.low_rank_fit(rows, s.id_col, solver=s.low_rank, atoms=s.atoms)
-        if not fit.converged:
+        if s.strict and not fit.converged:
             raise ArithmeticError("not converged")
         run.tables["coefficients"] = self_expression.as_table(rows.sparkSession, ids, fit.c)
     else:
-        found = self_expression.sparse_coefficients(rows, s.id_col, solver=s.sparse, atoms=s.atoms)
+        found = self_expression.sparse_coefficients(rows, s.id_col, solver=s.sparse, atoms=s.atoms, strict=s.strict)
         run.tables["coefficients"] = truncate(found.values)
 
 
