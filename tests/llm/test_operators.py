@@ -1,0 +1,253 @@
+"""The dealt operators against brute force on small tables with nulls, empty texts, repeats and extra columns."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from selfspan.llm import backoff_lm, decontam, epsilon_grid, minhash_join, mixing, slot_sharding, suffix_dedup, toxicity, url_cascade
+from selfspan.llm.common import connected_components
+
+random.seed(5)
+WORDS = [a + b for a in "bcdfgh" for b in ("an", "or", "el", "it")]
+BASE = " ".join(random.choice(WORDS) for _ in range(120))
+
+
+def edited(text, at, word="zzz"):
+    w = text.split()
+    w[at] = word
+    return " ".join(w)
+
+
+TEXTS = [BASE, BASE, edited(BASE, 5), edited(edited(BASE, 60), 90), "Xy " * 3 + BASE, None, "", "one two", "ONE two", " \t\n", "a" * 900, "é" * 300 + BASE, *(" ".join(random.choice(WORDS) for _ in range(n)) for n in (1, 3, 30, 200)), BASE[:300], "tail " + BASE[-420:]]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tokens long, key string, n long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, None, f"s{i % 3}" if i % 5 else None, 1, 7, "x", 2) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame(rows + [(None, BASE, "en", "s1", 1, 7, "x", 2), rows[2]], SCHEMA).repartition(3)
+
+
+def words_of(text):
+    return [w for w in re.split(r"[ \t-\r]+", "".join(c.lower() if c.isascii() else c for c in text or "")) if w]
+
+
+def unions(n_ids, links):
+    root = {i: i for i in n_ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in n_ids}
+
+
+@pytest.mark.parametrize("depth", [9, 400])
+def test_repeats_are_removed_byte_by_byte(docs, depth):
+    rows = docs.select("doc_id", "text").collect()
+    texts = [(r[1] or "").encode() for r in rows]
+    seen = {}
+    for t in texts:
+        for p in range(len(t) - depth + 1):
+            seen[t[p : p + depth]] = seen.get(t[p : p + depth], 0) + 1
+    want = []
+    for (doc_id, _), t in zip(rows, texts, strict=True):
+        gone = bytearray(len(t))
+        for p in range(len(t) - depth + 1):
+            if seen[t[p : p + depth]] > 1:
+                gone[p : p + depth] = b"\1" * depth
+        kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
+        want.append((doc_id, len(t), sum(gone), len([s for s in bytes(gone).split(b"\0") if s]), hashlib.sha256(kept).hexdigest()))
+    got = [tuple(r) for r in suffix_dedup.remove_repeats(docs, depth).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_near_duplicates_equal_all_pairs(docs):
+    rows = docs.select("doc_id", "text").collect()
+    sets = {}
+    for r in rows:
+        w = words_of(r[1])
+        sets[r[0]] = {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else ({tuple(w)} if w else set())
+    ids = [i for i in sets if i is not None]
+    links = [(a, b) for a, b in itertools.combinations(ids, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    component = unions(ids, links)
+    got = minhash_join.near_duplicates(docs, words=3, part=85).collect()
+    assert len(got) == len(rows) and len(links) > 3
+    for r in got:
+        assert r.n_shingles == len(sets[r.doc_id])
+        assert (r.component_id, r.kept) == ((None, True) if r.doc_id is None else (component[r.doc_id], component[r.doc_id] == r.doc_id))
+
+
+def test_blocks_of_large_groups_change_nothing(docs, monkeypatch):
+    want = sorted(map(tuple, minhash_join.near_duplicates(docs, words=3, part=85).collect()), key=str)
+    monkeypatch.setattr(minhash_join, "LIST_BLOCK", 2)
+    monkeypatch.setattr(minhash_join, "GROUP_BLOCK", 2)
+    assert sorted(map(tuple, minhash_join.near_duplicates(docs, words=3, part=85).collect()), key=str) == want
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 200), (300, 200), (7, 7)]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 200: 100, 300: 100}
+
+
+def test_language_model(docs):
+    rows = docs.select("doc_id", "text").collect()
+    data = [(r[0], r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2, words_of(r[1]) + ["\0"]) for r in rows]
+    train = [w for _, h, w in data if not h]
+    c = {}
+    for w in itertools.chain(*train):
+        c[w] = c.get(w, 0) + 1
+    total, kinds = sum(c.values()), len(c)
+    history = {w: n for w, n in c.items() if n >= max(2, 4e-6 * total)} | {None: len(train)}
+    pair = {}
+    for w in train:
+        for v, x in zip([None, *w], w):
+            if v in history and x in history:
+                pair[v, x] = pair.get((v, x), 0) + 1
+    pair = {k: n for k, n in pair.items() if n > 1}
+    freed = {}
+    for (v, _), n in pair.items():
+        freed[v] = freed.get(v, 0) + n - 1
+    root = lambda x: (c.get(x, 0) + 1) / (total + kinds + 1)
+    chance = lambda v, x: max(pair.get((v, x), 0) - 1, 0) / history[v] + (1 - freed.get(v, 0) / history[v]) * root(x) if v in history else root(x)
+    # a state's chances add up to one over the vocabulary and one unseen word
+    assert sum(chance(None, x) for x in [*c, "unseen"]) == pytest.approx(1)
+    want = sorted((str(i), h, len(w), sum(x in c for x in w), round(sum(math.log10(root(x)) for x in w), 6), round(sum(math.log10(chance(v, x)) for v, x in zip([None, *w], w)), 6)) for i, h, w in data)
+    got = backoff_lm.score_texts(docs, block_bytes=500).collect()
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
+
+
+def test_urls(spark):
+    urls = ["http://A.example.org/es/x?q", "https://example.org/en/12#t", "x://notexample.org/en/1", "http://spam.net", "http://ok.net/", None, "no scheme", "http://b.com/fr/://c", "http://b.com/de/", "http://casino.com/zz", "http://a.org", "http://org/"]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(None, "http://spam.net", "h")], "page_id long, url string, host string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_cascade.judge_urls(pages).collect()}
+    assert got[0] == ("a.example.org", "/es/x", "example.org/es/", "block")
+    assert got[1] == ("example.org", "/en/12", "example.org/en/1", "block")
+    assert got[2][2:] == ("org/", "allow")
+    assert got[3] == ("spam.net", "", None, "block") and got[4] == ("ok.net", "/", None, "allow")
+    assert got[5] == got[6] == ("", "", None, "allow")
+    assert got[7] == ("b.com", "/fr/://c", "com/fr/", "allow") and got[8][2:] == ("com/de/", "block") and got[9][3] == "block"
+    assert got[10] == ("a.org", "", None, "allow") and got[11][2] == "org/" and got[None][3] == "block"
+    keys = spark.range(3000).selectExpr("cast(id as string) AS key", "id % 7 = 0 AS listed")
+    cascade = url_cascade.Cascade.build(keys)
+    assert len(cascade.levels) > 2 and keys.where(cascade.contains("key") != F.col("listed")).count() == 0
+
+
+def test_shards(docs):
+    got = slot_sharding.shard_documents(docs).collect()
+    assert len(got) == docs.count()
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values()) and set(by) <= set(range(8))
+    assert all(r.size == len((TEXTS[r.doc_id] or "").encode()) + 1 and r.text_crc32 == zlib.crc32((TEXTS[r.doc_id] or "").encode()) for r in got if r.doc_id is not None)
+
+
+def test_grown_map_keeps_most_slots(spark):
+    loads = spark.range(4096).selectExpr("cast(id as int) AS vslot", "100 + id % 13 AS bytes", "1L AS rows")
+    old = slot_sharding.rebalance(slot_sharding.first_map(loads))
+    new = slot_sharding.rebalance(old, 9)
+    moved = old.alias("a").join(new.alias("b"), "vslot").where("a.shard <> b.shard").count()
+    sizes = [r[0] for r in new.groupBy("shard").agg(F.sum("bytes")).select("sum(bytes)").collect()]
+    assert len(sizes) == 9 and max(sizes) - min(sizes) < 300 and moved < 4096 / 8
+
+
+def test_vectors_equal_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(30, 8))
+    rows = [(i, [float(x) for x in base[i % 30] + rng.normal(size=8) * 0.05], i % 2 if i % 11 else None) for i in range(150)]
+    rows += [(200, rows[1][1], 1), (201, [0.0] * 8, 1), (202, [float("nan")] * 8, 1), (203, None, 1), (204, [1.0, None] * 4, 1), (205, [1.0], 1), (206, [2.0], 1), (None, rows[1][1], 1)]
+    table = spark.createDataFrame([(*r, "extra") for r in rows], "vec_id long, embedding array<double>, label int, id string")
+    sound = [r for r in rows if r[0] is not None and r[2] is not None and r[1] and all(x is not None and math.isfinite(x) for x in r[1]) and any(r[1])]
+    cos = lambda a, b: float(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b)))
+    links = [(a[0], b[0]) for a, b in itertools.combinations(sound, 2) if a[2] == b[2] and len(a[1]) == len(b[1]) and cos(a[1], b[1]) >= 0.98]
+    component = unions([r[0] for r in rows if r[0] is not None], links)
+    n = {}
+    for a, b in links:
+        n[a], n[b] = n.get(a, 0) + 1, n.get(b, 0) + 1
+    got = epsilon_grid.near_duplicate_vectors(table).collect()
+    assert len(got) == len(rows) and len(links) > 50
+    for r in got:
+        assert (r.n_links, r.component_id) == (n.get(r.vec_id, 0), component.get(r.vec_id)) and r.kept == (r.vec_id is None or component[r.vec_id] == r.vec_id)
+    assert epsilon_grid.near_duplicate_vectors(table.limit(0)).count() == 0
+
+
+def test_leaks_with_other_values(spark):
+    item = "A train travels 120 km in 3 hours from Paris to Lyon. How far does the train from Paris go in 7 hours?"
+    swap = lambda *pairs: _swap(item, pairs)
+    benchmark = spark.createDataFrame([(1, item, 0), (2, "short item", 0), (3, "", 0), (4, None, 0)], "item_id long, text string, h int")
+    texts = ["Before. " + swap(("120", "90"), ("3", "2"), ("Paris", "Rome"), ("7", "9")) + " and more", "Before. " + swap(("120", "90"), ("from Paris go", "from Oslo go")), "nothing of it", None, "", "x short item y", item, item]
+    docs = spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)], "doc_id long, text string, plain string")
+    got = {(r.doc_id, r.item_id): (r.hits, r.literal_hits, r.windows) for r in decontam.leaks(docs, benchmark).collect()}
+    assert set(got) == {(0, 1), (5, 2), (6, 1), (7, 1)}
+    assert got[0, 1][1] < got[0, 1][0] and got[6, 1][1] == got[6, 1][2]
+    assert decontam.leaks(docs.limit(0), benchmark).count() == 0 and decontam.leaks(docs, benchmark.limit(0)).count() == 0
+
+
+def _swap(text, pairs):
+    for a, b in pairs:
+        text = text.replace(a, b)
+    return text
+
+
+def test_mixture_meets_its_weights(spark):
+    rows = [(i, "w " * (1 + i % 9), "big" if i % 10 < 7 else f"s{i % 10}" if i % 10 < 9 else None) for i in range(4000)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, epoch int")
+    used = mixing.mix_sources(docs).toPandas()
+    assert set(used.doc_id) == set(range(4000))
+    share = used.groupby(used.source.fillna("-")).agg(tokens=("tokens", "sum"), weight=("weight", "first"))
+    share["real"] = share.tokens / share.tokens.sum()
+    assert (share.real - share.weight).abs().max() < 0.005 and share.weight.max() < 0.6
+    w = share.weight.to_numpy()
+    assert -(w * np.log(w)).sum() / np.log(len(w)) == pytest.approx(mixing.ENTROPY, abs=0.01) or used.groupby("doc_id").size().max() == mixing.REPEATS
+    assert used.groupby("block").tokens.sum().std() < 0.1 * used.groupby("block").tokens.sum().mean()
+    assert used.groupby("doc_id").size().max() <= math.ceil(mixing.REPEATS)
+    again = mixing.resample(docs)
+    assert again.columns == docs.columns and again.select("doc_id").distinct().count() == 4000
+    assert mixing.mix_sources(docs.limit(0)).count() == 0
+
+
+def test_toxicity_learns_finds_misspellings_and_spares_quotes(spark):
+    rng = random.Random(1)
+    calm = lambda: " ".join(rng.choice(WORDS) for _ in range(40))
+    rows, labels = [], []
+    for i in range(1200):
+        bad = i % 6 == 0
+        text = calm() + (" you blithering nincompoop " + calm() if bad else "") + calm()
+        rows.append((i, text))
+        if i < 1000:
+            labels.append((i, int(bad)))
+    extra = [(5000, calm() + " you nincompop and nincompoopp " + calm()), (5001, None), (5002, ""), (None, "nincompoop nincompoop"), (5003, "x" * 200_000)]
+    docs = spark.createDataFrame([(i, t, 9) for i, t in rows + extra], "doc_id long, text string, exact int")
+    truth = spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, truth).collect()}
+    assert len(got) == 1205 and all(0 <= r.score <= 1 for r in got.values())
+    assert all(got[i].predicted == int(i % 6 == 0) for i in range(1200))
+    assert got[5000].fuzzy == 2 and got[5000].predicted == 1 and got[5001].predicted == got[5002].predicted == 0 and not got[None].held_out
+    kept = toxicity.drop_toxic(docs, truth)
+    assert kept.columns == docs.columns and kept.count() == 1205 - 202
+    assert toxicity.score_toxicity(docs.limit(0), truth).count() == 0
+    assert {r.predicted for r in toxicity.score_toxicity(docs, truth.limit(0)).collect()} <= {0, 1}
+    m = toxicity.Matcher(["moron"])
+    assert m.features('he said "moron" to me')[2] == 1 and m.features("you moron")[2] == 0
+    for word in ("moron", "mron", "mxron", "moroon", "oron", "moro"):
+        assert m.trie.within_one(word) == ["moron"]
+    assert m.trie.within_one("mrn") == [] and m.trie.within_one("morons!") == []
+
+
+def test_empty_tables(docs):
+    none = docs.limit(0)
+    for made in (suffix_dedup.remove_repeats(none), minhash_join.near_duplicates(none), backoff_lm.score_texts(none), slot_sharding.shard_documents(none)):
+        assert made.count() == 0
