@@ -48,8 +48,8 @@ class Encoder:
 
     def counts(self, pieces: list[str]) -> list[int]:
         known = self.known
-        if new := list(set(pieces) - known.keys()):
-            known.update(zip(new, map(len, self.encoding.encode_ordinary_batch(new, num_threads=1)), strict=True))
+        if new := [p for p in set(pieces) if p not in known]:  # a set less a dict view would walk the whole dict
+            known.update((p, len(self.encoding.encode_ordinary(p))) for p in new)
         out = [known[p] for p in pieces]
         if len(known) > self.MEMORY:
             known.clear()
