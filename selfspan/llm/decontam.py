@@ -29,23 +29,27 @@ MARK = "ꙮ"
 UNITS = "km|cm|mm|m|mi|ft|kg|g|mg|lb|oz|l|ml|s|ms|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|meters?|metres?|dollars?|euros?|cents?|percent|usd|eur"
 
 
-def template(text: Column) -> Column:
-    """Tokens of the template; placeholders carry what they stand for in brackets."""
+def marked(text: Column) -> Column:
+    """The lower-cased text with every number, name and unit in a placeholder that carries it in brackets."""
     s = F.translate(text, f"{MARK}⟦⟧", "   ")
     s = F.regexp_replace(s, r"(\p{N}+(?:[.,:/]\p{N}+)*)", f" {MARK}num⟦$1⟧ ")
-    s = F.regexp_replace(s, r"(?<=[\p{L},;⟧] )(\p{Lu}\p{L}*)", f"{MARK}name⟦$1⟧")
+    # what stands before a capital is looked at only where there is one
+    s = F.regexp_replace(s, r"(\p{Lu}(?<=[\p{L},;⟧] \p{Lu})\p{L}*)", f"{MARK}name⟦$1⟧")
     s = F.lower(s)
-    s = F.regexp_replace(s, rf"(?<=(?:num|⟧) {{1,2}})((?:{UNITS})(?![\p{{L}}\p{{N}}])|[%$€£°])", f"{MARK}unit⟦$1⟧")
-    return F.regexp_extract_all(s, F.lit(rf"({MARK}(?:num|name|unit)⟦[^⟧]*⟧|[\p{{L}}]+)"), F.lit(1))
+    return F.regexp_replace(s, rf"({MARK}num⟦[^⟧]*⟧ {{1,2}})((?:{UNITS})(?![\p{{L}}\p{{N}}])|[%$€£°])", f"$1{MARK}unit⟦$2⟧")
+
+
+def template(marked_text: Column) -> Column:
+    """Tokens of the template; placeholders carry what they stand for in brackets."""
+    return F.regexp_extract_all(marked_text, F.lit(rf"({MARK}(?:num|name|unit)⟦[^⟧]*⟧|[\p{{L}}]+)"), F.lit(1))
 
 
 def hashed_tokens(rows: DataFrame, key: str) -> DataFrame:
     """(key, plain, full): hashes of the template's tokens without and with the values."""
-    return rows.where("text IS NOT NULL").select(key, template(F.col("text")).alias("v")).select(
-        key,
-        F.expr(f"transform(v, x -> xxhash64(if(startswith(x, '{MARK}'), split_part(x, '⟦', 1), x)))").alias("plain"),
-        F.expr("transform(v, x -> xxhash64(x))").alias("full"),
-    )
+    tokens = rows.where("text IS NOT NULL").select(key, marked(F.col("text")).alias("s")).select(key, F.contains("s", F.lit(MARK)).alias("slotted"), template(F.col("s")).alias("v"))
+    full = tokens.select(key, "slotted", "v", F.expr("transform(v, x -> xxhash64(x))").alias("full"))
+    plain = "if(slotted, transform(v, x -> xxhash64(split_part(x, '⟦', 1))), full)"
+    return full.select(key, F.expr(plain).alias("plain"), "full")
 
 
 def windows_of(tokens: DataFrame, key: str, length: int) -> DataFrame:
