@@ -1,16 +1,17 @@
 """Language-model scores from a weighted backoff automaton of smoothed bigrams.
 
-States are the root and one state for each frequent word (and the start of a text). A state's arcs are its bigrams seen
-twice or more in training, weighted by their discounted relative frequency plus the backed-off share; its failure arc
-leads to the root and weighs log10 of the mass the discount has freed. The root has an arc for every word, weighted by
-add-one unigrams. A text is read once from left to right: each token takes the state's arc, or the failure arc and the
-root's, and the sum of weights is its log10 probability.
-
-Frequent words are those with at least ``STATE_SHARE`` of all training tokens, so there are at most 1 / STATE_SHARE of
-them however large the corpus: that table may be broadcast. Everything else stays distributed. Texts are dealt into
-blocks of bounded size; a block asks for the counts of its rarer words and of its bigrams between frequent words, every
-count is summed over all blocks that hold the key (at most one row a block), and the answers return to the block as the
-slice of the automaton that its texts can touch.
+States are the root, the start of a text and every word of the training texts. A state's arcs are its bigrams seen twice
+or more in training, weighted by their discounted relative frequency plus the backed-off share (the discount is one, so a
+bigram seen once has the backed-off share alone and needs no arc); its failure arc leads to the root and weighs log10 of
+the mass the discount has freed. The root has an arc for every word, weighted by add-one unigrams. A text is read once
+from left to right: each token takes the state's arc, or the failure arc and the root's, and the sum of weights is its
+log10 probability.
+
+Texts are dealt into blocks of bounded size; a block asks for its words and bigrams, packed into one row a bucket of
+hashes. A bucket sums its keys over all blocks and answers each with the slice of the automaton that its texts can touch.
+A word's bigrams lie in the word's bucket, which thus knows the mass freed; only those of common words (``COMMON_SHARE``
+of all training tokens or more, so at most 1 / COMMON_SHARE of them however large the corpus) and of the start are spread
+over all buckets. Common words' counts are broadcast, and their masses go to every block.
 """
 
 from __future__ import annotations
@@ -19,22 +20,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, crc_mod, materialise, word_hashes
+from .common import as_long, crc_mod, materialise, mix, word_hashes
 
 FOLDS, HELD_OUT = 7, 2
-#: A word is a state with this share of the training tokens or more.
-STATE_SHARE = 4e-6
+#: A word with this share of the training tokens or more is common: its count is broadcast, its bigrams are spread out.
+COMMON_SHARE = 4e-6
 #: Text in a block, in bytes.
-BLOCK_BYTES = 16 << 20
-#: Tokens of a block that are held before they are counted.
-HOLD = 1 << 18
+BLOCK_BYTES = 24 << 20
+#: Tokens of a block that are held before they are counted or scored.
+HOLD = 1 << 20
 #: Codes of the end of a text and of its start; word hashes of that value do not matter.
 END, START = np.uint64(0xE0D), np.uint64(0x57A27)
-#: What a block asks for: a word's count, a bigram's count, a state's discounted mass.
-WORD, PAIR, STATE = 0, 1, 2
+START_OF = np.array([START])
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -56,13 +56,13 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(as_long(w)), pa.array(n)], ["word", "c"])
 
 
-class States:
-    """The frequent words, by their sorted hashes: index 0 to n - 1; n is the start of a text, -1 the root."""
+class Common:
+    """The common words, by their sorted hashes: index 0 to n - 1; n is the start of a text, -1 any other word."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, kinds: int, texts: int):
         order = np.argsort(words)
-        self.words, self.n, self.total, self.kinds = words[order], len(words), total, kinds
-        self.counts = np.append(counts[order], texts)
+        self.words, self.counts, self.n = words[order], counts[order], len(words)
+        self.total, self.kinds, self.texts = total, kinds, texts
 
     def index(self, w: np.ndarray) -> np.ndarray:
         if not self.n:
@@ -70,17 +70,85 @@ class States:
         at = np.minimum(np.searchsorted(self.words, w), self.n - 1)
         return np.where(self.words[at] == w, at, -1)
 
-    def pairs(self, w: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The state each token of one text is read from, and the code of the arc (-1: there is none)."""
-        state = np.concatenate(([self.n], index[:-1]))
-        return state, np.where((state >= 0) & (index >= 0), state * self.n + index, -1)
+
+def _strung(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts in one line, a start before each: the words, where each text starts, the places of all tokens."""
+    words = np.concatenate([x for w in texts for x in (START_OF, w)])
+    starts = np.cumsum([0, *(len(w) + 1 for w in texts[:-1])])
+    token = np.ones(len(words), bool)
+    token[starts] = False
+    return words, starts, np.flatnonzero(token)
+
+
+def _pairs(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The keys of the arcs to the tokens at ``at``: a hash of the word before and the token."""
+    return mix(words[at - 1] * np.uint64(0xD6E8FEB86659FD93) + words[at])
+
+
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): an order of the keys, and where in it each new key begins."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    return order, np.flatnonzero(new)
+
+
+def _sums(x: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x[order], starts, dtype=np.int64) if len(x) else np.zeros(0, np.int64)
+
+
+def _back(x: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Each group's value at all of its members."""
+    out = np.empty(len(order), x.dtype)
+    out[order] = np.repeat(x, np.diff(np.append(starts, len(order))))
+    return out
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of the keys' upper halves."""
+    return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _bytes(x: np.ndarray) -> bytes:
+    """Numbers from 0 up in the fewest bytes each."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes()
+
+
+def _numbers(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Rising keys: the first, then steps of as few bytes as the largest takes; that number comes before all."""
+    step = np.diff(keys)
+    width = max(1, (int(step.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + keys[:1].tobytes() + step.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _keys(data: bytes) -> np.ndarray:
+    if len(data) == 1:
+        return np.zeros(0, np.uint64)
+    width = data[0]
+    wide = np.zeros(((len(data) - 9) // width + 1, 8), np.uint8)
+    wide[0] = np.frombuffer(data, np.uint8, 8, 1)
+    wide[1:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width) if len(wide) > 1 else 0
+    return np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _loose(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
+
+
+_ASKED = "bucket int, block int, words binary, word_counts binary, fans binary, pairs binary, pair_counts binary, common_pairs binary, common_counts binary, states binary"
 
 
 class Requests:
-    """What one block asks for, counted as its texts come by: (keys, counts in training texts) of words and arcs, states."""
+    """What one block asks for, counted as its texts come by: words that are not common and bigrams, with their counts in
+    training texts."""
 
-    def __init__(self, s: States):
-        self.s, self.waiting, self.size, self.parts = s, [], 0, []
+    def __init__(self, s: Common, buckets: int):
+        self.s, self.buckets, self.waiting, self.size, self.parts = s, buckets, [], 0, []
 
     def add(self, w: np.ndarray, held_out: bool) -> None:
         self.waiting.append((w, held_out))
@@ -90,86 +158,169 @@ class Requests:
 
     def count(self) -> None:
         if self.waiting:
-            s, rows = self.s, []
-            for w, held_out in self.waiting:
-                index = s.index(w)
-                state, code = s.pairs(w, index)
-                rows.append((w[index < 0], code[code >= 0], state[state >= 0], held_out))
-            words, codes = ((np.concatenate([r[k] for r in rows]), np.concatenate([np.full(len(r[k]), not r[3], np.float64) for r in rows])) for k in (0, 1))
-            self.parts.append((_counted(*words), _counted(*codes), np.unique(np.concatenate([r[2] for r in rows]))))
+            s = self.s
+            words, _, at = _strung([x for x, _ in self.waiting])
+            weight = np.repeat([not h for _, h in self.waiting], [len(x) for x, _ in self.waiting])
+            rare = s.index(words[at]) < 0
+            of_words, of_pairs = words[at][rare], _pairs(words, at)
+            parts = []
+            for keys, n in ((of_words, weight[rare]), (of_pairs, weight)):
+                order, starts = _grouped(keys)
+                parts.append((keys[order[starts]], _sums(n, order, starts), order[starts]))
+            self.parts.append((parts[0][:2], (*parts[1][:2], words[at[parts[1][2]] - 1])))
             self.waiting, self.size = [], 0
 
     def answer(self, block: int) -> pa.RecordBatch:
         self.count()
-        words, codes = (_counted(*(np.concatenate([p[k][side] for p in self.parts]) for side in (0, 1))) for k in (0, 1))
-        used = np.unique(np.concatenate([p[2] for p in self.parts]))
-        kind = np.repeat(np.array([WORD, PAIR, STATE], np.int32), [len(words[0]), len(codes[0]), len(used)])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(kind), pa.array(np.concatenate((as_long(words[0]), codes[0], used)), pa.int64()), pa.array(np.full(len(kind), block, np.int32)), pa.array(np.concatenate((words[1], codes[1], np.zeros(len(used), np.int64))), pa.int64())],
-            ["kind", "code", "block", "c"],
-        )
-
-
-def _requests(batches: Iterator[pa.RecordBatch], states) -> Iterator[pa.RecordBatch]:
-    """(kind, code, block, c) of every block in the partition."""
-    held: dict[int, Requests] = {}
+        s, buckets = self.s, self.buckets
+        words, counts, pairs, n, before = (np.concatenate([p[side][k] for p in self.parts]) for side, k in ((0, 0), (0, 1), (1, 0), (1, 1), (1, 2)))
+        self.parts = []
+        order, starts = _grouped(words)
+        words, counts = words[order[starts]], _sums(counts, order, starts)
+        order, starts = _grouped(pairs)
+        pairs, n, before = pairs[order[starts]], _sums(n, order, starts), before[order[starts]]
+        state = np.where(before == START, s.n, s.index(before))
+        common, rare = np.flatnonzero(state >= 0), np.flatnonzero(state < 0)
+        rare = rare[np.argsort(before[rare], kind="stable")]  # in the order of their words, each of which is among ``words``
+        fans = np.searchsorted(before[rare], words, "right") - np.searchsorted(before[rare], words, "left")
+        edge = np.arange(buckets + 1)
+        of_words, of_common = np.searchsorted(_bucket(words, buckets), edge), np.searchsorted(_bucket(pairs[common], buckets), edge)
+        of_rare = np.append(0, np.cumsum(fans))[of_words]
+        cols: list[list] = [[] for _ in range(10)]
+        for k in range(buckets):
+            x, y, z = slice(*of_words[k : k + 2]), rare[slice(*of_rare[k : k + 2])], common[slice(*of_common[k : k + 2])]
+            if len(words[x]) or len(z):
+                row = (k, block, _steps(words[x]), _bytes(counts[x]), _bytes(fans[x]), pairs[y].tobytes(), _bytes(n[y]), _steps(pairs[z]), _bytes(n[z]), _bytes(state[z]))
+                for col, value in zip(cols, row, strict=True):
+                    col.append(value)
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in cols[:2]), *(pa.array(c, pa.binary()) for c in cols[2:])], [c.split()[0] for c in _ASKED.split(", ")])
+
+
+def _requests(batches: Iterator[pa.RecordBatch], common, buckets: int) -> Iterator[pa.RecordBatch]:
+    """What every block in the partition, whose rows are in the order of blocks, asks for."""
+    last, held = None, None
     for batch in batches:
         for text, block, held_out in zip(*(batch.column(n).to_pylist() for n in ("text", "block", "held_out")), strict=True):
-            held.setdefault(block, Requests(states.value)).add(tokens(text), held_out)
-    for block in list(held):
-        yield held.pop(block).answer(block)
-
-
+            if block != last:
+                if held is not None:
+                    yield held.answer(last)
+                last, held = block, Requests(common.value, buckets)
+            held.add(tokens(text), held_out)
+    if held is not None:
+        yield held.answer(last)
+
+
+def _column(asked: pa.Table, keys: str, *numbers: str) -> tuple[np.ndarray, ...]:
+    """Keys of all rows one after the other, their numbers, and how many keys each row has."""
+    k = [(_loose if keys == "pairs" else _keys)(b) for b in asked.column(keys).to_pylist()]
+    return np.concatenate(k), *(np.concatenate([_numbers(b, len(x)) for b, x in zip(asked.column(c).to_pylist(), k, strict=True)]) for c in numbers), np.array([len(x) for x in k])
+
+
+def _masses(asked: pa.Table) -> pa.Table:
+    """(state, freed): what the discount frees in one bucket's arcs of common words and the start."""
+    pairs, counts, states, _ = _column(asked, "common_pairs", "common_counts", "states")
+    order, starts = _grouped(pairs)
+    freed = np.bincount(states[order[starts]], np.maximum(_sums(counts, order, starts) - 1, 0))
+    found = np.flatnonzero(freed)
+    return pa.table({"state": pa.array(found, pa.int32()), "freed": pa.array(freed[found].astype(np.int64))})
+
+
+def _answers(asked: pa.Table) -> pa.Table:
+    """One bucket's answer to each block: counts and freed masses of its words, and its arcs."""
+    words, counts, fans, word_rows = _column(asked, "words", "word_counts", "fans")
+    order, starts = _grouped(words)
+    totals = _back(_sums(counts, order, starts), order, starts)
+    word_of = _back(np.arange(len(starts)), order, starts)
+    pairs, counts, pair_rows = _column(asked, "pairs", "pair_counts")
+    order, starts = _grouped(pairs)
+    seen = _sums(counts, order, starts)
+    freed = np.bincount(np.repeat(word_of, fans)[order[starts]], np.maximum(seen - 1, 0), len(words))[word_of].astype(np.int64)
+    seen = _back(seen, order, starts)
+    common, counts, common_rows = _column(asked, "common_pairs", "common_counts")
+    order, starts = _grouped(common)
+    often = _back(_sums(counts, order, starts), order, starts)
+    ends = [np.append(0, np.cumsum(r)) for r in (word_rows, pair_rows, common_rows)]
+    cols: list[list] = [[] for _ in range(5)]
+    for k in range(asked.num_rows):
+        x, y, z = (slice(*e[k : k + 2]) for e in ends)
+        arc, n = np.concatenate((pairs[y], common[z])), np.concatenate((seen[y], often[z]))
+        kept = np.flatnonzero(n > 1)
+        kept = kept[np.argsort(arc[kept])]
+        row = (_steps(words[x]), _bytes(totals[x]), _bytes(freed[x]), _steps(arc[kept]), _bytes(n[kept]))
+        for col, value in zip(cols, row, strict=True):
+            col.append(value)
+    return pa.Table.from_arrays([asked.column("block"), *(pa.array(c, pa.binary()) for c in cols)], ["block", "words", "word_counts", "freed", "arcs", "arc_counts"])
+
+
+_ANSWERS = "block int, words binary, word_counts binary, freed binary, arcs binary, arc_counts binary"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 class Automaton:
     """The slice of the model that one block's texts can touch."""
 
-    def __init__(self, s: States, kind: np.ndarray, code: np.ndarray, value: np.ndarray):
-        def table(k: int) -> tuple[np.ndarray, np.ndarray]:
-            at = np.flatnonzero(kind == k)
-            keys = code[at].view(np.uint64) if k == WORD else code[at]
-            order = np.argsort(keys)
-            return keys[order], value[at][order]
+    def __init__(self, s: Common, answers: pa.Table):
+        def table(keys: str, *numbers: str) -> tuple[np.ndarray, ...]:
+            *found, _ = _column(rows, keys, *numbers)
+            order = np.argsort(found[0])
+            return tuple(x[order] for x in found)
 
-        self.s, self.words, self.arcs, self.freed = s, table(WORD), table(PAIR), table(STATE)
+        rows = answers.filter(answers.column("words").is_valid()) if answers.num_rows else answers
+        nothing = (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
+        self.s, self.masses = s, np.zeros(s.n + 1, np.int64)
+        self.words, self.arcs = (table("words", "word_counts", "freed"), table("arcs", "arc_counts")) if rows.num_rows else (nothing, nothing)
+        for states, masses in zip(answers.column("states").to_pylist(), answers.column("masses").to_pylist(), strict=True):
+            if states:
+                self.masses[states] = masses
 
     @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
-        if not len(table[0]):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-        return np.where(table[0][at] == keys, table[1][at], 0)
-
-    def read(self, w: np.ndarray) -> tuple[int, float, float]:
-        """(known tokens, log10 by the root alone, log10 by the automaton) of one text."""
+    def _find(table: tuple[np.ndarray, ...], keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        if not len(table[0]) or not len(keys):
+            return tuple(np.zeros(len(keys), np.int64) for _ in table[1:])
+        order, starts = _grouped(keys)
+        wanted = keys[order[starts]]
+        at = np.minimum(np.searchsorted(table[0], wanted), len(table[0]) - 1)
+        same = table[0][at] == wanted
+        return tuple(_back(np.where(same, x[at], 0), order, starts) for x in table[1:])
+
+    def read(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known tokens, log10 by the root alone, log10 by the automaton) of each text."""
         s = self.s
-        index = s.index(w)
-        count = np.where(index >= 0, s.counts[index], self._find(self.words, w))
-        root = (count + 1) / (s.total + s.kinds + 1)
-        state, code = s.pairs(w, index)
-        arc = self._find(self.arcs, code) * (code >= 0)
-        seen = np.maximum(s.counts[state], 1)
-        fail = np.where(state >= 0, 1 - self._find(self.freed, state) / seen, 1.0)
-        weight = np.where(arc > 0, np.maximum(arc - 1, 0) / seen + fail * root, fail * root)
-        return int((count > 0).sum()), float(np.log10(root).sum()), float(np.log10(weight).sum())
-
-
-def _score(left: pa.Table, right: pa.Table, states) -> pa.Table:
-    s = states.value
-    model = Automaton(s, *(right.column(n).to_numpy() for n in ("kind", "code", "value")))
-    rows = []
-    for doc_id, text, held_out in zip(*(left.column(n).to_pylist() for n in ("doc_id", "text", "held_out")), strict=True):
-        w = tokens(text)
-        rows.append((doc_id, held_out, len(w), *model.read(w)))
-    cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    a = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-    return pa.Table.from_arrays([*a[:4], pa.array([s.total] * len(rows), pa.int64()), *a[4:]], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-
-def score_texts(docs: DataFrame, share: float = STATE_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+        words, starts, at = _strung(texts)
+        count, freed = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        index = s.index(words[at])
+        often, rare = at[index >= 0], at[index < 0]
+        count[often], freed[often] = s.counts[index[index >= 0]], self.masses[index[index >= 0]]
+        count[rare], freed[rare] = self._find(self.words, words[rare])
+        count[starts], freed[starts] = s.texts, self.masses[s.n]
+        root = (count[at] + 1) / (s.total + s.kinds + 1)
+        arc = self._find(self.arcs, _pairs(words, at))[0]
+        seen = np.maximum(count[at - 1], 1)
+        weight = np.maximum(arc - 1, 0) / seen + (1 - freed[at - 1] / seen) * root
+        first = starts - np.arange(len(starts))  # of each text's tokens
+        return tuple(np.add.reduceat(x, first) for x in ((count[at] > 0).astype(np.int64), np.log10(root), np.log10(weight)))
+
+
+def _score(left: pa.Table, right: pa.Table, common) -> pa.Table:
+    s = common.value
+    model = Automaton(s, right)
+    lengths, found, waiting, size = [], [], [], 0
+    for batch in left.select(["text"]).to_batches(max_chunksize=1024):
+        for text in batch.column(0).to_pylist():
+            waiting.append(tokens(text))
+            lengths.append(len(waiting[-1]))
+            size += lengths[-1]
+            if size >= HOLD:
+                found.append(model.read(waiting))
+                waiting, size = [], 0
+    if waiting:
+        found.append(model.read(waiting))
+    known, base, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else ([], [], [])
+    rows = [left.column("doc_id"), left.column("held_out"), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array([s.total] * len(lengths), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
+    return pa.Table.from_arrays(rows, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+
+def score_texts(docs: DataFrame, share: float = COMMON_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32(doc_id as text) mod 7 is 2 are held out of all counts; a null doc_id counts as training. A null text
@@ -186,21 +337,14 @@ def score_texts(docs: DataFrame, share: float = STATE_SHARE, block_bytes: int =
     sums = vocabulary.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("word") == int(END), F.col("c")))).first()
     total, kinds, trained = (x or 0 for x in sums)
     frequent = vocabulary.where(F.col("c") >= max(2, share * total)).toPandas()  # at most 1 / share rows
-    states = spark.sparkContext.broadcast(States(frequent["word"].to_numpy(np.int64).view(np.uint64), frequent["c"].to_numpy(np.int64), total, kinds, trained))
+    common = spark.sparkContext.broadcast(Common(frequent["word"].to_numpy(np.int64).view(np.uint64), frequent["c"].to_numpy(np.int64), total, kinds, trained))
 
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
+    blocks = max(1, -(-size // block_bytes))  # and as many buckets
     dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition("block")
-    asked = dealt.mapInArrow(lambda b: _requests(b, states), "kind int, code long, block int, c long")
-    same = Window.partitionBy("kind", "code")
-    # window results and coalesce keep the uses below from pushing filters of their own under the exchange they share
-    summed = asked.select(
-        "code", "block", F.sum("c").over(same).alias("total"), F.max("kind").over(same).alias("is"), F.row_number().over(same.orderBy("block")).alias("nth")
-    )
-    kept = summed.where((F.col("is") == PAIR) & (F.col("total") > 1) & (F.col("nth") == 1))
-    freed = kept.groupBy(F.coalesce(F.expr(f"code div {max(1, len(frequent))}"), F.lit(-1)).alias("code")).agg(F.sum(F.col("total") - 1).alias("freed"))
-    answers = summed.where((F.col("total") > F.when(F.col("is") == PAIR, 1).otherwise(0)) | (F.col("is") == STATE)).join(
-        F.broadcast(freed.withColumn("is", F.lit(STATE))), ["is", "code"], "left"  # at most one row a state
-    )
-    slices = answers.select("block", F.col("is").alias("kind"), "code", F.when(F.col("is") == STATE, F.coalesce("freed", F.lit(0))).otherwise(F.col("total")).alias("value"))
-    return dealt.groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(lambda l, r: _score(l, r, states), _SCORES)
+    asked = dealt.sortWithinPartitions("block").mapInArrow(lambda b: _requests(b, common, blocks), _ASKED).groupBy("bucket")
+    freed = asked.applyInArrow(_masses, "state int, freed long").groupBy("state").agg(F.sum("freed").alias("freed"))
+    masses = freed.agg(F.collect_list(F.struct("state", "freed")).alias("m"))  # at most one a common word
+    shared = spark.range(blocks).crossJoin(F.broadcast(masses)).select(F.col("id").cast("int").alias("block"), F.col("m.state").alias("states"), F.col("m.freed").alias("masses"))
+    slices = asked.applyInArrow(_answers, _ANSWERS).unionByName(shared, allowMissingColumns=True)
+    return dealt.groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(lambda l, r: _score(l, r, common), _SCORES)

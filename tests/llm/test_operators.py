@@ -129,6 +129,12 @@ def test_language_model(docs):
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
 
 
+def test_language_model_has_every_bigram_whatever_words_are_common(docs):
+    """Bigrams of words below the common share count too: the share only decides where they are counted."""
+    read = lambda **k: sorted((str(r.doc_id), r.n_known, round(r.score, 6)) for r in backoff_lm.score_texts(docs, **k).collect())
+    assert read(share=0.04) == read(share=2.0, block_bytes=700) == read()
+
+
 def test_urls(spark):
     urls = ["http://A.example.org/es/x?q", "https://example.org/en/12#t", "x://notexample.org/en/1", "http://spam.net", "http://ok.net/", None, "no scheme", "http://b.com/fr/://c", "http://b.com/de/", "http://casino.com/zz", "http://a.org", "http://org/"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(None, "http://spam.net", "h")], "page_id long, url string, host string")
