@@ -202,6 +202,17 @@ def test_leaks_with_other_values(spark):
     assert decontam.leaks(docs.limit(0), benchmark).count() == 0 and decontam.leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_leaks_of_placeholders_torn_slots_and_other_case(spark):
+    names = "We saw Anna meet Bert, Carl, Dora, Emil, Fritz, Gina and Hans near Rome"
+    story = "There are 5 boys and 5 girls in the class who read one book every month and write about it, then they swap the books among the tables and read again until all of them know every story. How many books does the class need for this"
+    benchmark = spark.createDataFrame([(1, "12 + 7 * 5 - 3"), (2, names), (3, story)], "item_id long, text string")
+    texts = ["look: 12 + 7 * 5 - 3 = 44", "look: 13 + 8 * 6 - 4 = 44", names.lower().replace(" ", "\n"), story.replace("5 boys and 5 girls", "6 boys and 4 girls"), story.replace("5 girls", "4 girls")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.hits, r.literal_hits, r.windows) for r in decontam.leaks(docs, benchmark).collect()}
+    assert set(got) == {(0, 1), (2, 2), (3, 3), (4, 3)}
+    assert got[0, 1] == (1, 1, 1) and len(set(got[2, 2])) == 1
+
+
 def _swap(text, pairs):
     for a, b in pairs:
         text = text.replace(a, b)
