@@ -2,8 +2,8 @@
 
 1. The lexicon is learned: words whose documents are toxic far more often than chance allows for the vocabulary tried,
    counted over a bounded sample of labelled training rows, near copies once.
-2. Every word of every text is matched against the lexicon: the automaton of the word (all strings within one edit)
-   walks the lexicon's trie, so all terms are tried at once. Look-alikes that the training rows show to be harmless in
+2. Every word of every text is matched against the lexicon: the automaton of the word (all strings within one edit, a
+   swap of neighbours being one) walks the lexicon's trie, so all terms are tried at once. Look-alikes that the training rows show to be harmless in
    their own right are exceptions, and a term with several of them is only found as it is spelled.
 3. Each hit is judged by the window around it: within quotation marks, or near a word of reporting, it counts as quoted.
 4. A logistic model over the counts of hits (exact or misspelled, quoted or not) gives the score. It is fitted on counts
@@ -28,10 +28,8 @@ from .common import as_long, crc_mod, materialise, mix, shingle_set, word_hashes
 FOLDS, HELD_OUT = 5, 0
 #: Labelled rows that the lexicon and the model are learned from, at most (those of least hash).
 SAMPLE_ROWS = 50_000
-#: Terms of the lexicon at most, those of strongest evidence.
-MAX_TERMS = 2_000
-#: Terms of this length or more are also found misspelled, by one edit.
-FUZZY_LENGTH = 5
+#: Terms of this length or more are also found misspelled, by one edit, in words of this length or more.
+FUZZY_LENGTH = 4
 #: Harmless look-alikes from which on a term is not found misspelled.
 CROWDED = 3
 #: Share of a term's documents that must be toxic.
@@ -45,8 +43,7 @@ REPORTING = frozenset(
 )
 QUOTES = "\"“”„«»‹›"
 TOKEN = re.compile(r"[\w@$*']+|[" + QUOTES + "]")
-#: Feature counts are taken up to here: exact hits, misspelled hits, quoted ones among each.
-CAPS = (4, 4, 4, 4)
+#: Counts of exact hits, of misspelled ones, and of the quoted ones among each.
 FEATURES = ("exact", "fuzzy", "exact_quoted", "fuzzy_quoted")
 
 
@@ -64,8 +61,9 @@ class Trie:
     def within_one(self, word: str) -> list[str]:
         """Terms at most one edit from ``word``: the word's Levenshtein automaton intersected with the trie.
 
-        A state of the automaton is (letters of the word read, edits made); from a set of states the trie's next letter
-        leads to another set, and a branch is left when its set is empty.
+        A state of the automaton is (letters of the word read, edits made), or (letters read, 2) within a swap, when the
+        term has had the word's next letter but one and must go on with the next; from a set of states the trie's next
+        letter leads to another set, and a branch is left when its set is empty.
         """
         n, found = len(word), []
         stack = [(self.root, self._close({(0, 0)}, n))]
@@ -73,14 +71,16 @@ class Trie:
             node, states = stack.pop()
             for ch, child in node.items():
                 if ch == "":
-                    if any(i == n for i, _ in states):
+                    if any(i == n and e < 2 for i, e in states):
                         found.append(child)
                     continue
                 step = set()
                 for i, e in states:
                     if i < n and word[i] == ch:
-                        step.add((i + 1, e))
+                        step.add((i + 2, 1) if e == 2 else (i + 1, e))
                     if e == 0:
+                        if i + 1 < n and word[i + 1] == ch:
+                            step.add((i, 2))  # its letters swapped
                         step.add((i, 1))  # the term has a letter more
                         if i < n:
                             step.add((i + 1, 1))  # another letter
@@ -103,18 +103,21 @@ class Matcher:
         self.exact, self.harmless = frozenset(terms), harmless
         fuzzy = [t for t in terms if len(t) >= FUZZY_LENGTH and t not in crowded]
         self.trie = Trie(fuzzy)
-        # one edit leaves the first two letters or the last two of a term of four or more in place
+        # one edit leaves the first two letters or the last two of a term of four or more in place, or else swaps the middle
+        # of four
         self.heads, self.tails = frozenset(t[:2] for t in fuzzy), frozenset(t[-2:] for t in fuzzy)
-        self.lengths = frozenset(n for t in fuzzy for n in range(len(t) - 1, len(t) + 2))
+        self.frames = frozenset(t[0] + t[3] for t in fuzzy if len(t) == 4)
+        self.lengths = frozenset(n for t in fuzzy for n in range(max(FUZZY_LENGTH, len(t) - 1), len(t) + 2))
         self.clean: set[str] = set()
         self.hits: dict[str, int] = {t: 1 for t in terms}
 
     def judge(self, word: str) -> int:
         if word in self.exact:
             return 1
-        if word in self.harmless or len(word) not in self.lengths or not (word[:2] in self.heads or word[-2:] in self.tails):
+        if word in self.harmless or len(word) not in self.lengths:
             return 0
-        return 2 if self.trie.within_one(word) else 0
+        near = word[:2] in self.heads or word[-2:] in self.tails or (len(word) == 4 and word[0] + word[3] in self.frames)
+        return 2 if near and self.trie.within_one(word) else 0
 
     def found(self, words: set[str]) -> set[str]:
         """Those of the words that are hits."""
@@ -146,15 +149,19 @@ class Matcher:
                     quoted = (marks[i] % 2 == 1 and any(x in QUOTES for x in tokens[low:i]) and any(x in QUOTES for x in tokens[i + 1 : high])) or not REPORTING.isdisjoint(around)
                     out[kind] += 1
                     out[2 + kind] += quoted
-        return tuple(min(x, c) for x, c in zip(out, CAPS, strict=True))
+        return tuple(out)
+
+
+#: MinHash coordinates, of which near copies share one at least, mostly.
+PRINTS = ("one", "two", "three", "four")
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One MinHash coordinate of each text: near copies mostly share it."""
+    """MinHash coordinates of each text."""
     for batch in batches:
         sets = [shingle_set(word_hashes(t), 3) for t in batch.column("text").to_pylist()]
-        prints = np.array([mix(s ^ np.uint64(0x70C51C)).min() if len(s) else 0 for s in sets], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(as_long(prints))], ["doc_id", "toxic", "print"])
+        prints = [np.array([mix(s ^ np.uint64(0x70C51C * (k + 1))).min() if len(s) else 0 for s in sets], np.uint64) for k in range(len(PRINTS))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *(pa.array(as_long(p)) for p in prints)], ["doc_id", "toxic", *PRINTS])
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,12 +215,12 @@ def fit_logistic(x: np.ndarray, n: np.ndarray, t: np.ndarray, ridge: float = 0.1
 
 
 def inputs(exact, fuzzy, exact_quoted, fuzzy_quoted) -> list:
-    """The model's inputs from the counts, for arrays and for columns alike: any hit, how many, none of them as spelled,
-    all of them quoted. What training rows do not show stays near 0: a misspelled hit then counts as a hit."""
+    """The model's inputs from the counts, for arrays and for columns alike: any hit, the logarithm of how many, none of
+    them as spelled, all of them quoted. What training rows do not show stays near 0: a misspelled hit then counts as a hit."""
     hits, quoted = exact + fuzzy, exact_quoted + fuzzy_quoted
     tests = [hits > 0, (hits > 0) & (exact == 0), (hits > 0) & (quoted >= hits)]
     any_hit, fuzzy_only, all_quoted = (F.when(c, 1.0).otherwise(0.0) if isinstance(c, Column) else c * 1.0 for c in tests)
-    return [any_hit, hits * 1.0, fuzzy_only, all_quoted]
+    return [any_hit, F.log1p(hits) if isinstance(hits, Column) else np.log1p(hits), fuzzy_only, all_quoted]
 
 
 class Toxicity:
@@ -233,8 +240,10 @@ class Toxicity:
             known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labelled"
         )
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-        prints = texts.mapInArrow(_fingerprints, "doc_id long, toxic int, print long")
-        return materialise(prints.groupBy("print", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic").distinct(), "labelled-once")
+        once = texts.mapInArrow(_fingerprints, "doc_id long, toxic int, " + ", ".join(f"{p} long" for p in PRINTS))
+        for p in PRINTS:
+            once = once.groupBy(p, "toxic").agg(F.min_by(F.struct("doc_id", *PRINTS), F.struct("doc_id", *PRINTS)).alias("s")).select("toxic", "s.*")
+        return materialise(once.select("doc_id", "toxic").distinct(), "labelled-once")
 
     @classmethod
     def learn(cls, docs: DataFrame, labels: DataFrame) -> "Toxicity":
@@ -254,10 +263,10 @@ class Toxicity:
             # Chernoff's bound on the chance of so many toxic documents at the overall rate, in decimal orders
             evidence = F.col("t") * F.log10(share / rate) + F.when(benign > 0, benign * F.log10((benign / F.col("n")) / (1 - rate))).otherwise(0.0)
             strong = words.where((F.col("t") > 0) & (share >= max(PRECISION, rate)) & (F.length("word") > 1)).withColumn("evidence", evidence).where(F.col("evidence") > bar)
-            terms = sorted(r["word"] for r in strong.orderBy(F.desc("evidence"), "word").limit(MAX_TERMS).select("word").collect())
+            terms = sorted(r["word"] for r in strong.select("word").collect())  # at most the words of SAMPLE_ROWS texts' toxic ones
             seen = spark.sparkContext.broadcast(Matcher(terms))
             near = words.mapInArrow(lambda b: _look_alikes(b, seen), "word string, t long, n long, terms array<string>").where((F.col("t") + 1.8) / (F.col("n") + 2) < 0.7)
-            rows_near = near.select("word", "terms").collect()  # within one edit of at most MAX_TERMS terms
+            rows_near = near.select("word", "terms").collect()  # within one edit of a term
             harmless = sorted(r["word"] for r in rows_near)
             alike = Counter(t for r in rows_near for t in r["terms"])
             crowded = frozenset(t for t, k in alike.items() if k >= CROWDED)
