@@ -5,7 +5,8 @@ before the shuffle), and a small map says which shard holds a slot. Version 1 de
 next version that moves as few slots as it can: each shard keeps its largest slots up to the mean load, and what
 overflows goes, largest first, to whichever shard then has least. Adding shards is the same edit with more shards.
 
-The map has one row per slot however many records there are, so it may be broadcast.
+The map has one row per slot however many records there are, so it may be broadcast. An id whose records weigh more than
+a mean slot (there are fewer of these than slots) is hot: its records are spread over the slots by what tells them apart.
 """
 
 from __future__ import annotations
@@ -24,8 +25,21 @@ def record_size(text: str = "text") -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def virtual_slot(id_col: str = "doc_id", slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(id_col), F.lit(slots)).cast("int")
+def virtual_slot(*by: str, slots: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(slots)).cast("int")
+
+
+def with_slots(records: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Add ``vslot`` to records that have doc_id, size, text_crc32 and ``row``, a number of their own.
+
+    The slot is a hash of doc_id, but for ids that hold more bytes than a mean slot: each of their records goes by doc_id,
+    text and row. There are at most ``slots`` of these ids, so they are broadcast.
+    """
+    mean = (records.agg(F.sum("size")).first()[0] or 0) / slots
+    hot = records.groupBy("doc_id").agg(F.sum("size").alias("held"), F.count("*").alias("n")).where((F.col("held") > mean) & (F.col("n") > 1))
+    r, h = records.alias("r"), F.broadcast(hot.select("doc_id", F.lit(True).alias("hot"))).alias("h")
+    slot = F.when(F.col("hot"), virtual_slot("r.doc_id", "text_crc32", "row", slots=slots)).otherwise(virtual_slot("r.doc_id", slots=slots))
+    return r.join(h, F.col("r.doc_id").eqNullSafe(F.col("h.doc_id")), "left").select("r.*", slot.alias("vslot"))
 
 
 def slot_loads(records: DataFrame) -> DataFrame:
@@ -88,19 +102,22 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -
     """One row per record: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null), vslot.
 
     Only ``doc_id`` and ``text`` are read, whatever other columns there are. A null text has size 1 and the crc32 of no
-    bytes; records with a null doc_id share one virtual slot; repeated rows get places of their own; an empty table
-    gives no rows. Records of one doc_id stay together, as their hash decides the slot.
+    bytes; a null doc_id is an id like another; repeated rows get places of their own; an empty table gives no rows.
+    Records of one doc_id stay together, as its hash decides the slot, unless they outweigh a mean slot: then they are
+    spread, as else no map could make the shards equal. Records of equal text but other ids are not kept together, for
+    the same reason: a group of copies may hold more bytes than a shard.
     """
     records = materialise(
         docs.select(
             "doc_id",
             record_size().alias("size"),
             F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
-            virtual_slot(slots=slots).alias("vslot"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "shard-records",
     )
-    slot_map = materialise(rebalance(first_map(slot_loads(records), shards), shards), "slot-map")
-    return place(records, slot_map).select(
+    placed = materialise(with_slots(records, slots).drop("row"), "shard-slots")
+    slot_map = materialise(rebalance(first_map(slot_loads(placed), shards), shards), "slot-map")
+    return place(placed, slot_map).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot"
     )
