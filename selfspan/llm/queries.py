@@ -81,6 +81,6 @@ ORACLE = {
         )
         SELECT page_id, host, path, rule, CASE
             WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-            WHEN contains(host, 'casino') OR contains(host, 'spam') THEN 'block' ELSE 'allow' END AS verdict
+            WHEN list_has_any(string_split_regex(host, '[.-]'), ['casino', 'bets', 'poker', 'pills', 'spam', 'adult', 'porn', 'ads']) THEN 'block' ELSE 'allow' END AS verdict
         FROM r""",
 }
