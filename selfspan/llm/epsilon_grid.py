@@ -13,7 +13,7 @@ has and a spanning forest of the links, never the pairs, so a dense group of any
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import sqrt
+from math import log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +28,19 @@ DIRECTIONS = 6
 #: Vectors in a block, and in a leaf of the recursion.
 BLOCK = 1024
 LEAF = 64
+#: Blocks that one more leading cell is worth, in the key by which blocks meet.
+CELLS = 64
 #: Widest vectors whose covariance (width x width) is gathered; beyond it the grid lies on the first coordinates.
 WIDEST = 1024
 
 
 def _units(rows: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    flat = rows.combine_chunks().flatten() if isinstance(rows, pa.ChunkedArray) else rows.flatten()
-    raw = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    """(unit vectors, vectors as they are), shorter ones filled up with zeros, which changes no length or product."""
+    if isinstance(rows, pa.ChunkedArray):
+        rows = rows.combine_chunks()
+    lengths = rows.value_lengths().to_numpy()
+    raw = np.zeros((len(rows), width))
+    raw[np.arange(width) < lengths[:, None]] = rows.flatten().to_numpy(zero_copy_only=False)
     scaled = raw / np.abs(raw).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True)), raw
 
@@ -206,7 +212,7 @@ def _links(batches: Iterator[pa.RecordBatch], least: float, epsilon: float) -> I
 
 
 def _within(distinct: DataFrame, width: int, least: float) -> DataFrame:
-    """(a, b, n) of the links among distinct vectors of one width."""
+    """(a, b, n) of the links among distinct vectors of equal labels; ``width``: of the widest."""
     epsilon = sqrt(2 - 2 * least)
     basis = principal_directions(distinct, width, min(DIRECTIONS, width))
     kind = dict(distinct.dtypes)["vector"]
@@ -214,13 +220,22 @@ def _within(distinct: DataFrame, width: int, least: float) -> DataFrame:
     order = ["label", *(F.col("cells")[k] for k in range(basis.shape[1])), "id"]
     blocks = materialise(spots.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda b: _cut(b, BLOCK, width), _BLOCK), "grid-blocks")
 
-    reach = blocks.select("label", "block", "low", "high", F.explode(F.sequence(F.floor(F.col("low")[0] / epsilon), F.floor(F.col("high")[0] / epsilon))).alias("cell"))
-    near = blocks.select("label", "block", "low", "high", F.explode(F.sequence(F.floor(F.col("low")[0] / epsilon) - 1, F.floor(F.col("high")[0] / epsilon) + 1)).alias("cell"))
-    gap = F.expr("aggregate(sequence(0, size(a.low) - 1), 0D, (s, k) -> s + pow(greatest(0D, a.low[k] - b.high[k], b.low[k] - a.high[k]), 2))")
-    pairs = (
-        reach.alias("a").join(near.alias("b"), ["label", "cell"]).where(F.col("a.block") <= F.col("b.block")).where(gap <= (epsilon * (1 + 1e-9)) ** 2 + 1e-12)
-        .select(F.col("a.block").alias("block_a"), F.col("b.block").alias("block_b")).distinct()
-    )
+    # blocks are matched by label and as many leading cells as tell the blocks apart; of two boxes that share several cells,
+    # the first one counts
+    keys = min(basis.shape[1], 1 + int(log(max(1, blocks.count()), CELLS)))
+
+    def cells(side: str, wider: int) -> DataFrame:
+        out = blocks.select("label", *(F.col(c).alias(f"{c}_{side}") for c in ("block", "low", "high")))
+        for k in range(keys):
+            at = lambda edge: F.floor(F.col(f"{edge}_{side}")[k] / epsilon)  # noqa: B023, E731
+            out = out.withColumn(f"first{k}_{side}", at("low") - wider).withColumn(f"cell{k}", F.explode(F.sequence(at("low") - wider, at("high") + wider)))
+        return out
+
+    gap = F.expr("aggregate(sequence(0, size(low_a) - 1), 0D, (s, k) -> s + pow(greatest(0D, low_a[k] - high_b[k], low_b[k] - high_a[k]), 2))")
+    pairs = cells("a", 0).join(cells("b", 1), ["label", *(f"cell{k}" for k in range(keys))]).where("block_a <= block_b")
+    for k in range(keys):
+        pairs = pairs.where(F.col(f"cell{k}") == F.greatest(f"first{k}_a", f"first{k}_b"))
+    pairs = pairs.where(gap <= (epsilon * (1 + 1e-9)) ** 2 + 1e-12).select("block_a", "block_b")
     payload = lambda s: blocks.select(*(F.col(c).alias(f"{c}_{s}") for c in ("block", "ids", "copies", "raw", "spots")))
     work = pairs.join(payload("a"), "block_a").join(payload("b"), "block_b").repartition("block_a", "block_b")
     return work.mapInArrow(lambda b: _links(b, least, epsilon), "a long, b long, n long")
@@ -247,13 +262,12 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = LEAST) -> DataFram
     )
     key = ["label", "width", "one", "two"]
     distinct = materialise(sound.groupBy(*key).agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.min_by("vector", "vec_id").alias("vector")), "distinct-vectors")
-    parts = [_within(distinct.where(F.col("width") == w).select("id", "label", "copies", "vector"), w, least) for w in sorted(r[0] for r in distinct.select("width").distinct().collect())]
-    if not parts:
+    widest = distinct.agg(F.max("width")).first()[0]
+    if widest is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    found = materialise(found, "vector-links")
+    # label and length together are what must be equal: one number stands for both
+    alike = distinct.select("id", F.xxhash64("label", "width").alias("label"), "copies", "vector")
+    found = materialise(_within(alike, widest, least), "vector-links")
     counts = found.where("n IS NOT NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     groups = connected_components(found.where("b IS NOT NULL").select("a", "b"), "vector-components")
     classes = distinct.select(*key, "id", "copies").join(counts, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
