@@ -18,13 +18,15 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where none is named, a temporary one serves a
+    local session; a cluster has no folder of the driver's, so there it is an error."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
@@ -113,8 +115,9 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
-def map_groups(df: DataFrame, keys: list[str], process: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_groups(df: DataFrame, keys: list[str], process: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None], schema: str, order: list[str] | None = None) -> DataFrame:
     """Run ``process(table, starts)`` on sorted runs of whole groups; ``starts`` holds where each group begins, and the end.
+    ``order``: columns that order a group's rows.
 
     For groups of bounded size, which callers see to: rows are dealt and sorted by the keys, and a task holds one Arrow
     batch and the group that the next batch may continue.
@@ -143,7 +146,7 @@ def map_groups(df: DataFrame, keys: list[str], process: Callable[[pa.Table, np.n
         if held is not None and held.num_rows and (out := process(held.combine_chunks(), np.array([0, held.num_rows]))) is not None:
             yield out
 
-    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *(order or [])).mapInArrow(run, schema)
 
 
 def crc_mod(column: Column | str, modulus: int) -> Column:
@@ -151,35 +154,48 @@ def crc_mod(column: Column | str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % modulus
 
 
+#: A node is a hub with this share of all edges, and at least so many: there are fewer than 1 / HUB_SHARE hubs.
+HUB_SHARE, HUB_EDGES = 1 / 256, 256
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component): the smallest node each node reaches over ``edges`` (a, b).
 
-    Alternating large-star and small-star steps: every node's neighbours are hooked to the smallest neighbour, until
-    only stars remain. Each step is an aggregate (with map-side combining) and an equi-join that Spark can split where a
-    node has very many neighbours; no adjacency list is gathered. Nodes without edges are not returned.
+    Alternating large-star and small-star steps over edges (u, v) with u > v: every node's neighbours are hooked to the
+    smallest neighbour, until only stars remain. A node's smallest neighbour is an aggregate with map-side combining,
+    and the edges look it up by an equi-join; those at a hub find it in a broadcast table instead, as there are less than
+    1 / HUB_SHARE hubs, so no task takes all edges of a node. No adjacency list is gathered. Null nodes and loops are
+    dropped; nodes without edges are not returned.
     """
-    def least(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-
-    def large_star(e: DataFrame) -> DataFrame:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        joined = both.join(least(both), "u").where("v > u")
-        return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-
-    def small_star(e: DataFrame) -> DataFrame:
-        down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = least(down)
-        joined = down.join(low, "u")
-        return joined.select("v", "m").where("v <> m").toDF("u", "v").union(low.toDF("u", "v")).where("u <> v").distinct()
+    spark = edges.sparkSession
 
     def digest(e: DataFrame) -> tuple:
         row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         return row["n"], row["h"]
 
-    current = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
+    def with_least(e: DataFrame, side: str, n: int) -> DataFrame:
+        """The edges with ``m``, the smallest neighbour below the node at ``side``, or null where it has none."""
+        low = e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", side)
+        hubs = [r[0] for r in e.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") >= max(HUB_EDGES, n * HUB_SHARE)).select(side).collect()]
+        if not hubs:
+            return e.join(low, side, "left").select("u", "v", "m")
+        of_hubs = spark.createDataFrame([(h,) for h in hubs], f"{side} long")
+        at_hub = low.join(F.broadcast(of_hubs), side, "left_semi")
+        plain = e.join(F.broadcast(of_hubs), side, "left_anti").join(low, side, "left")
+        return plain.select("u", "v", "m").union(e.join(F.broadcast(of_hubs), side, "left_semi").join(F.broadcast(at_hub), side, "left").select("u", "v", "m"))
+
+    def large_star(e: DataFrame, n: int) -> DataFrame:
+        return with_least(e, "v", n).select("u", F.coalesce("m", "v").alias("v")).distinct()
+
+    def small_star(e: DataFrame, n: int) -> DataFrame:
+        hooked = with_least(e, "u", n)
+        return hooked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(hooked.where("v = m").select("u", "v")).distinct()
+
+    current = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     before = digest(current)
     while before[0]:
-        current = materialise(small_star(large_star(current)), name)
+        large = materialise(large_star(current, before[0]), name)
+        current = materialise(small_star(large, before[0]), name)
         after = digest(current)
         if after == before:
             break

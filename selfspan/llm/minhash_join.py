@@ -9,8 +9,10 @@
 3. In each posting list collisions are counted over whole signatures, and of the pairs above the threshold only a
    spanning forest is kept: what is needed is who reaches whom, and a forest has at most one edge a posting. Long lists
    are cut into blocks and joined block by block.
-4. The forests' components hold every true link. Small ones are settled in one task each on the full sets; large ones
-   block by block, again keeping forests of confirmed links only.
+4. The forests' components hold every true link. First the forests' own edges, stars around a root, are tried on the full
+   sets; where these confirmed links already join a whole component, as in a group of near copies however large, nothing
+   is left to find. The other components are settled in one task each on the full sets, large ones block by block, again
+   keeping forests of confirmed links only.
 """
 
 from __future__ import annotations
@@ -138,6 +140,31 @@ def _settle(table: pa.Table, starts: np.ndarray, words: int, part: int, whole: i
     return _edges([x for x, _ in edges], [y for _, y in edges])
 
 
+def _try_stars(table: pa.Table, starts: np.ndarray, words: int, part: int, whole: int) -> pa.RecordBatch:
+    """The links between each star's root, whose rows (one a text of its id) come first, and its members."""
+    ids, place, texts, a, b = table.column("rep").to_numpy(), table.column("place").to_numpy(), table.column("text"), [], []
+    for x, y in zip(starts[:-1], starts[1:], strict=True):
+        m = x + int((place[x:y] == 0).sum())
+        own = [shingle_set(word_hashes(texts[k].as_py()), words) for k in range(x, m)]
+        for k in range(m, y):
+            other = shingle_set(word_hashes(texts[k].as_py()), words)
+            common = [len(np.intersect1d(s, other, assume_unique=True)) for s in own]
+            if any(whole * c >= part * (len(s) + len(other) - c) for c, s in zip(common, own, strict=True)):
+                a.append(ids[x])
+                b.append(ids[k])
+    return _edges(a, b)
+
+
+def confirmed_stars(candidates: DataFrame, texts: DataFrame, words: int, part: int, whole: int) -> DataFrame:
+    """The candidate edges (a, b) that hold on the full sets. A star is dealt out in blocks of up to GROUP_BLOCK members, each
+    with the root's text: a text is shipped once an edge at most."""
+    sized = candidates.join(candidates.groupBy("a").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks")), "a")
+    members = sized.select(F.col("a").alias("root"), F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"), F.col("b").alias("rep"), F.lit(1).alias("place"))
+    roots = members.select("root", "block").distinct().select("root", "block", F.col("root").alias("rep"), F.lit(0).alias("place"))
+    rows = texts.join(members.union(roots).withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id").select("root", "block", "place", F.col("doc_id").alias("rep"), "text")
+    return map_groups(rows, ["root", "block"], lambda t, s: _try_stars(t, s, words, part, whole), "a long, b long", order=["place"])
+
+
 def in_blocks(rows: DataFrame, group: list[str], size: str, block: int, of: str) -> DataFrame:
     """Give each row ``pair``: null in a group of up to ``block`` rows, else one row for each pair of blocks it is in."""
     n = F.ceil(F.col(size) / block).cast("int")
@@ -180,14 +207,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, part: int = 80, whole: int
     code = reps.select("rep", F.expr("unhex(array_join(transform(sign, x -> lpad(hex(x & 255), 2, '0')), ''))").alias("code"))
     lists = in_blocks(rare.join(code, "rep"), ["token"], "df", LIST_BLOCK, "rep")
     candidates = materialise(map_groups(lists, ["token", "pair"], lambda t, s: _collide(t, s, matches), "a long, b long").distinct(), "candidates")
-    near = materialise(connected_components(candidates), "candidate-groups")
+    sure = materialise(confirmed_stars(candidates, texts, words, part, whole).distinct(), "star-links")
+    near = connected_components(candidates).withColumnRenamed("component", "candidates")
+    joined = materialise(near.join(connected_components(sure, "star-groups"), "node", "left").select("node", "candidates", F.coalesce("component", "node").alias("own")), "candidate-groups")
 
-    sized = near.join(near.groupBy("component").agg(F.count("*").alias("members")), "component")
+    # of two, the only edge has been tried
+    open_groups = joined.groupBy("candidates").agg(F.count("*").alias("members"), F.min("own").alias("least"), F.max("own").alias("most")).where("least < most AND members > 2")
+    sized = joined.join(open_groups.select("candidates", "members"), "candidates")
     # neither side has a bounded size: the plan is the same for a small table as for a large one
-    members = texts.join(sized.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").select("component", "members", F.col("doc_id").alias("rep"), "text")
+    members = texts.join(sized.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").select(F.col("candidates").alias("component"), "members", F.col("doc_id").alias("rep"), "text")
     blocks = in_blocks(members, ["component"], "members", GROUP_BLOCK, "rep")
     links = materialise(map_groups(blocks, ["component", "pair"], lambda t, s: _settle(t, s, words, part, whole), "a long, b long").distinct(), "links")
-    groups = connected_components(links, "links")
+    side = lambda n: joined.select(F.col("node").alias(n), F.col("own").alias(f"own_{n}"))
+    between = links.join(side("a"), "a").join(side("b"), "b").select(F.col("own_a").alias("a"), F.col("own_b").alias("b"))
+    merged = connected_components(between, "links")
+    groups = joined.join(merged.withColumnRenamed("node", "own"), "own", "left").select("node", F.coalesce("component", "own").alias("component"))
 
     placed = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*same, "rep", F.coalesce("component", "rep").alias("component_id"))
     return signed.join(placed, same, "left").select(
