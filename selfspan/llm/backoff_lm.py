@@ -341,7 +341,8 @@ def score_texts(docs: DataFrame, share: float = COMMON_SHARE, block_bytes: int =
 
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))  # and as many buckets
-    dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition("block")
+    # rows go to blocks in turn, so that equal ones do not meet in one
+    dealt = texts.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")).repartition("block")
     asked = dealt.sortWithinPartitions("block").mapInArrow(lambda b: _requests(b, common, blocks), _ASKED).groupBy("bucket")
     freed = asked.applyInArrow(_masses, "state int, freed long").groupBy("state").agg(F.sum("freed").alias("freed"))
     masses = freed.agg(F.collect_list(F.struct("state", "freed")).alias("m"))  # at most one a common word
