@@ -73,6 +73,32 @@ def test_repeats_are_removed_byte_by_byte(docs, depth):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_repeats_on_both_sides_of_the_depth(spark):
+    """Thousands of texts with passages of over 50 words that repeat across them: those of 400 bytes or more go, byte by
+    byte, and those below stay, whatever their number of words."""
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 9))) for _ in range(n))
+    passages = [prose(200)[:n] for n in (330, 380, 399, 400, 401, 402, 420, 480, 700)]
+    rows = [(i, prose(rng.randint(1, 150)) + (" " + rng.choice(passages) + " " if i % 2 else "") + prose(rng.randint(0, 60))) for i in range(2500)]
+    rows += [(9000 + i, rows[1][1] if i % 2 else passages[-1] * 3) for i in range(40)] + [(9100, "ab" * 40_000)]
+    seen, gone = {}, {}
+    for _, t in rows:
+        for p in range(len(t) - 399):
+            h = hash(t[p : p + 400])
+            seen[h] = seen.get(h, 0) + 1
+    for i, t in rows:
+        cover = bytearray(len(t))
+        for p in range(len(t) - 399):
+            if seen[hash(t[p : p + 400])] > 1:
+                cover[p : p + 400] = b"\1" * 400
+        gone[i] = (sum(cover), hashlib.sha256(bytes(b for b, g in zip(t.encode(), cover, strict=True) if not g)).hexdigest())
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in got} == gone
+    long_ones = [i for i, t in rows if any(p in t for p in passages if len(p) > 401)]
+    assert len(long_ones) > 500 and all(gone[i][0] >= 402 for i in long_ones)
+    assert all(gone[i][0] == 0 for i, t in rows if i < 9000 and not any(p[:399] in t for p in passages if len(p) > 399))
+
+
 def test_near_duplicates_equal_all_pairs(docs):
     rows = docs.select("doc_id", "text").collect()
     sets = {}
@@ -136,7 +162,7 @@ def test_language_model_has_every_bigram_whatever_words_are_common(docs):
 
 
 def test_urls(spark):
-    urls = ["http://A.example.org/es/x?q", "https://example.org/en/12#t", "x://notexample.org/en/1", "http://spam.net", "http://ok.net/", None, "no scheme", "http://b.com/fr/://c", "http://b.com/de/", "http://casino.com/zz", "http://a.org", "http://org/"]
+    urls = ["http://A.example.org/es/x?q", "https://example.org/en/12#t", "x://notexample.org/en/1", "http://spam.net", "http://ok.net/", None, "no scheme", "http://b.com/fr/://c", "http://b.com/de/", "http://m.Casino-win.com/zz", "http://a.org", "http://org/", "http://spamalot.net"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(None, "http://spam.net", "h")], "page_id long, url string, host string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_cascade.judge_urls(pages).collect()}
     assert got[0] == ("a.example.org", "/es/x", "example.org/es/", "block")
@@ -146,6 +172,11 @@ def test_urls(spark):
     assert got[5] == got[6] == ("", "", None, "allow")
     assert got[7] == ("b.com", "/fr/://c", "com/fr/", "allow") and got[8][2:] == ("com/de/", "block") and got[9][3] == "block"
     assert got[10] == ("a.org", "", None, "allow") and got[11][2] == "org/" and got[None][3] == "block"
+    assert got[12][3] == "allow"  # a part of a name, not any letters of it
+    listed = spark.createDataFrame([("ok.net",), ("ok.net",), ("elsewhere.net",), (None,)], "host string")
+    by_list = [{r.page_id: r.verdict for r in url_cascade.judge_urls(pages, listed, max_keys=k).collect()} for k in (1 << 25, 0)]
+    assert by_list[0] == by_list[1] and by_list[0][4] == "block" and by_list[0][3] == "allow"
+    assert url_cascade.judge_urls(pages.limit(0)).count() == 0
     keys = spark.range(3000).selectExpr("cast(id as string) AS key", "id % 7 = 0 AS listed")
     cascade = url_cascade.Cascade.build(keys)
     assert len(cascade.levels) > 2 and keys.where(cascade.contains("key") != F.col("listed")).count() == 0
@@ -161,6 +192,15 @@ def test_shards(docs):
     assert all(r.size == len((TEXTS[r.doc_id] or "").encode()) + 1 and r.text_crc32 == zlib.crc32((TEXTS[r.doc_id] or "").encode()) for r in got if r.doc_id is not None)
 
 
+def test_a_hot_id_is_spread_over_the_shards(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i % 50}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = slot_sharding.shard_documents(docs).toPandas()
+    held = got.groupby("shard")["size"].sum()
+    assert len(got) == 3000 and len(held) == 8 and held.max() - held.min() < 0.02 * held.mean()
+    assert all(sorted(s) == list(range(len(s))) for _, s in got.groupby("shard").slot)
+
+
 def test_grown_map_keeps_most_slots(spark):
     loads = spark.range(4096).selectExpr("cast(id as int) AS vslot", "100 + id % 13 AS bytes", "1L AS rows")
     old = slot_sharding.rebalance(slot_sharding.first_map(loads))
@@ -219,21 +259,61 @@ def _swap(text, pairs):
     return text
 
 
-def test_mixture_meets_its_weights(spark):
-    rows = [(i, "w " * (1 + i % 9), "big" if i % 10 < 7 else f"s{i % 10}" if i % 10 < 9 else None) for i in range(4000)]
-    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, epoch int")
-    used = mixing.mix_sources(docs).toPandas()
-    assert set(used.doc_id) == set(range(4000))
-    share = used.groupby(used.source.fillna("-")).agg(tokens=("tokens", "sum"), weight=("weight", "first"))
-    share["real"] = share.tokens / share.tokens.sum()
-    assert (share.real - share.weight).abs().max() < 0.005 and share.weight.max() < 0.6
-    w = share.weight.to_numpy()
-    assert -(w * np.log(w)).sum() / np.log(len(w)) == pytest.approx(mixing.ENTROPY, abs=0.01) or used.groupby("doc_id").size().max() == mixing.REPEATS
-    assert used.groupby("block").tokens.sum().std() < 0.1 * used.groupby("block").tokens.sum().mean()
-    assert used.groupby("doc_id").size().max() <= math.ceil(mixing.REPEATS)
-    again = mixing.resample(docs)
-    assert again.columns == docs.columns and again.select("doc_id").distinct().count() == 4000
-    assert mixing.mix_sources(docs.limit(0)).count() == 0
+def exponent_of(tokens, entropy, repeats):
+    """The exponent by plain bisection over numpy weights."""
+    p = np.array(sorted(tokens)) / sum(tokens)
+
+    def high_enough(a):
+        w = p**a / (p**a).sum()
+        return -(w * np.log(w)).sum() / np.log(len(w)) >= entropy or ((p / p.max()) ** (a - 1)).max() > repeats
+
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        low, high = ((low + high) / 2, high) if high_enough((low + high) / 2) else (low, (low + high) / 2)
+    return low
+
+
+@pytest.mark.parametrize("entropy, repeats", [(0.97, 50.0), (0.9999, 3.0)])
+def test_mixture_meets_its_weights_block_by_block(spark, monkeypatch, entropy, repeats):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 500)
+    monkeypatch.setattr(mixing, "PIECE", 100)
+    rows = [(i, "w " * (1 + i % 9), "big" if i % 10 < 7 else f"s{i % 10}" if i % 10 < 9 else None) for i in range(4000)] + [(5000, None, "void"), (None, "w w", "s7"), (None, "w w", "s7")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, source string, epoch int, tokens string")
+    used = mixing.mix_sources(docs, entropy, repeats).toPandas()
+    used["source"] = used.source.fillna("-")
+    assert set(used.doc_id.dropna()) == {*range(4000), 5000} and used.doc_id.isna().sum() >= 2
+    size, longest = {}, {}
+    for _, text, source in rows:
+        n = len((text or "").split())
+        size[source or "-"], longest[source or "-"] = size.get(source or "-", 0) + n, max(longest.get(source or "-", 0), n)
+    counted = {s: n for s, n in size.items() if n}
+    a = exponent_of(list(counted.values()), entropy, repeats)
+    z = sum(n**a for n in counted.values())
+    amount = max(n**(1 - a) for n in counted.values()) * z
+    blocks = int(used.block.max()) + 1
+    assert blocks > 3
+    for s, n in counted.items():
+        weight, own = n**a / z, used[used.source == s]
+        assert own.weight.iloc[0] == pytest.approx(weight, rel=1e-4)
+        assert abs(own.tokens.sum() - weight * amount) <= longest[s] + 1e-3 * amount * weight
+        # a document is used in every whole epoch, and once at most in the last
+        uses = own[own.doc_id.notna()].groupby("doc_id").epoch.agg(["count", "nunique", "max"])
+        assert (uses["count"] == uses["nunique"]).all() and (uses["count"] - weight * amount / n).abs().max() <= 1 + 1e-3
+        # every block holds the source in its weight, but for a document on either edge
+        per = own.groupby("block").tokens.sum().reindex(range(blocks), fill_value=0)
+        assert (per - weight * amount / blocks).abs().max() <= 2 * longest[s] + 1e-3 * amount * weight
+    assert used.groupby("block").tokens.sum().std() < 0.15 * used.groupby("block").tokens.sum().mean()
+    assert max(own.epoch.max() for _, own in used.groupby("source")) + 1 <= math.ceil(repeats)
+    orders = [used[(used.source == "big") & (used.epoch == e)].sort_values(["block", "place"]).doc_id.tolist() for e in (0, 1)]
+    assert orders[0] != orders[1]
+    again = mixing.resample(docs, entropy, repeats)
+    assert again.columns == docs.columns and again.select("doc_id").distinct().count() == 4002
+    assert mixing.mix_sources(docs.limit(0)).count() == 0 and mixing.resample(docs.limit(0)).count() == 0
+
+
+def test_mixture_of_one_source_and_of_none(spark):
+    one = spark.createDataFrame([(i, "a b", "s") for i in range(20)], "doc_id long, text string, source string")
+    assert mixing.mix_sources(one).count() == 20 and mixing.mix_sources(one.withColumn("text", F.lit(None).cast("string"))).count() == 20
 
 
 def test_toxicity_learns_finds_misspellings_and_spares_quotes(spark):
@@ -262,6 +342,17 @@ def test_toxicity_learns_finds_misspellings_and_spares_quotes(spark):
     for word in ("moron", "mron", "mxron", "moroon", "oron", "moro"):
         assert m.trie.within_one(word) == ["moron"]
     assert m.trie.within_one("mrn") == [] and m.trie.within_one("morons!") == []
+    m = toxicity.Matcher(["scum", "idiot", "moron"])
+    assert [m.judge(w) for w in ("scum", "scvm", "scumm", "sucm", "csum", "scmu", "idoit", "moorn", "iidot", "sum", "scam", "sxum")] == [1, 2, 2, 2, 2, 2, 2, 2, 2, 0, 2, 2]
+    alphabet, words = "abc", ["".join(w) for n in range(1, 6) for w in itertools.product("abc", repeat=n)]
+    near = {w for w in words if _one_edit(w, "abca", alphabet)}
+    assert {w for w in words if toxicity.Trie(["abca"]).within_one(w)} == near
+
+
+def _one_edit(word, term, alphabet):
+    cuts = [(term[:i], term[i:]) for i in range(len(term) + 1)]
+    near = {term} | {a + c + b for a, b in cuts for c in alphabet} | {a + b[1:] for a, b in cuts if b} | {a + c + b[1:] for a, b in cuts if b for c in alphabet}
+    return word in near | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1}
 
 
 def test_empty_tables(docs):
