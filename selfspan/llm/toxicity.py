@@ -270,7 +270,7 @@ class Toxicity:
             harmless = sorted(r["word"] for r in rows_near)
             alike = Counter(t for r in rows_near for t in r["terms"])
             crowded = frozenset(t for t, k in alike.items() if k >= CROWDED)
-        model = cls(terms, harmless, sorted(crowded), [0.0] * 5)
+        model = cls(terms, harmless, sorted(crowded), [-30.0, 0.0, 0.0, 0.0, 0.0])
         if rows:
             found = count_hits(texts.join(F.broadcast(chosen), "doc_id"), model.matcher(spark))
             table = found.groupBy(*FEATURES).agg(F.count("*").alias("n"), F.sum("row.toxic").alias("t")).toPandas()
@@ -292,7 +292,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Labels are learned only from rows whose crc32(doc_id as text) mod 5 is not 0. Scores come from the text alone. A null
     or empty text has no hits and gets the score of a text without hits; so does every text when nothing could be
-    learned (no labels, or only one kind), and that score is then the share of toxic rows, or 0.5 without rows. A null
+    learned (no labels, or only one kind), and that score is then the share of toxic rows, or next to 0 without rows. A null
     doc_id is scored and not held out. Repeated rows are scored alike. An empty table gives no rows.
     """
     model = Toxicity.learn(docs, labels)
@@ -303,6 +303,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score is below ``threshold``, all columns kept; see score_toxicity for odd rows."""
+    """The rows of ``docs`` whose score is below ``threshold``, all columns kept whatever they are called; see score_toxicity
+    for odd rows."""
     model = Toxicity.learn(docs, labels)
     return count_hits(docs, model.matcher(docs.sparkSession)).where(model.score() < threshold).select("row.*")

@@ -337,7 +337,7 @@ def test_toxicity_learns_finds_misspellings_and_spares_quotes(spark):
     kept = toxicity.drop_toxic(docs, truth)
     assert kept.columns == docs.columns and kept.count() == 1205 - 202
     assert toxicity.score_toxicity(docs.limit(0), truth).count() == 0
-    assert {r.predicted for r in toxicity.score_toxicity(docs, truth.limit(0)).collect()} <= {0, 1}
+    assert {r.predicted for r in toxicity.score_toxicity(docs, truth.limit(0)).collect()} == {0}
     m = toxicity.Matcher(["moron"])
     assert m.features('he said "moron" to me')[2] == 1 and m.features("you moron")[2] == 0
     for word in ("moron", "mron", "mxron", "moroon", "oron", "moro"):
