@@ -33,6 +33,8 @@ MISS = 1e-6
 #: Postings compared, and documents confirmed, in one task at most; beyond it, block by block.
 LIST_BLOCK = 2048
 GROUP_BLOCK = 1024
+#: Large stars' roots that are broadcast at most, 12 bytes each.
+BROADCAST_ROOTS = 1 << 20
 #: Rows for which signatures are hashed at once.
 CHUNK = 4096
 
@@ -157,8 +159,10 @@ def _try_stars(table: pa.Table, starts: np.ndarray, words: int, part: int, whole
 
 def confirmed_stars(candidates: DataFrame, texts: DataFrame, words: int, part: int, whole: int) -> DataFrame:
     """The candidate edges (a, b) that hold on the full sets. A star is dealt out in blocks of up to GROUP_BLOCK members, each
-    with the root's text: a text is shipped once an edge at most."""
-    sized = candidates.join(candidates.groupBy("a").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks")), "a")
+    with the root's text: a text is shipped once an edge at most. Roots of more than one block are few, and broadcast up to
+    BROADCAST_ROOTS, so that no task takes all edges of one."""
+    big = materialise(candidates.groupBy("a").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("many")).where("many > 1"), "large-stars")
+    sized = candidates.join(F.broadcast(big) if big.count() <= BROADCAST_ROOTS else big.hint("merge"), "a", "left").withColumn("blocks", F.coalesce("many", F.lit(1)))
     members = sized.select(F.col("a").alias("root"), F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"), F.col("b").alias("rep"), F.lit(1).alias("place"))
     roots = members.select("root", "block").distinct().select("root", "block", F.col("root").alias("rep"), F.lit(0).alias("place"))
     rows = texts.join(members.union(roots).withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id").select("root", "block", "place", F.col("doc_id").alias("rep"), "text")
