@@ -35,6 +35,9 @@ HOLD = 1 << 20
 #: Codes of the end of a text and of its start; word hashes of that value do not matter.
 END, START = np.uint64(0xE0D), np.uint64(0x57A27)
 START_OF = np.array([START])
+#: Bits of a bigram's key. Keys meet only within a bucket or a block, some millions of them whatever the corpus: a chance
+#: of about one in a hundred that any two of a bucket are one.
+PAIR_BITS = 48
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -81,8 +84,8 @@ def _strung(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _pairs(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The keys of the arcs to the tokens at ``at``: a hash of the word before and the token."""
-    return mix(words[at - 1] * np.uint64(0xD6E8FEB86659FD93) + words[at])
+    """The keys of the arcs to the tokens at ``at``: PAIR_BITS of a hash of the word before and the token."""
+    return mix(words[at - 1] * np.uint64(0xD6E8FEB86659FD93) + words[at]) >> np.uint64(64 - PAIR_BITS)
 
 
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,9 +108,9 @@ def _back(x: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
-    """Ranges of the keys' upper halves."""
-    return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def _bucket(key: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
+    """Ranges of the keys' upper 32 bits."""
+    return ((key >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _bytes(x: np.ndarray) -> bytes:
@@ -136,8 +139,15 @@ def _keys(data: bytes) -> np.ndarray:
     return np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Keys of PAIR_BITS in any order."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, : PAIR_BITS // 8].tobytes()
+
+
 def _loose(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint64)
+    wide = np.zeros((len(data) * 8 // PAIR_BITS, 8), np.uint8)
+    wide[:, : PAIR_BITS // 8] = np.frombuffer(data, np.uint8).reshape(-1, PAIR_BITS // 8)
+    return wide.view(np.uint64).ravel()
 
 
 _ASKED = "bucket int, block int, words binary, word_counts binary, fans binary, pairs binary, pair_counts binary, common_pairs binary, common_counts binary, states binary"
@@ -184,13 +194,13 @@ class Requests:
         rare = rare[np.argsort(before[rare], kind="stable")]  # in the order of their words, each of which is among ``words``
         fans = np.searchsorted(before[rare], words, "right") - np.searchsorted(before[rare], words, "left")
         edge = np.arange(buckets + 1)
-        of_words, of_common = np.searchsorted(_bucket(words, buckets), edge), np.searchsorted(_bucket(pairs[common], buckets), edge)
+        of_words, of_common = np.searchsorted(_bucket(words, buckets), edge), np.searchsorted(_bucket(pairs[common], buckets, PAIR_BITS), edge)
         of_rare = np.append(0, np.cumsum(fans))[of_words]
         cols: list[list] = [[] for _ in range(10)]
         for k in range(buckets):
             x, y, z = slice(*of_words[k : k + 2]), rare[slice(*of_rare[k : k + 2])], common[slice(*of_common[k : k + 2])]
             if len(words[x]) or len(z):
-                row = (k, block, _steps(words[x]), _bytes(counts[x]), _bytes(fans[x]), pairs[y].tobytes(), _bytes(n[y]), _steps(pairs[z]), _bytes(n[z]), _bytes(state[z]))
+                row = (k, block, _steps(words[x]), _bytes(counts[x]), _bytes(fans[x]), _packed(pairs[y]), _bytes(n[y]), _steps(pairs[z]), _bytes(n[z]), _bytes(state[z]))
                 for col, value in zip(cols, row, strict=True):
                     col.append(value)
         return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in cols[:2]), *(pa.array(c, pa.binary()) for c in cols[2:])], [c.split()[0] for c in _ASKED.split(", ")])
@@ -342,8 +352,8 @@ def score_texts(docs: DataFrame, share: float = COMMON_SHARE, block_bytes: int =
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))  # and as many buckets
     # rows go to blocks in turn, so that equal ones do not meet in one
-    dealt = texts.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")).repartition("block")
-    asked = dealt.sortWithinPartitions("block").mapInArrow(lambda b: _requests(b, common, blocks), _ASKED).groupBy("bucket")
+    dealt = texts.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    asked = dealt.sortWithinPartitions("block").mapInArrow(lambda b: _requests(b, common, blocks), _ASKED).repartition(blocks, "bucket").groupBy("bucket")
     freed = asked.applyInArrow(_masses, "state int, freed long").groupBy("state").agg(F.sum("freed").alias("freed"))
     masses = freed.agg(F.collect_list(F.struct("state", "freed")).alias("m"))  # at most one a common word
     shared = spark.range(blocks).crossJoin(F.broadcast(masses)).select(F.col("id").cast("int").alias("block"), F.col("m.state").alias("states"), F.col("m.freed").alias("masses"))
