@@ -27,8 +27,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def truncate(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder the cluster names (or a temporary one where it names none) and read again."""
-    context = df.sparkSession.sparkContext
+    """``df`` written to the checkpoint folder that the cluster names and read again. A local session without one gets a
+    temporary folder; on a cluster that is an error, as executors do not see the driver's folders."""
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()

@@ -2,68 +2,97 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spectral import matrix
+
 
-def symmetric_affinity(coefficients: DataFrame, normalise: bool = True) -> DataFrame:
-    """W = |C| + |C| transposed without the diagonal, over its maximum if that is positive: (i, j, w), entries above 0."""
-    a = coefficients.select("i", "j", F.abs("value").alias("w")).where("i <> j")
-    w = a.union(a.select("j", "i", "w")).groupBy("i", "j").agg(F.sum("w").alias("w")).where("w > 0")
+def symmetric_affinity(coefficients: DataFrame, normalise: bool = True, keys: list[str] | None = None) -> DataFrame:
+    """W = |C| + |C| transposed without the diagonal, over its maximum if that is positive: (keys, i, j, w), entries above 0.
+    ``keys`` tell several coefficient tables stacked in one apart."""
+    keys = keys or []
+    a = coefficients.select(*keys, "i", "j", F.abs("value").alias("w")).where("i <> j")
+    w = a.union(a.select(*keys, "j", "i", "w")).groupBy(*keys, "i", "j").agg(F.sum("w").alias("w")).where("w > 0")
     if not normalise:
         return w
-    return w.join(F.broadcast(w.agg(F.max("w").alias("most"))), how="cross").select("i", "j", (F.col("w") / F.col("most")).alias("w"))
+    most = F.broadcast(w.groupBy(*keys).agg(F.max("w").alias("most")))  # a row a table
+    return (w.join(most, keys) if keys else w.crossJoin(most)).select(*keys, "i", "j", (F.col("w") / F.col("most")).alias("w"))
 
 
 METHODS = {"symmetric": symmetric_affinity}
 
 
-def affinity(coefficients: DataFrame, method: str = "symmetric", normalise: bool = True) -> DataFrame:
+def affinity(coefficients: DataFrame, method: str = "symmetric", normalise: bool = True, keys: list[str] | None = None) -> DataFrame:
     if method not in METHODS:
         raise ValueError(f"unknown affinity {method!r}")
-    return METHODS[method](coefficients, normalise)
+    return METHODS[method](coefficients, normalise, keys)
+
+
+def affinity_gate(w: DataFrame, nodes: DataFrame, node: str = "node") -> None:
+    """Raise unless every entry (i, j, w) is finite and not negative, lies between known nodes, occurs once and equals its mirror image."""
+    sound = F.coalesce(~F.isnan("w") & (F.abs("w") < float("inf")) & (F.col("w") >= 0), F.lit(False))
+    known = nodes.select(F.col(node).alias("known"))
+    found = w.agg(F.count_if(~sound).alias("unsound")).first()[0]
+    strange = w.select(F.explode(F.array("i", "j")).alias("n")).distinct().join(known, F.col("n") == F.col("known"), "left_anti").count()
+    both = w.select("i", "j", "w", F.lit(1).alias("s")).union(w.select("j", "i", "w", F.lit(-1).alias("s"))).groupBy("i", "j").agg(F.sum("s").alias("s"), F.count("*").alias("n"), F.min("w").alias("a"), F.max("w").alias("b"))
+    lame = both.where("s <> 0 OR n > 2 OR abs(a - b) > 1e-12 * greatest(1, abs(b))").count()
+    if found or strange or lame:
+        raise ValueError(f"no affinity over these nodes: {found} unsound entries, {strange} unknown nodes, {lame} entries that are repeated or unlike their mirror image")
 
 
-def _labelled(w: DataFrame, labels: DataFrame, node: str, cluster: str) -> DataFrame:
-    side = lambda s: labels.select(F.col(node).alias(s), F.col(cluster).alias(f"c{s}"))
-    return w.join(side("i"), "i").join(side("j"), "j")
+def _labelled(w: DataFrame, labels: DataFrame, node: str, cluster: str, keys: list[str] | None = None) -> DataFrame:
+    """Entries with the clusters of both ends. Labels may have more keys than the graph has, as for several k of one graph."""
+    keys = keys or []
+    shared = [k for k in keys if k in w.columns]
+    side = lambda s: labels.select(*keys, F.col(node).alias(s), F.col(cluster).alias(f"c{s}"))
+    return w.join(side("i"), [*shared, "i"]).join(side("j"), [*keys, "j"])
 
 
-def affinity_ratio(w: DataFrame, labels: DataFrame, node: str = "node", cluster: str = "cluster") -> DataFrame:
-    """(ratio): mean affinity within over mean between clusters over all pairs i < j; absent pairs count as 0, so the
+def affinity_ratio(w: DataFrame, labels: DataFrame, node: str = "node", cluster: str = "cluster", keys: list[str] | None = None) -> DataFrame:
+    """(keys, ratio): mean affinity within over mean between clusters over all pairs i < j; absent pairs count as 0, so the
     numbers of pairs come from the cluster sizes. Infinite when nothing lies between, null without pairs."""
-    sums = _labelled(w, labels, node, cluster).where("i < j").agg(F.sum(F.when(F.col("ci") == F.col("cj"), F.col("w"))).alias("inside"), F.sum(F.when(F.col("ci") != F.col("cj"), F.col("w"))).alias("across"))
-    sizes = labels.groupBy(cluster).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs_in"))
-    both = sums.join(F.broadcast(sizes), how="cross").withColumn("pairs_out", F.col("n") * (F.col("n") - 1) / 2 - F.col("pairs_in"))
+    keys = keys or []
+    sums = _labelled(w, labels, node, cluster, keys).where("i < j").groupBy(*keys).agg(F.sum(F.when(F.col("ci") == F.col("cj"), F.col("w"))).alias("inside"), F.sum(F.when(F.col("ci") != F.col("cj"), F.col("w"))).alias("across"))
+    sizes = labels.groupBy(*keys, cluster).agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs_in"))
+    both = (sizes.join(sums, keys, "left") if keys else sizes.crossJoin(F.broadcast(sums))).withColumn("pairs_out", F.col("n") * (F.col("n") - 1) / 2 - F.col("pairs_in"))
     inside, across = F.try_divide(F.coalesce("inside", F.lit(0.0)), "pairs_in"), F.try_divide(F.coalesce("across", F.lit(0.0)), "pairs_out")
-    return both.select(F.when(across == 0, F.lit(float("inf"))).otherwise(inside / across).alias("ratio"))
+    return both.select(*keys, F.when(across == 0, F.lit(float("inf"))).otherwise(inside / across).alias("ratio"))
 
 
-def cluster_cuts(w: DataFrame, labels: DataFrame, node: str = "node", cluster: str = "cluster") -> DataFrame:
-    """(cluster, cut, association): weight leaving the cluster, and all weight of its rows."""
-    return _labelled(w, labels, node, cluster).groupBy(F.col("ci").alias("cluster")).agg(F.coalesce(F.sum(F.when(F.col("ci") != F.col("cj"), F.col("w"))), F.lit(0.0)).alias("cut"), F.sum("w").alias("association"))
+def cluster_cuts(w: DataFrame, labels: DataFrame, node: str = "node", cluster: str = "cluster", keys: list[str] | None = None) -> DataFrame:
+    """(keys, cluster, cut, association): weight leaving the cluster, and all weight of its rows."""
+    return _labelled(w, labels, node, cluster, keys).groupBy(*(keys or []), F.col("ci").alias("cluster")).agg(F.coalesce(F.sum(F.when(F.col("ci") != F.col("cj"), F.col("w"))), F.lit(0.0)).alias("cut"), F.sum("w").alias("association"))
 
 
-def normalised_cut(w: DataFrame, labels: DataFrame, node: str = "node", cluster: str = "cluster") -> DataFrame:
-    """(ncut): sum of cut over association; a cluster without weight has no term."""
-    return cluster_cuts(w, labels, node, cluster).agg(F.sum(F.try_divide("cut", "association")).alias("ncut"))
+def normalised_cut(w: DataFrame, labels: DataFrame, node: str = "node", cluster: str = "cluster", keys: list[str] | None = None) -> DataFrame:
+    """(keys, ncut): sum of cut over association; a cluster without weight has no term."""
+    return cluster_cuts(w, labels, node, cluster, keys).groupBy(*(keys or [])).agg(F.sum(F.try_divide("cut", "association")).alias("ncut"))
 
 
-def affinity_silhouette(w: DataFrame, labels: DataFrame, node: str = "node", cluster: str = "cluster") -> DataFrame:
-    """(silhouette) over the distances 1 - w / max w, 0 on the diagonal. A pair without an entry is at distance 1, so a
+def affinity_silhouette(w: DataFrame, labels: DataFrame, node: str = "node", cluster: str = "cluster", keys: list[str] | None = None) -> DataFrame:
+    """(keys, silhouette) over the distances 1 - w / max w, 0 on the diagonal. A pair without an entry is at distance 1, so a
     node's summed distance to a cluster is the cluster's size less the node's weight to it: pairs are never filled in."""
-    top = w.join(F.broadcast(w.agg(F.max("w").alias("most"))), how="cross").select("i", "j", (F.col("w") / F.col("most")).alias("w"))
-    weight = _labelled(top, labels, node, cluster).groupBy("i", F.col("cj").alias("other")).agg(F.sum("w").alias("near"))
-    sizes = labels.groupBy(F.col(cluster).alias("other")).agg(F.count("*").alias("n"))
+    keys = keys or []
+    shared = [k for k in keys if k in w.columns]
+    most = F.broadcast(w.groupBy(*shared).agg(F.max("w").alias("most")))
+    top = (w.join(most, shared) if shared else w.crossJoin(most)).select(*shared, "i", "j", (F.col("w") / F.col("most")).alias("w"))
+    weight = _labelled(top, labels, node, cluster, keys).groupBy(*keys, "i", F.col("cj").alias("other")).agg(F.sum("w").alias("near"))
+    sizes = labels.groupBy(*keys, F.col(cluster).alias("other")).agg(F.count("*").alias("n"))
+    mine = labels.select(*keys, F.col(node).alias("i"), F.col(cluster).alias("own"))
     # nodes x clusters rows
-    each = labels.select(F.col(node).alias("i"), F.col(cluster).alias("own")).join(F.broadcast(sizes), how="cross").join(weight, ["i", "other"], "left").withColumn("near", F.coalesce("near", F.lit(0.0)))
+    pairs = mine.join(F.broadcast(sizes), keys) if keys else mine.crossJoin(F.broadcast(sizes))
+    each = pairs.join(weight, [*keys, "i", "other"], "left").withColumn("near", F.coalesce("near", F.lit(0.0)))
     same = F.col("own") == F.col("other")
     a = F.max(F.when(same, F.try_divide(F.col("n") - 1 - F.col("near"), F.col("n") - 1)))
     b = F.min(F.when(~same, (F.col("n") - F.col("near")) / F.col("n")))
-    rows = each.groupBy("i").agg(a.alias("a"), b.alias("b"), F.max(F.when(same, F.col("n"))).alias("size"))
+    rows = each.groupBy(*keys, "i").agg(a.alias("a"), b.alias("b"), F.max(F.when(same, F.col("n"))).alias("size"))
     s = F.when(F.col("size") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return rows.agg(F.when(F.count("b") > 0, F.avg(s)).alias("silhouette"))
+    return rows.groupBy(*keys).agg(F.when(F.count("b") > 0, F.avg(s)).alias("silhouette"))
 
 
 def clean_graph(w: DataFrame) -> DataFrame:
@@ -72,27 +101,23 @@ def clean_graph(w: DataFrame) -> DataFrame:
     return sound.union(sound.select("j", "i", "w")).groupBy("i", "j").agg((F.sum("w") / 2).alias("w")).where("w > 0")
 
 
-def dense(w: DataFrame, nodes: list, limit: int = 4096) -> np.ndarray:
-    """The matrix of a graph of a bounded number of nodes."""
+def laplacian_spectrum(w: DataFrame, nodes: list[int], limit: int = 4096) -> DataFrame:
+    """(place, eigenvalue, gap) of the normalised Laplacian, ascending; an isolated node has a zero row; values below
+    1e-12 are 0. For graphs of a bounded number of nodes (landmarks): one task decomposes the matrix."""
     if len(nodes) > limit:
         raise ValueError(f"{len(nodes)} nodes; the dense kernels take {limit}: use landmarks")
-    at = {n: k for k, n in enumerate(nodes)}
-    out = np.zeros((len(nodes), len(nodes)))
-    for r in w.collect():
-        out[at[r["i"]], at[r["j"]]] = r["w"]
-    return out
-
-
-def laplacian_spectrum(w: DataFrame, nodes: list) -> DataFrame:
-    """(place, eigenvalue, gap) of the normalised Laplacian, ascending; an isolated node has a zero row; values below
-    1e-12 are 0. For graphs of at most 4096 nodes (landmarks)."""
-    a = dense(clean_graph(w), nodes)
-    degree = a.sum(axis=1)
-    scale = np.divide(1.0, np.sqrt(degree), out=np.zeros_like(degree), where=degree > 0)
-    values = np.linalg.eigvalsh(np.diag((degree > 0) * 1.0) - scale[:, None] * a * scale[None, :])
-    values[np.abs(values) < 1e-12] = 0
-    rows = w.sparkSession.createDataFrame([(k + 1, float(v)) for k, v in enumerate(values)], "place int, eigenvalue double")
-    return rows.withColumn("gap", F.lead("eigenvalue").over(Window.orderBy("place")) - F.col("eigenvalue"))
+    nodes = sorted(nodes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = matrix(batches, nodes)
+        degree = a.sum(axis=1)
+        scale = np.divide(1.0, np.sqrt(degree), out=np.zeros_like(degree), where=degree > 0)
+        values = np.linalg.eigvalsh(np.diag((degree > 0) * 1.0) - scale[:, None] * a * scale[None, :])
+        values[np.abs(values) < 1e-12] = 0
+        gap = np.append(np.diff(values), np.nan)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, len(values) + 1), pa.int32()), pa.array(values), pa.array(gap, mask=np.isnan(gap))], ["place", "eigenvalue", "gap"])
+
+    return clean_graph(w).select("i", "j", "w").repartition(1).mapInArrow(run, "place int, eigenvalue double, gap double")
 
 
 def threshold(coefficients: DataFrame, tau: float) -> DataFrame:

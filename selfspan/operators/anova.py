@@ -46,30 +46,32 @@ def f_p_value(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or x != x else f_tail(x, a, b) for x, a, b in zip(f, d1, d2, strict=True)], dtype="float64")
 
 
-def f_statistics(df: DataFrame, cluster: str, features: list[str]) -> DataFrame:
-    """(feature, groups, n, f, eta_squared) over the groups of more than one known value; features with fewer than two
+def f_statistics(df: DataFrame, cluster: str, features: list[str], keys: list[str] | None = None) -> DataFrame:
+    """(keys, feature, groups, n, f, eta_squared) over the groups of more than one known value; features with fewer than two
     such groups are left out. Moments per feature and group are partial aggregates of the unpivoted table."""
-    tall = nan_to_null(df).select(cluster, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])).alias("e")).select(cluster, "e.*").where(f"x IS NOT NULL AND `{cluster}` IS NOT NULL")
-    groups = tall.groupBy("feature", cluster).agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("v")).where("n > 1")
-    whole = groups.groupBy("feature").agg(F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
-    sums = groups.join(whole, "feature").groupBy("feature").agg(
+    by = [*(keys or []), "feature"]
+    tall = nan_to_null(df).select(*by[:-1], cluster, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])).alias("e")).select(*by[:-1], cluster, "e.*").where(f"x IS NOT NULL AND `{cluster}` IS NOT NULL")
+    groups = tall.groupBy(*by, cluster).agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("v")).where("n > 1")
+    whole = groups.groupBy(*by).agg(F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
+    sums = groups.join(whole, by).groupBy(*by).agg(
         F.count("*").alias("groups"), F.max("total").alias("n"), F.sum(F.col("n") * F.pow(F.col("m") - F.col("mean"), 2)).alias("between"), F.sum((F.col("n") - 1) * F.col("v")).alias("within")
     ).where("groups > 1")
-    return sums.select("feature", "groups", "n", F.try_divide(F.col("between") / (F.col("groups") - 1), F.col("within") / (F.col("n") - F.col("groups"))).alias("f"), F.try_divide("between", F.col("between") + F.col("within")).alias("eta_squared"))
+    return sums.select(*by, "groups", "n", F.try_divide(F.col("between") / (F.col("groups") - 1), F.col("within") / (F.col("n") - F.col("groups"))).alias("f"), F.try_divide("between", F.col("between") + F.col("within")).alias("eta_squared"))
 
 
-def adjust(p_values: DataFrame, p: str = "p_value", alpha: float = 0.05) -> DataFrame:
-    """Benjamini-Hochberg: adds adjusted_p and significant. The table has one row a test."""
-    ranked = p_values.withColumn("__rank", F.row_number().over(Window.orderBy(p))).withColumn("__m", F.count(p).over(Window.partitionBy(F.lit(0))))
-    running = F.min(F.col(p) * F.col("__m") / F.col("__rank")).over(Window.orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0))
+def adjust(p_values: DataFrame, p: str = "p_value", alpha: float = 0.05, keys: list[str] | None = None) -> DataFrame:
+    """Benjamini-Hochberg within each group of ``keys``: adds adjusted_p and significant. The table has one row a test."""
+    family = Window.partitionBy(*(keys or [F.lit(0)]))
+    ranked = p_values.withColumn("__rank", F.row_number().over(family.orderBy(p))).withColumn("__m", F.count(p).over(family))
+    running = F.min(F.col(p) * F.col("__m") / F.col("__rank")).over(family.orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0))
     return ranked.withColumn("adjusted_p", F.least(running, F.lit(1.0))).withColumn("significant", F.col("adjusted_p") <= alpha).drop("__rank", "__m")
 
 
-def anova(df: DataFrame, cluster: str, features: list[str], alpha: float = 0.05) -> DataFrame:
+def anova(df: DataFrame, cluster: str, features: list[str], alpha: float = 0.05, keys: list[str] | None = None) -> DataFrame:
     """f_statistics with p_value, adjusted_p and significant, largest effect first."""
-    tests = f_statistics(df, cluster, features)
+    tests = f_statistics(df, cluster, features, keys)
     p = tests.withColumn("p_value", f_p_value("f", (F.col("groups") - 1).cast("double"), (F.col("n") - F.col("groups")).cast("double")))
-    return adjust(p, "p_value", alpha).orderBy(F.desc("eta_squared"), "feature")
+    return adjust(p, "p_value", alpha, keys).orderBy(*(keys or []), F.desc("eta_squared"), "feature")
 
 
 def strongest(tests: DataFrame, k: int = 20) -> DataFrame:

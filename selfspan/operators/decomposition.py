@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from math import sqrt
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +22,34 @@ def long_form(df: DataFrame, id_col: str, features: str = "features") -> DataFra
     return df.select(id_col, F.posexplode(features).alias("feature", "value")).withColumn("value", F.col("value").cast("double"))
 
 
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task's sums: rows, coordinates and products of coordinates, as one row."""
+    n, first, second = 0, None, None
+    for batch in batches:
+        if batch.num_rows:
+            lists = batch.column(0)
+            x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            n += batch.num_rows
+            first, second = (x.sum(axis=0), x.T @ x) if first is None else (first + x.sum(axis=0), second + x.T @ x)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([first], pa.list_(pa.float64())), pa.array([second.ravel()], pa.list_(pa.float64()))], ["n", "first", "second"])
+
+
+def moments(df: DataFrame, features: str = "features") -> DataFrame:
+    """(at, s, n) of the sums of the features (at < d) and of their products (the d * d from there on): outer products are
+    summed within tasks, so a task ships d * d numbers however many rows it has."""
+    parts = df.select(F.col(features).cast("array<double>").alias("v")).mapInArrow(_moments, "n long, first array<double>, second array<double>")
+    return parts.select("n", F.posexplode(F.concat("first", "second")).alias("at", "s")).groupBy("at").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
 def centred_gram(df: DataFrame, features: str = "features") -> DataFrame:
-    """(i, j, g) for i <= j: sums of products of centred features. Partial sums per task, then d * d / 2 groups."""
-    pairs = df.select(F.posexplode(features).alias("i", "x"), F.col(features).alias("all")).select("i", "x", F.posexplode("all").alias("j", "y")).where("i <= j")
-    sums = pairs.groupBy("i", "j").agg(F.sum(F.col("x").cast("double") * F.col("y").cast("double")).alias("xy"), F.sum(F.col("x").cast("double")).alias("sx"), F.sum(F.col("y").cast("double")).alias("sy"), F.count("*").alias("n"))
-    return sums.select("i", "j", (F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")).alias("g"))
+    """(i, j, g) for i <= j: sums of products of centred features."""
+    sums = moments(df, features)
+    d = F.broadcast(sums.agg(F.count("*").alias("c")).select(((F.sqrt(4 * F.col("c") + 1) - 1) / 2).cast("int").alias("d")))
+    cells = sums.crossJoin(d).where("at >= d").select(F.floor((F.col("at") - F.col("d")) / F.col("d")).cast("int").alias("i"), ((F.col("at") - F.col("d")) % F.col("d")).cast("int").alias("j"), F.col("s").alias("xy"), "n").where("i <= j")
+    means = sums.crossJoin(d).where("at < d")
+    side = lambda k: F.broadcast(means.select(F.col("at").alias(k), F.col("s").alias(f"s{k}")))
+    return cells.join(side("i"), "i").join(side("j"), "j").select("i", "j", (F.col("xy") - F.col("si") * F.col("sj") / F.col("n")).alias("g"))
 
 
 @dataclass(frozen=True)
@@ -38,14 +64,13 @@ class Components:
 
 def fit_components(df: DataFrame, features: str = "features", threshold: float = 0.90, k: int | None = None) -> Components:
     """The fewest components whose cumulative variance ratio exceeds ``threshold``, or ``k`` of them."""
-    rows = centred_gram(df, features).collect()  # d * (d + 1) / 2 numbers
-    means = df.select(F.posexplode(features).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).collect()
-    d = len(means)
-    gram, mean = np.zeros((d, d)), np.zeros(d)
-    for r in rows:
-        gram[r["i"], r["j"]] = gram[r["j"], r["i"]] = r["g"]
-    for r in means:
-        mean[r["i"]] = r["m"]
+    rows = sorted(moments(df, features).collect())  # d * (d + 1) numbers
+    if not rows:
+        raise ValueError("no rows to decompose")
+    sums, n = np.array([r["s"] for r in rows]), rows[0]["n"]
+    d = int((sqrt(4 * len(rows) + 1) - 1) / 2)
+    mean = sums[:d] / n
+    gram = sums[d:].reshape(d, d) - n * np.outer(mean, mean)
     values, basis = np.linalg.eigh(gram)
     values, basis = np.maximum(values[::-1], 0), basis[:, ::-1]
     ratios = values / (values.sum() or 1.0)
@@ -69,12 +94,30 @@ def loading_table(spark, c: Components, names: list[str]) -> DataFrame:
     return spark.createDataFrame([(n, *map(float, row)) for n, row in zip(names, c.loadings, strict=True)], f"feature string, {kinds}")
 
 
-def variance_table(spark, c: Components) -> DataFrame:
-    """(component, explained, cumulative) of the retained components."""
-    rows = spark.createDataFrame([(k + 1, float(c.ratios[k])) for k in range(c.k)], "component int, explained double")
+def variance_table(spark, c: Components, retained: bool = True) -> DataFrame:
+    """(component, explained, cumulative) of the retained components, or of all."""
+    rows = spark.createDataFrame([(k + 1, float(r)) for k, r in enumerate(c.ratios[: c.k] if retained else c.ratios)], "component int, explained double")
     return rows.withColumn("cumulative", F.sum("explained").over(Window.orderBy("component")))
 
 
+def scree(spark, c: Components, threshold: float = 0.90) -> DataFrame:
+    """(component, explained, cumulative, retained) of all components: those up to the first whose cumulative ratio reaches
+    the threshold are retained."""
+    rows = variance_table(spark, c, retained=False)
+    before = F.coalesce(F.lag("cumulative").over(Window.orderBy("component")), F.lit(0.0))
+    return rows.withColumn("retained", before < threshold)
+
+
+def artifacts(df: DataFrame, c: Components, id_col: str, names: list[str], threshold: float = 0.90, features: str = "features") -> dict[str, DataFrame]:
+    """The tables of a decomposition by name: normalised input, scores, loadings, variance, scree, summary."""
+    spark = df.sparkSession
+    summary = {"features": len(c.mean), "components": c.k, "threshold": threshold, "explained": float(c.ratios[: c.k].sum()), "first component": float(c.ratios[0]) if len(c.ratios) else None}
+    return {
+        "normalised": df.select(id_col, *[F.col(features)[k].alias(n) for k, n in enumerate(names)]), "scores": scores(df, c, features), "loadings": loading_table(spark, c, names), "variance": variance_table(spark, c),
+        "scree": scree(spark, c, threshold), "summary": spark.createDataFrame([(k, None if v is None else str(v)) for k, v in summary.items()], "Property string, Value string"),
+    }
+
+
 def variance_sweep(df: DataFrame, thresholds: tuple[float, ...] = (0.90, 0.95, 0.97, 0.99), features: str = "features") -> DataFrame:
     """(threshold, components): one decomposition, every threshold."""
     c = fit_components(df, features, k=1 << 30)

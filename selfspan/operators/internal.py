@@ -9,85 +9,109 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .decomposition import long_form
-
 #: Vectors in a block of the pairwise silhouette.
 BLOCK = 1024
 
 
-def _centroids(df: DataFrame, cluster: str, features: str) -> DataFrame:
-    """(cluster, n, centroid): means per coordinate, gathered as arrays of the vectors' width."""
-    means = long_form(df.select(cluster, features), cluster, features).groupBy(cluster, "feature").agg(F.avg("value").alias("m"), F.count("*").alias("n"))
-    return means.groupBy(cluster).agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("feature", "m"))), lambda x: x["m"]).alias("centroid"))
+def _centroids(df: DataFrame, keys: list[str], cluster: str, features: str) -> DataFrame:
+    """(keys, cluster, n, centroid): means per coordinate, gathered as arrays of the vectors' width."""
+    by = [*keys, cluster]
+    means = df.select(*by, F.posexplode(features).alias("feature", "value")).groupBy(*by, "feature").agg(F.avg(F.col("value").cast("double")).alias("m"), F.count("*").alias("n"))
+    return means.groupBy(*by).agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("feature", "m"))), lambda x: x["m"]).alias("centroid"))
 
 
 def _square(a: str, b: str):
     return F.aggregate(F.zip_with(F.col(a).cast("array<double>"), F.col(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
-def davies_bouldin(df: DataFrame, cluster: str, features: str = "features") -> DataFrame:
-    """(dbi): mean over clusters of the worst (s_i + s_j) / distance; null with fewer than two clusters or as many as rows."""
-    c = _centroids(df, cluster, features)
-    spread = df.join(c, cluster).groupBy(cluster).agg(F.avg(F.sqrt(_square(features, "centroid"))).alias("s"), F.first("centroid").alias("centroid"), F.count("*").alias("n"))
-    a, b = spread.toDF("a", "sa", "ca", "na"), spread.toDF("b", "sb", "cb", "nb")
-    # clusters x clusters rows
-    worst = a.join(b, F.col("a") != F.col("b")).groupBy("a").agg(F.max(F.try_divide(F.col("sa") + F.col("sb"), F.sqrt(F.aggregate(F.zip_with("ca", "cb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)))).alias("r"), F.max("na").alias("n"))
-    return worst.agg(F.when((F.count("*") > 1) & (F.count("*") < F.sum("n")), F.avg("r")).alias("dbi"))
-
-
-def calinski_harabasz(df: DataFrame, cluster: str, features: str = "features") -> DataFrame:
-    """(chi): between over within dispersion, each over its degrees of freedom; same guards."""
-    c = _centroids(df, cluster, features)
-    mean = long_form(df.select(cluster, features), cluster, features).groupBy("feature").agg(F.avg("value").alias("m")).agg(F.transform(F.sort_array(F.collect_list(F.struct("feature", "m"))), lambda x: x["m"]).alias("mean"))
-    within = df.join(c, cluster).agg(F.sum(_square(features, "centroid")).alias("w"), F.count("*").alias("n"))
-    between = c.join(F.broadcast(mean), how="cross").agg(F.sum(F.col("n") * _square("centroid", "mean")).alias("b"), F.count("*").alias("k"))
-    x = within.join(F.broadcast(between), how="cross")
-    return x.select(F.when((F.col("k") > 1) & (F.col("k") < F.col("n")), F.try_divide(F.col("b") / (F.col("k") - 1), F.col("w") / (F.col("n") - F.col("k")))).alias("chi"))
+def davies_bouldin(df: DataFrame, cluster: str, features: str = "features", keys: list[str] | None = None) -> DataFrame:
+    """(keys, dbi): mean over clusters of the worst (s_i + s_j) / distance; null with fewer than two clusters or as many as
+    rows. ``keys`` tell several labellings stacked in one table apart."""
+    keys = keys or []
+    c = _centroids(df, keys, cluster, features)
+    spread = df.join(c, [*keys, cluster]).groupBy(*keys, cluster).agg(F.avg(F.sqrt(_square(features, "centroid"))).alias("s"), F.first("centroid").alias("centroid"), F.count("*").alias("n"))
+    a, b = spread.toDF(*keys, "a", "sa", "ca", "na"), spread.toDF(*(f"{k}_b" for k in keys), "b", "sb", "cb", "nb")
+    # clusters x clusters rows; a labelling of one cluster keeps it, without a partner
+    other = F.col("a") != F.col("b")
+    for k in keys:
+        other = other & (F.col(k) == F.col(f"{k}_b"))
+    apart = F.sqrt(F.aggregate(F.zip_with("ca", "cb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+    worst = a.join(b, other, "left").groupBy(*keys, "a").agg(F.max(F.try_divide(F.col("sa") + F.col("sb"), apart)).alias("r"), F.max("na").alias("n"))
+    return worst.groupBy(*keys).agg(F.when((F.count("*") > 1) & (F.count("*") < F.sum("n")), F.avg("r")).alias("dbi"))
+
+
+def calinski_harabasz(df: DataFrame, cluster: str, features: str = "features", keys: list[str] | None = None) -> DataFrame:
+    """(keys, chi): between over within dispersion, each over its degrees of freedom; same guards."""
+    keys = keys or []
+    c = _centroids(df, keys, cluster, features)
+    # the mean of all is the clusters' means by their sizes
+    mean = c.select(*keys, "n", F.posexplode("centroid").alias("feature", "m")).groupBy(*keys, "feature").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("m"))
+    mean = F.broadcast(mean.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("feature", "m"))), lambda x: x["m"]).alias("mean")))
+    within = df.join(c, [*keys, cluster]).groupBy(*keys).agg(F.sum(_square(features, "centroid")).alias("w"), F.count("*").alias("n"))
+    between = (c.join(mean, keys) if keys else c.crossJoin(mean)).groupBy(*keys).agg(F.sum(F.col("n") * _square("centroid", "mean")).alias("b"), F.count("*").alias("kinds"))
+    x = within.join(between, keys) if keys else within.crossJoin(F.broadcast(between))
+    return x.select(*keys, F.when((F.col("kinds") > 1) & (F.col("kinds") < F.col("n")), F.try_divide(F.col("b") / (F.col("kinds") - 1), F.col("w") / (F.col("n") - F.col("kinds")))).alias("chi"))
 
 
 def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows as block rows: ids, clusters and vectors of up to BLOCK rows each."""
+    """Rows as block rows: ids, clusters in every labelling, and vectors of up to BLOCK rows each."""
     for batch in batches:
         for at in range(0, batch.num_rows, BLOCK):
             part = batch.slice(at, BLOCK)
             yield pa.RecordBatch.from_pydict({
                 "block": pa.array([part.column(0)[0].as_py()], pa.int64()),
                 "ids": pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())),
-                "clusters": pa.array([part.column(1).to_pylist()], pa.list_(pa.int64())),
+                "clusters": pa.array([part.column(1).to_pylist()], pa.list_(pa.list_(pa.int64()))),
                 "raw": pa.array([np.array(part.column(2).to_pylist(), np.float64).tobytes()], pa.binary()),
             })
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For a pair of blocks: each left row's summed distance to each cluster of the right block."""
+    """For a pair of blocks: each left row's summed distance to each cluster of the right block, in every labelling; the
+    distances are found once for all of them."""
     for batch in batches:
         for r in batch.to_pylist():
-            ids, others = np.array(r["ids"]), np.array(r["clusters_b"])
-            x, y = (np.frombuffer(r[k], np.float64).reshape(n, -1) for k, n in (("raw", len(ids)), ("raw_b", len(others))))
+            ids, others = np.array(r["ids"]), np.array(r["clusters_b"]).T
+            x, y = (np.frombuffer(r[k], np.float64).reshape(n, -1) for k, n in (("raw", len(ids)), ("raw_b", others.shape[1])))
             d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
             if r["block"] == r["block_b"]:
                 np.fill_diagonal(d, 0)
-            kinds, at = np.unique(others, return_inverse=True)
-            sums = d @ np.eye(len(kinds))[at]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(kinds))), pa.array(np.tile(kinds, len(ids))), pa.array(sums.ravel())], ["i", "other", "d"])
+            for labelling, row in enumerate(others):
+                kinds, at = np.unique(row, return_inverse=True)
+                sums = d @ np.eye(len(kinds))[at]
+                n = sums.size
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, labelling), pa.int32()), pa.array(np.repeat(ids, len(kinds))), pa.array(np.tile(kinds, len(ids))), pa.array(sums.ravel())], ["labelling", "i", "other", "d"])
 
 
-def silhouette(df: DataFrame, id_col: str, cluster: str, features: str = "features", query: str = "true") -> DataFrame:
-    """(silhouette, rows): mean silhouette by Euclidean distance of the rows that ``query`` selects against all rows.
+def silhouette(df: DataFrame, id_col: str, cluster: str, features: str = "features", query: str = "true", keys: list[str] | None = None) -> DataFrame:
+    """(keys, silhouette, rows): mean silhouette by Euclidean distance of the rows that ``query`` (over ``id``) selects
+    against all rows.
 
-    Work is by pairs of blocks of BLOCK vectors, whose tasks return sums by cluster, never pairs. It is still quadratic
-    in the selected rows times all rows: for very many, state a ``query``. Null with fewer than two clusters or as many
-    as rows; a cluster of one row scores 0.
+    Work is by pairs of blocks of BLOCK vectors, whose tasks return sums by cluster, never pairs; labellings of the same
+    rows stacked by ``keys`` share the distances. It is still quadratic in the selected rows times all rows: for very
+    many, state a ``query``, such as ids divisible by 100. Null with fewer than two clusters or as many as rows; a cluster
+    of one row scores 0.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(cluster).cast("long").alias("c"), F.col(features).cast("array<double>").alias("v"))
-    kind = "block long, ids array<long>, clusters array<long>, raw binary"
-    left, right = rows.where(query).mapInArrow(_block, kind), rows.mapInArrow(_block, kind)
-    pairs = left.drop("clusters").join(right.select(F.col("block").alias("block_b"), F.col("clusters").alias("clusters_b"), F.col("raw").alias("raw_b")), how="cross")
-    sums = pairs.mapInArrow(_sums, "i long, other long, d double").groupBy("i", "other").agg(F.sum("d").alias("d"))
-    sizes = rows.groupBy(F.col("c").alias("other")).agg(F.count("*").alias("n"))
-    x = sums.join(sizes, "other").join(rows.select(F.col("id").alias("i"), F.col("c").alias("own")), "i")
+    keys = keys or []
+    rows = df.select(*keys, F.col(id_col).cast("long").alias("id"), F.col(cluster).cast("long").alias("c"), F.col(features).cast("array<double>").alias("v"))
+    names = [tuple(r) for r in rows.select(*keys).distinct().orderBy(*keys).collect()] if keys else [()]  # the labellings
+    which = F.lit(0)
+    for n, values in enumerate(names):
+        for_one = F.lit(True)
+        for k, v in zip(keys, values, strict=True):
+            for_one = for_one & (F.col(k) == F.lit(v))
+        which = F.when(for_one, n).otherwise(which)
+    marked = rows.withColumn("labelling", which.cast("int"))
+    each_row = marked.select("id", F.array("c").alias("c"), "v") if not keys else marked.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("labelling", "c"))), lambda x: x["c"]).alias("c"), F.first("v").alias("v"))
+    kind = "block long, ids array<long>, clusters array<array<long>>, raw binary"
+    left, right = each_row.where(query).select("id", "c", "v").mapInArrow(_block, kind), each_row.select("id", "c", "v").mapInArrow(_block, kind)
+    pairs = left.drop("clusters").crossJoin(right.select(F.col("block").alias("block_b"), F.col("clusters").alias("clusters_b"), F.col("raw").alias("raw_b")))
+    sums = pairs.mapInArrow(_sums, "labelling int, i long, other long, d double").groupBy("labelling", "i", "other").agg(F.sum("d").alias("d"))
+    sizes = marked.groupBy("labelling", F.col("c").alias("other")).agg(F.count("*").alias("n"))
+    x = sums.join(sizes, ["labelling", "other"]).join(marked.select("labelling", F.col("id").alias("i"), F.col("c").alias("own")), ["labelling", "i"])
     same = F.col("own") == F.col("other")
-    each = x.groupBy("i").agg(F.max(F.when(same, F.try_divide("d", F.col("n") - 1))).alias("a"), F.min(F.when(~same, F.col("d") / F.col("n"))).alias("b"), F.max(F.when(same, F.col("n"))).alias("size"))
+    each = x.groupBy("labelling", "i").agg(F.max(F.when(same, F.try_divide("d", F.col("n") - 1))).alias("a"), F.min(F.when(~same, F.col("d") / F.col("n"))).alias("b"), F.max(F.when(same, F.col("n"))).alias("size"))
     s = F.when(F.col("size") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    guard = sizes.agg(F.count("*").alias("k"), F.sum("n").alias("n"))
-    return each.agg(F.avg(s).alias("s"), F.count("*").alias("rows")).join(F.broadcast(guard), how="cross").select(F.when((F.col("k") > 1) & (F.col("k") < F.col("n")), F.col("s")).alias("silhouette"), "rows")
+    guard = sizes.groupBy("labelling").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
+    named = [F.element_at(F.array(*[F.lit(v[p]) for v in names]), F.col("labelling") + 1).alias(k) for p, k in enumerate(keys)]
+    return each.groupBy("labelling").agg(F.avg(s).alias("s"), F.count("*").alias("rows")).join(F.broadcast(guard), "labelling").select(*named, F.when((F.col("kinds") > 1) & (F.col("kinds") < F.col("n")), F.col("s")).alias("silhouette"), "rows")

@@ -45,3 +45,25 @@ def missing_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """One row: keys of each side that the other lacks."""
     a, b = left.select(key).distinct(), right.select(key).distinct()
     return join_gate(a, b, key).select("left_only", "right_only")
+
+
+def label_gate(ids: DataFrame, labels: DataFrame, id_col: str, label: str, keys: list[str] | None = None) -> None:
+    """Raise unless every labelling (told by ``keys``) has each id once, no other id, and no null label."""
+    keys = keys or []
+    counted = labels.groupBy(*keys, id_col).agg(F.count("*").alias("n"), F.count_if(F.col(label).isNull()).alias("unlabelled"))
+    known = ids.select(id_col, F.lit(True).alias("known"))
+    found = counted.join(known, id_col, "left").groupBy(*keys).agg(F.count_if(F.col("n") > 1).alias("repeated"), F.sum("unlabelled").alias("unlabelled"), F.count_if(F.col("known").isNull()).alias("strange"), F.count_if(F.col("known").isNotNull()).alias("met"))
+    total = ids.count()
+    wrong = found.where(f"repeated > 0 OR unlabelled > 0 OR strange > 0 OR met <> {total}")
+    if not wrong.isEmpty() or (total and labels.isEmpty()):
+        raise ValueError(f"labels that do not fit the {total} ids: {[r.asDict() for r in wrong.limit(20).collect()]}")
+
+
+def aligned_join(features: DataFrame, labels: DataFrame, id_col: str, row_id: str = "row_id") -> tuple[DataFrame, str]:
+    """Features and labels of the same rows, and how they met: by ``id_col`` where both have it, else by ``row_id``, the place
+    in their order. Either way one to one: unlike ids raise with the counts of both sides."""
+    by = id_col if id_col in features.columns and id_col in labels.columns else row_id
+    if by == row_id and not (row_id in features.columns and row_id in labels.columns):
+        raise ValueError(f"the tables share neither {id_col!r} nor {row_id!r}")
+    other = [c for c in labels.columns if c == by or c not in features.columns]
+    return strict_join(features, labels.select(*other), by), by

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.session import truncate
 from .validation import nan_to_null, numeric_columns
 
 EPS = 1e-8
@@ -20,6 +21,30 @@ def _with_statistics(df: DataFrame, stats: dict[str, Column]) -> DataFrame:
     return df.join(F.broadcast(df.agg(*[c.alias(n) for n, c in stats.items()])), how="cross")
 
 
+def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row with exact quantiles by name, each of a column at a share, by linear interpolation.
+
+    Values are counted, the counts dealt out by range and written, and ranks are running sums within a range on top of the
+    ranges before it: no task holds more than a range, however many distinct values a column has.
+    """
+    columns = sorted({c for c, _ in wanted.values()})
+    tall = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])).alias("e")).select("e.*").where("value IS NOT NULL")
+    counts = tall.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    ranged = truncate(counts.repartitionByRange("feature", "value").withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("feature", "part").agg(F.sum("n").alias("held"))  # ranges x columns rows
+    place = parts.withColumn("before", F.coalesce(F.sum("held").over(Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("held").over(Window.partitionBy("feature")))
+    inside = Window.partitionBy("feature", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranged.join(F.broadcast(place), ["feature", "part"]).withColumn("end", F.col("before") + F.sum("n").over(inside))
+
+    def at(c: str, share: float) -> Column:
+        spot = F.lit(share) * (F.col("total") - 1)
+        pick = lambda rank: F.max(F.when((F.col("feature") == c) & (F.col("end") - F.col("n") <= rank) & (rank < F.col("end")), F.col("value")))
+        low, high = pick(F.floor(spot)), pick(F.ceil(spot))
+        return low + (high - low) * F.max(F.when(F.col("feature") == c, spot - F.floor(spot)))
+
+    return ranked.agg(*[at(c, share).alias(name) for name, (c, share) in wanted.items()])
+
+
 def impute(df: DataFrame, method: str = "drop", id_col: str | None = None) -> DataFrame:
     """drop (rows with any null), mean, median (exact) or zero; NaN counts as missing."""
     clean = nan_to_null(df)
@@ -31,8 +56,10 @@ def impute(df: DataFrame, method: str = "drop", id_col: str | None = None) -> Da
         return clean.na.fill(0, columns)
     if method not in ("mean", "median"):
         raise ValueError(f"unknown imputation {method!r}")
-    f = F.avg if method == "mean" else F.median
-    joined = _with_statistics(clean, {f"{c}__fill": f(c) for c in columns})
+    if method == "mean":
+        joined = _with_statistics(clean, {f"{c}__fill": F.avg(c) for c in columns})
+    else:
+        joined = clean.crossJoin(F.broadcast(quantiles(clean, {f"{c}__fill": (c, 0.5) for c in columns}))) if columns else clean
     return joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}__fill")) for c in columns}).select(*df.columns)
 
 
@@ -63,11 +90,15 @@ def scale(df: DataFrame, method: str = "standard", id_col: str | None = None) ->
     stats, apply = _scale(method)
     columns = numeric_columns(df, (id_col,) if id_col else ())
     clean = nan_to_null(df)
-    joined = _with_statistics(clean, {f"{c}__{k}": f(c) for c in columns for k, f in stats.items()})
+    if method == "robust" and columns:
+        three = quantiles(clean, {f"{c}__{k}": (c, share) for c in columns for k, share in (("a", 0.5), ("low", 0.25), ("high", 0.75))})
+        joined = clean.crossJoin(F.broadcast(three.withColumns({f"{c}__b": F.col(f"{c}__high") - F.col(f"{c}__low") for c in columns})))
+    else:
+        joined = _with_statistics(clean, {f"{c}__{k}": f(c) for c in columns for k, f in stats.items()})
     return joined.withColumns({c: apply(F.col(c), F.col(f"{c}__a"), F.col(f"{c}__b")) for c in columns}).select(*df.columns)
 
 
-#: Which names belong to which group of face features, first match wins: (group, prefixes, parts, exact names).
+#: Which names belong to which group of face features, first match wins: (group, prefixes, parts, exact names).
 FACE_GROUPS = (
     ("Eyes", ("Left Eye", "Right Eye", "Eye ", "Inter-Eye"), ("EAR",), ()),
     ("Mouth", ("Mouth", "Upper Lip"), (), ("MAR",)),

@@ -77,3 +77,12 @@ def aligned_inputs(tables: list[DataFrame], id_col: str, k: int) -> None:
     for t in tables[1:]:
         if not first.select(id_col).exceptAll(t.select(id_col)).isEmpty() or not t.select(id_col).exceptAll(first.select(id_col)).isEmpty():
             raise ValueError("the tables hold different ids")
+
+
+def vector_gate(rows: DataFrame, id_col: str, features: str = "features") -> None:
+    """Raise unless ids are unique and known, and all vectors have the same length and finite numbers."""
+    sound = F.coalesce(F.forall(features, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+    r = rows.agg(F.count("*").alias("rows"), F.count(id_col).alias("ids"), F.count_if(~sound).alias("unsound"), F.count_if(F.size(features) == 0).alias("empty"), F.min(F.size(features)).alias("least"), F.max(F.size(features)).alias("most")).first()
+    repeated = duplicate_ids(rows, id_col).first()[0]
+    if not r["rows"] or r["ids"] < r["rows"] or repeated or r["unsound"] or r["empty"] or r["least"] != r["most"]:
+        raise ValueError(f"not a matrix of rows: {r.asDict() | {'repeated': repeated}}")

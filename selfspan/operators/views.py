@@ -10,21 +10,28 @@ from pyspark.sql import functions as F
 from . import external
 
 
-def gallery(labels: DataFrame, id_col: str, cluster: str, columns: int = 5) -> DataFrame:
-    """(cluster, id, row, column): place of each member in its cluster's gallery, by id."""
-    at = F.row_number().over(Window.partitionBy(cluster).orderBy(id_col)) - 1
-    return labels.select(F.col(cluster).alias("cluster"), F.col(id_col).alias("id"), F.floor(at / columns).alias("row"), (at % columns).cast("long").alias("column"))
+#: The internal metrics of a sweep, in the order of its columns.
+INTERNAL = ["silhouette", "dbi", "chi", "affinity_silhouette", "affinity_ratio", "ncut", "eigengap"]
 
 
-def heatmap_order(labels: DataFrame, id_col: str, cluster: str) -> DataFrame:
-    """(place, id, cluster, boundary): rows by cluster and id, boundary where a cluster starts. A place is the rows of
+def gallery(labels: DataFrame, id_col: str, cluster: str, columns: int = 5, keys: list[str] | None = None) -> DataFrame:
+    """(keys, cluster, id, row, column): place of each member in its cluster's gallery, by id."""
+    keys = keys or []
+    at = F.row_number().over(Window.partitionBy(*keys, cluster).orderBy(id_col)) - 1
+    return labels.select(*keys, F.col(cluster).alias("cluster"), F.col(id_col).alias("id"), F.floor(at / columns).alias("row"), (at % columns).cast("long").alias("column"))
+
+
+def heatmap_order(labels: DataFrame, id_col: str, cluster: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, place, id, cluster, boundary): rows by cluster and id, boundary where a cluster starts. A place is the rows of
     earlier clusters plus the place in the own one, so no task orders the whole table."""
-    sizes = labels.groupBy(F.col(cluster).alias("c")).agg(F.count("*").alias("n"))
-    before = sizes.select("c", F.coalesce(F.sum("n").over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    first = before.agg(F.min("c").alias("least"))
-    own = F.row_number().over(Window.partitionBy("cluster").orderBy("id"))
-    rows = labels.select(F.col(id_col).alias("id"), F.col(cluster).alias("cluster")).withColumn("at", own).join(F.broadcast(before), F.col("cluster") == F.col("c")).join(F.broadcast(first), how="cross")
-    return rows.select((F.col("before") + F.col("at") - 1).alias("place"), "id", "cluster", ((F.col("at") == 1) & (F.col("cluster") != F.col("least"))).alias("boundary"))
+    keys = keys or []
+    rows = labels.select(*keys, F.col(id_col).alias("id"), F.col(cluster).alias("cluster"))
+    sizes = rows.groupBy(*keys, "cluster").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("cluster")  # over the clusters, not the rows
+    before = sizes.select(*keys, "cluster", F.coalesce(F.sum("n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "cluster").orderBy("id"))
+    placed = rows.withColumn("at", own).join(F.broadcast(before), [*keys, "cluster"])
+    return placed.select(*keys, (F.col("before") + F.col("at") - 1).alias("place"), "id", "cluster", ((F.col("at") == 1) & (F.col("before") > 0)).alias("boundary"))
 
 
 def external_sweep(labellings: DataFrame, truth: str = "label") -> DataFrame:
@@ -36,9 +43,14 @@ def external_sweep(labellings: DataFrame, truth: str = "label") -> DataFrame:
     return external.scores(counts, ["k"])
 
 
+def combine_by(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    """One row a key with all tables' metrics; what a table lacks is null."""
+    return reduce(lambda a, b: a.join(b, keys, "full_outer"), tables)
+
+
 def combine_by_k(tables: list[DataFrame]) -> DataFrame:
     """One row a k with all tables' metrics; what a table lacks is null."""
-    return reduce(lambda a, b: a.join(b, "k", "full_outer"), tables)
+    return combine_by(tables, ["k"])
 
 
 def internal_sweep(table: DataFrame, ks: range, metrics: list[str]) -> DataFrame:
@@ -47,3 +59,10 @@ def internal_sweep(table: DataFrame, ks: range, metrics: list[str]) -> DataFrame
     if (r[0], r[1], r[2], r[3]) != (len(ks), len(ks), ks[0], ks[-1]) or any(r[4:]):
         raise ValueError("the sweep is incomplete or not finite")
     return table.orderBy("k")
+
+
+def metric_lines(table: DataFrame, metrics: list[str], keys: list[str] | None = None) -> DataFrame:
+    """(keys, metric, k, value): the points of one line a metric, without missing ones."""
+    keys = keys or []
+    tall = table.select(*keys, "k", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("p")).select(*keys, "p.metric", "k", "p.value")
+    return tall.where("value IS NOT NULL AND NOT isnan(value)")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry
 from ..functions.session import truncate
 from ..operators import affinity, anova, decomposition, external, grid, internal, joins, preparation, self_expression, spectral, validation, views
+from ..operators import stability as shaking
 from . import stages
 
 FLAGSHIP = "subspace_clusters"
@@ -353,19 +354,28 @@ def projected(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
 
 @query()
 def sparse_coefficients(spark, sf_dir):
-    return self_expression.sparse_coefficients(projected(spark, sf_dir), "vec_id", atoms=256, strict=False).values
+    return self_expression.sparse_coefficients(projected(spark, sf_dir), "vec_id").values
 
 
 @query()
 def low_rank_coefficients(spark, sf_dir):
-    ids, fit = self_expression.low_rank_fit(projected(spark, sf_dir), "vec_id", atoms=256)
-    return self_expression.as_table(spark, ids, fit.c, 1e-8)
+    return self_expression.low_rank_coefficients(projected(spark, sf_dir), "vec_id").values
 
 
-def clustered(spark: SparkSession, sf_dir: str, method: str) -> stages.Run:
+@query()
+def coefficient_info(spark, sf_dir):
+    """What each method's fit of all rows came to: settings, iterations, convergence, errors, structure."""
+    rows = projected(spark, sf_dir)
+    parts = [f(rows, "vec_id").info().withColumn("method", F.lit(m)) for m, f in self_expression.METHODS.items()]
+    return parts[0].unionByName(parts[1])
+
+
+def clustered(spark: SparkSession, sf_dir: str, method: str, clusters: int | tuple[int, ...] = 10, assignment: str = "kmeans") -> stages.Run:
+    """Stages 2 to 6 over all vectors. At ratios of lambda to gamma as in the final models; a fit that ends unconverged says so
+    in ``fit_info``."""
     rows = embedded(spark, sf_dir)
     features = rows.select("vec_id", *[F.col("features")[k].alias(f"f{k}") for k in range(64)])
-    s = stages.Settings(id_col="vec_id", components=8, clusters=10, method=method, atoms=128, strict=False)
+    s = stages.Settings(id_col="vec_id", components=8, clusters=clusters, method=method, assignment=assignment, strict=False)
     run = stages.Run(s, {"features": truncate(features), "truth": rows.select("vec_id", "label")})
     return stages.run_stages(run, stages.select_stages(2, 6))
 
@@ -375,55 +385,80 @@ def subspace_clusters(spark, sf_dir):
     return clustered(spark, sf_dir, "sparse").tables["labels"]
 
 
+@query()
+def subspace_clusters_discretized(spark, sf_dir):
+    return clustered(spark, sf_dir, "low_rank", assignment="discretize").tables["labels"]
+
+
 @query()
 def subspace_scores(spark, sf_dir):
-    run = stages.run_stages(clustered(spark, sf_dir, "sparse"), stages.select_stages(8, 10))
-    return run.tables["internal"].join(run.tables["external"].withColumn("k", F.lit(10)), "k")
+    """Both methods at ten clusters: internal and external scores, and whether the fit converged."""
+    run = stages.run_stages(clustered(spark, sf_dir, "both"), stages.select_stages(8, 10))
+    fits = run.tables["fit_info"].where("Property IN ('Converged', 'iterations')").groupBy("method").pivot("Property", ["Converged", "iterations"]).agg(F.first("Value"))
+    return run.tables["internal"].join(run.tables["external"], stages.KEYS).join(fits, "method")
 
 
 @query()
-def stability(spark, sf_dir, runs: int = 5, noise: float = 0.01):
-    """Mean agreement of k-means clusters of the vectors with those of noisy copies of them."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def subspace_sweep(spark, sf_dir):
+    """One fit a method, labels for 3 to 10 clusters, seven metrics each."""
+    run = stages.run_stages(clustered(spark, sf_dir, "both", tuple(range(3, 11))), [8])
+    return run.tables["internal"]
+
+
+@query()
+def subspace_anova(spark, sf_dir):
+    run = stages.run_stages(clustered(spark, sf_dir, "sparse", (4, 10)), [9])
+    return run.tables["anova"]
 
-    rows = embedded(spark, sf_dir)
-    shake = lambda seed: F.transform(F.col("features"), lambda x, i: x + noise * F.sqrt(-2 * F.log((F.pmod(F.xxhash64("vec_id", i, F.lit(seed)), F.lit(1 << 30)) + 1) / (1 << 30))) * F.cos(2 * F.pi() * F.pmod(F.xxhash64("vec_id", i, F.lit(-seed)), F.lit(1 << 30)) / (1 << 30)))
 
-    def fit(v: DataFrame, name: str) -> DataFrame:
-        data = v.withColumn("vector", array_to_vector("v"))
-        return KMeans(k=10, seed=42, featuresCol="vector", predictionCol=name).fit(data).transform(data).select("vec_id", name)
+SWEEP_SQL = f"""WITH s AS (SELECT vec_id, k, (vec_id % k)::BIGINT AS cluster, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding)))::INT AS f FROM embeddings, (VALUES (3), (5), (8)) v(k)),
+    m AS (SELECT k, cluster, f, avg(x) AS m, count(*) AS n FROM s GROUP BY ALL), t AS (SELECT k, f, avg(x) AS t FROM s GROUP BY ALL),
+    w AS (SELECT k, sum((x - m) ** 2) AS w, count(DISTINCT vec_id) AS n FROM s JOIN m USING (k, cluster, f) GROUP BY k),
+    b AS (SELECT k, sum(n * (m - t) ** 2) AS b, count(DISTINCT cluster) AS c FROM m JOIN t USING (k, f) GROUP BY k),
+    p AS (SELECT k, cluster, vec_id, sqrt(sum((x - m) ** 2)) AS d FROM s JOIN m USING (k, cluster, f) GROUP BY ALL), a AS (SELECT k, cluster, avg(d) AS s FROM p GROUP BY ALL),
+    q AS (SELECT x.k, x.cluster, y.cluster AS other, sqrt(sum((x.m - y.m) ** 2)) AS d FROM m x JOIN m y ON x.k = y.k AND x.f = y.f AND x.cluster <> y.cluster GROUP BY ALL),
+    r AS (SELECT q.k, q.cluster, max((u.s + v.s) / d) AS r FROM q JOIN a u ON u.k = q.k AND u.cluster = q.cluster JOIN a v ON v.k = q.k AND v.cluster = q.other GROUP BY ALL),
+    e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), z AS (SELECT k, i.vec_id % k AS own, j.vec_id % k AS other, i.vec_id, sum(CASE WHEN i.vec_id = j.vec_id THEN 0 ELSE list_distance(i.v, j.v) END) AS d, count(*) AS n
+        FROM e i, e j, (VALUES (3), (5), (8)) v(k) GROUP BY ALL),
+    y AS (SELECT k, vec_id, max(CASE WHEN own = other THEN d / nullif(n - 1, 0) END) AS a, min(CASE WHEN own <> other THEN d / n END) AS b FROM z GROUP BY ALL)
+    SELECT w.k, round((SELECT avg((y.b - y.a) / greatest(y.a, y.b)) FROM y WHERE y.k = w.k), 6) AS silhouette, round((SELECT avg(r) FROM r WHERE r.k = w.k), 6) AS dbi, round((b.b / (c - 1)) / (w / (n - c)), 5) AS chi FROM w JOIN b USING (k)"""
 
-    base = fit(rows.select("vec_id", F.col("features").alias("v")), "base")
-    counts = None
-    for r in range(1, runs + 1):
-        both = base.join(fit(rows.select("vec_id", shake(41 + r).alias("v")), "again"), "vec_id")
-        part = external.contingency(both, "base", "again").withColumn("run", F.lit(r))
-        counts = part if counts is None else counts.union(part)
-    return external.scores(counts, ["run"]).agg(F.avg("ARI").alias("stability"), F.count("*").alias("runs"))
+
+@query(SWEEP_SQL)
+def internal_sweep_by_k(spark, sf_dir):
+    """Three labellings of all vectors stacked in one table, scored together."""
+    rows = embedded(spark, sf_dir).withColumn("k", F.explode(F.array(F.lit(3), F.lit(5), F.lit(8)))).withColumn("cluster", (F.col("vec_id") % F.col("k")).cast("long"))
+    parts = [internal.silhouette(rows, "vec_id", "cluster", keys=["k"]).drop("rows"), internal.davies_bouldin(rows, "cluster", keys=["k"]), internal.calinski_harabasz(rows, "cluster", keys=["k"])]
+    return rounded(views.combine_by_k(parts)).withColumn("chi", F.round("chi", 5))
+
+
+@query(SWEEP_SQL.split("SELECT w.k, round")[0] + """, x AS (SELECT k, round((SELECT avg(r) FROM r WHERE r.k = w.k), 6) AS dbi, round((b.b / (c - 1)) / (w / (n - c)), 5) AS chi FROM w JOIN b USING (k))
+    SELECT 'dbi' AS metric, k, dbi AS value FROM x UNION ALL SELECT 'chi', k, chi FROM x""")
+def metric_lines(spark, sf_dir):
+    rows = embedded(spark, sf_dir).withColumn("k", F.explode(F.array(F.lit(3), F.lit(5), F.lit(8)))).withColumn("cluster", (F.col("vec_id") % F.col("k")).cast("long"))
+    table = views.combine_by_k([internal.davies_bouldin(rows, "cluster", keys=["k"]), internal.calinski_harabasz(rows, "cluster", keys=["k"])])
+    return views.metric_lines(rounded(table).withColumn("chi", F.round("chi", 5)), ["dbi", "chi"])
+
+
+@query()
+def stability(spark, sf_dir):
+    """Mean agreement of k-means clusters of all vectors with those of twenty noisy copies of them."""
+    return shaking.stability(embedded(spark, sf_dir).select("vec_id", "features"), [10])
 
 
 @query()
 def grid_search(spark, sf_dir):
-    rows = projected(spark, sf_dir)
-    ids, d = self_expression.dictionary(rows, "vec_id", atoms=128)
-    known = embedded(spark, sf_dir).select("vec_id", "label").where(F.col("vec_id").isin([int(i) for i in ids])).collect()  # of the dictionary
-    truth = {r["vec_id"]: r["label"] for r in known}
-    labels = [truth[int(i)] for i in ids]
+    """The fine grid of the sparse method over all vectors: scores against the labels and diagnostics of every point."""
+    return grid.search(projected(spark, sf_dir), embedded(spark, sf_dir), "vec_id", "label", grid.points_of(grid.FINE_SPARSE), "sparse", 10).results
 
-    def fit(lam: float, gam: float) -> dict:
-        import numpy as np
 
-        f = self_expression.iterate(d, d, np.arange(d.shape[1]), self_expression.Solver(lam, gam, max_iter=300), False)
-        w = np.abs(f.c) + np.abs(f.c).T
-        if not w.any():
-            raise ValueError("all coefficients are zero")
-        found = spectral.cluster(w / w.max(), 10)
-        best = sum(max((labels[i] for i in np.flatnonzero(found == c)), default=0, key=[labels[i] for i in np.flatnonzero(found == c)].count) == labels[k] for c in range(10) for k in np.flatnonzero(found == c))
-        return {"Purity": best / len(labels), **self_expression.diagnostics(d, d, f), "Converged": f.converged}
+@query()
+def grid_search_low_rank(spark, sf_dir):
+    """The coarse grid of the low-rank method, of at most 500 iterations a point, with what regeneration makes of it: the best rows."""
+    from dataclasses import replace
 
-    points = grid.log_grid(spark, (0.005, 0.05, 0.2, 1.0, 4))
-    return grid.run_grid(points, fit, ["Purity", "relative_error", "rank", "density", "sparsity"])
+    found = grid.search(projected(spark, sf_dir), embedded(spark, sf_dir), "vec_id", "label", grid.points_of(grid.COARSE), "low_rank", 10, solver=replace(self_expression.LOW_RANK, max_iter=500))
+    return grid.regenerate(found.results, prefer_converged=False)["best"]
 
 
 GRID_SQL = """g AS (SELECT l_discount AS "lambda", l_tax AS gamma, avg(l_quantity) AS ARI, max(l_extendedprice) AS NMI, sum(l_linenumber) % 3 > 0 AS Converged FROM lineitem GROUP BY ALL)"""
@@ -470,6 +505,16 @@ def polygons(spark, sf_dir):
     return rounded(shapes(spark, sf_dir).select("id", geometry.polygon_area(p).alias("area"), geometry.perimeter(p).alias("perimeter")), 5)
 
 
+@query(f"""WITH {SHAPE_SQL}, q AS (SELECT a.id, a.x, a.y, b.x AS nx, b.y AS ny FROM p a JOIN p b ON a.id = b.id AND b.at = a.at % a.n + 1 WHERE a.n > 3),
+    s AS (SELECT id, abs(sum(x * ny - nx * y)) / 2 AS area, sum(sqrt((x - nx) ** 2 + (y - ny) ** 2)) AS around, max(x) - min(x) AS w, max(y) - min(y) AS h FROM q GROUP BY id)
+    SELECT id, round(4 * pi() * area / (around * around + 1e-8), 6) AS circularity, round(h / (w + 1e-8), 5) AS aspect_ratio FROM s""")
+def shape_ratios(spark, sf_dir):
+    p = F.col("pts")
+    size = lambda axis: F.array_max(F.transform(p, lambda q: q[axis])) - F.array_min(F.transform(p, lambda q: q[axis]))
+    rows = shapes(spark, sf_dir).where(F.size("pts") > 3)
+    return rows.select("id", F.round(geometry.circularity(geometry.polygon_area(p), geometry.perimeter(p)), 6).alias("circularity"), F.round(geometry.aspect_ratio(size("y"), size("x")), 5).alias("aspect_ratio"))
+
+
 @query()
 def face_features(spark, sf_dir):
     """The 40 features of landmark sets made from each vector's coordinates."""

@@ -6,12 +6,13 @@ import hashlib
 import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.session import truncate
-from ..operators import affinity, anova, decomposition, external, internal, preparation, self_expression, spectral, validation
+from ..operators import affinity, anova, decomposition, external, internal, joins, preparation, self_expression, spectral, validation, views
 
 
 @dataclass(frozen=True)
@@ -25,20 +26,29 @@ class Settings:
     weighting: str = "sqrt"
     variance: float = 0.90
     components: int | None = None
+    #: One method, or ``both``: tables from the coefficients on have a column ``method``.
     method: str = "sparse"
-    clusters: int = 4
+    #: Numbers of clusters: one fit, and labels for each; tables from the labels on have a column ``k``.
+    clusters: int | tuple[int, ...] = 4
+    assignment: str = "kmeans"
     seed: int = 42
     atoms: int = self_expression.ATOMS
-    #: Whether a fit that has not converged ends the run.
+    #: Whether a fit that has not converged ends the run, after its tables are made.
     strict: bool = True
+    #: Rows whose silhouette is taken, a condition over ``id``: all, which is quadratic, or a stated query set.
+    silhouette_rows: str = "true"
     sparse: self_expression.Solver = self_expression.SPARSE
     low_rank: self_expression.Solver = self_expression.LOW_RANK
 
     def __post_init__(self):
-        if self.clusters < 2:
+        if min(self.ks) < 2:
             raise ValueError("two clusters at least")
         self_expression.method_names(self.method)
 
+    @property
+    def ks(self) -> tuple[int, ...]:
+        return (self.clusters,) if isinstance(self.clusters, int) else tuple(self.clusters)
+
 
 @dataclass
 class Run:
@@ -50,81 +60,133 @@ class Run:
     extra: dict = field(default_factory=dict)
 
 
+KEYS = ["method", "k"]
+
+
+def start(settings: Settings, features: DataFrame, truth: DataFrame | None = None) -> Run:
+    """A run over a feature table and, if there is one, the truth. With a truth, both must be aligned: the same unique ids,
+    finite numbers, no empty labels, and more rows than clusters."""
+    if truth is None:
+        return Run(settings, {"features": features})
+    validation.aligned_inputs([features, truth.select(settings.id_col, F.col(settings.label_col).cast("string").alias(settings.label_col))], settings.id_col, max(settings.ks))
+    return Run(settings, {"features": features, "truth": truth})
+
+
 def process(run: Run) -> None:
-    """features -> processed: impute, scale, weight."""
+    """features -> processed, weights: impute, scale, weight."""
     s, df = run.settings, run.tables["features"]
     if df.isEmpty():
         raise ValueError("the feature table is empty")
     clean = preparation.scale(preparation.impute(df, s.missing, s.id_col), s.scaling, s.id_col)
     groups = preparation.feature_groups(clean.columns)
+    run.tables["weights"] = preparation.weight_table(df.sparkSession, groups, s.weighting)
     run.tables["processed"] = truncate(preparation.weight_features(clean, groups, s.weighting))
 
 
 def reduce_dimensions(run: Run) -> None:
-    """processed -> scores (id, features)."""
+    """processed -> scores (id, features), and the decomposition's loadings, variance, scree and summary."""
     s, df = run.settings, run.tables["processed"]
-    v = truncate(decomposition.vectors(df, s.id_col, validation.numeric_columns(df, (s.id_col, s.label_col))))
+    names = validation.numeric_columns(df, (s.id_col, s.label_col))
+    v = truncate(decomposition.vectors(df, s.id_col, names))
     c = decomposition.fit_components(v, threshold=s.variance, k=s.components)
     run.extra["components"] = c
-    run.tables["scores"] = truncate(decomposition.vectors(decomposition.scores(v, c), s.id_col, [f"PC{k + 1}" for k in range(c.k)]))
+    made = decomposition.artifacts(v, c, s.id_col, names, s.variance)
+    run.tables |= {n: made[n] for n in ("loadings", "variance", "scree", "summary")}
+    run.tables["scores"] = truncate(decomposition.vectors(made["scores"], s.id_col, [f"PC{k + 1}" for k in range(c.k)]))
 
 
 def express(run: Run) -> None:
-    """scores -> coefficients (i, j, value)."""
-    s = run.settings
-    rows = run.tables["scores"]
-    if self_expression.method_names(s.method) == ["low_rank"]:
-        ids, fit = self_expression.low_rank_fit(rows, s.id_col, solver=s.low_rank, atoms=s.atoms)
-        if s.strict and not fit.converged:
-            raise ArithmeticError("not converged")
-        run.tables["coefficients"] = self_expression.as_table(rows.sparkSession, ids, fit.c)
-    else:
-        found = self_expression.sparse_coefficients(rows, s.id_col, solver=s.sparse, atoms=s.atoms, strict=s.strict)
-        run.tables["coefficients"] = truncate(found.values)
+    """scores -> coefficients, errors, fit_info of each method. Ids must be unique and numbers finite. A fit that has not
+    converged ends a strict run once its tables are there; with both methods the later one is then not fitted."""
+    s, rows = run.settings, run.tables["scores"]
+    validation.vector_gate(rows, s.id_col)
+    stack: dict[str, DataFrame] = {}
+    for method in self_expression.method_names(s.method):
+        found = self_expression.METHODS[method](rows, s.id_col, solver=getattr(s, method), atoms=s.atoms)
+        run.extra[method] = found
+        made = {"coefficients": found.values, "errors": found.errors, "fit_info": found.info()}
+        for name, table in made.items():
+            named = table.drop(*self_expression.POINT).withColumn("method", F.lit(method))
+            stack[name] = stack[name].unionByName(named) if name in stack else named
+        run.tables |= stack
+        if s.strict and not found.converged:
+            failure = found.failures.first()
+            raise ArithmeticError(f"{method}: " + (failure["failure"] if failure else f"not converged in {found.solver.max_iter} iterations"))
 
 
 def relate(run: Run) -> None:
-    """coefficients -> affinity among the dictionary's rows."""
+    """coefficients -> affinity (method, i, j, w) among the dictionary's rows."""
     c = run.tables["coefficients"]
-    atoms = c.select("i").distinct()
-    run.tables["affinity"] = truncate(affinity.symmetric_affinity(c.join(atoms.withColumnRenamed("i", "j"), "j", "left_semi").select("i", "j", "value")))
+    atoms = F.broadcast(c.select(F.col("i").alias("j")).distinct())  # of a bounded number
+    run.tables["affinity"] = truncate(affinity.affinity(c.join(atoms, "j", "left_semi"), keys=["method"]))
 
 
 def group(run: Run) -> None:
-    """affinity -> labels (id, cluster) of every row."""
+    """affinity -> labels (method, k, id, cluster) of every row, and atom_labels of the dictionary: one decomposition a method,
+    whatever the number of ks. A row without any coefficient goes to the largest cluster."""
     s, w = run.settings, run.tables["affinity"]
     ids, _ = self_expression.dictionary(run.tables["scores"], s.id_col, atoms=s.atoms)
-    found = spectral.cluster(affinity.dense(w, [int(i) for i in ids]), s.clusters, seed=s.seed)
-    atoms = w.sparkSession.createDataFrame([(int(i), int(c)) for i, c in zip(ids, found, strict=True)], "node long, cluster long")
+    parts = []
+    for method in self_expression.method_names(s.method):
+        graph = w.where(F.col("method") == method)
+        parts.append(spectral.cluster_nodes(graph, [int(i) for i in ids], s.ks, s.seed, s.assignment).withColumn("method", F.lit(method)))
+    atoms = truncate(reduce(DataFrame.unionByName, parts))
     run.tables["atom_labels"] = atoms
-    votes = spectral.assign(run.tables["coefficients"], atoms).toDF(s.id_col, "vote")
-    own = atoms.toDF(s.id_col, "own")
-    everyone = run.tables["scores"].select(s.id_col)
-    run.tables["labels"] = everyone.join(F.broadcast(own), s.id_col, "left").join(votes, s.id_col, "left").select(s.id_col, F.coalesce("own", "vote").alias("cluster"))
+    votes = reduce(DataFrame.unionByName, [
+        spectral.assign(run.tables["coefficients"].where(F.col("method") == m).drop("method"), atoms.where(F.col("method") == m).drop("method"), ["k"]).withColumn("method", F.lit(m)) for m in self_expression.method_names(s.method)
+    ])
+    largest = atoms.groupBy(*KEYS, "cluster").count().groupBy(*KEYS).agg(F.max(F.struct("count", (-F.col("cluster")).alias("minus"))).alias("b")).select(*KEYS, (-F.col("b.minus")).alias("largest"))
+    everyone = run.tables["scores"].select(s.id_col).crossJoin(F.broadcast(largest))  # rows x labellings, which is the result's size
+    own, vote = F.broadcast(atoms.withColumnRenamed("node", s.id_col).withColumnRenamed("cluster", "own")), votes.withColumnRenamed("j", s.id_col).withColumnRenamed("cluster", "vote")
+    joined = everyone.join(own, [*KEYS, s.id_col], "left").join(vote, [*KEYS, s.id_col], "left")
+    run.tables["labels"] = truncate(joined.select(*KEYS, s.id_col, F.coalesce("own", "vote", "largest").alias("cluster")))
+
+
+def picture(run: Run) -> None:
+    """labels -> what the pictures of every (method, k) show: gallery places, the heatmap's order, coordinates with labels."""
+    s = run.settings
+    run.tables["gallery"] = views.gallery(run.tables["labels"], s.id_col, "cluster", keys=KEYS)
+    run.tables["heatmap"] = views.heatmap_order(run.tables["atom_labels"], "node", "cluster", keys=KEYS)
+    run.tables["coordinates"] = run.tables["labels"].join(run.tables["scores"].select(s.id_col, *[F.get("features", F.lit(d)).alias(a) for d, a in enumerate("xyz")]), s.id_col)
 
 
 def evaluate(run: Run) -> None:
-    """labels -> internal scores."""
+    """labels -> internal: one row a (method, k), with the scores of the vectors and of the graph of landmarks, and the
+    eigengap of the method's graph at k. Labels must name exactly the rows."""
     s = run.settings
-    rows = run.tables["scores"].join(run.tables["labels"].where("cluster IS NOT NULL"), s.id_col)
-    parts = [internal.silhouette(rows, s.id_col, "cluster").select("silhouette"), internal.davies_bouldin(rows, "cluster"), internal.calinski_harabasz(rows, "cluster")]
-    keyed = [p.withColumn("k", F.lit(s.clusters)) for p in parts]
-    run.tables["internal"] = keyed[0].join(keyed[1], "k").join(keyed[2], "k")
+    ids = run.tables["scores"].select(s.id_col)
+    joins.label_gate(ids, run.tables["labels"], s.id_col, "cluster", KEYS)
+    rows = run.tables["scores"].join(run.tables["labels"], s.id_col)
+    w, atoms = run.tables["affinity"], run.tables["atom_labels"]
+    nodes = atoms.select("node").distinct()
+    spectra = []
+    for method in self_expression.method_names(s.method):
+        graph = w.where(F.col("method") == method).drop("method")
+        affinity.affinity_gate(graph, nodes)
+        spectra.append(affinity.laplacian_spectrum(graph, [r[0] for r in nodes.collect()]).select(F.lit(method).alias("method"), F.col("place").alias("k"), F.col("gap").alias("eigengap")))
+    parts = [
+        internal.silhouette(rows, s.id_col, "cluster", query=s.silhouette_rows, keys=KEYS).drop("rows"), internal.davies_bouldin(rows, "cluster", keys=KEYS), internal.calinski_harabasz(rows, "cluster", keys=KEYS),
+        affinity.affinity_silhouette(w, atoms, keys=KEYS).withColumnRenamed("silhouette", "affinity_silhouette"), affinity.affinity_ratio(w, atoms, keys=KEYS).withColumnRenamed("ratio", "affinity_ratio"), affinity.normalised_cut(w, atoms, keys=KEYS),
+    ]
+    table = views.combine_by(parts, KEYS).join(reduce(DataFrame.unionByName, spectra), KEYS, "left")
+    run.tables["internal"] = truncate(table.select(*KEYS, *views.INTERNAL))
 
 
 def explain(run: Run) -> None:
-    """processed and labels -> analysis of variance."""
+    """processed and labels -> analysis of variance by (method, k)."""
     s = run.settings
     rows = run.tables["processed"].join(run.tables["labels"], s.id_col)
-    run.tables["anova"] = anova.anova(rows, "cluster", validation.numeric_columns(run.tables["processed"], (s.id_col, s.label_col)))
+    run.tables["anova"] = anova.anova(rows, "cluster", validation.numeric_columns(run.tables["processed"], (s.id_col, s.label_col)), keys=KEYS)
 
 
 def compare(run: Run) -> None:
-    """labels and truth -> contingency and external scores."""
+    """labels and truth -> contingency and external scores by (method, k). The truth must name exactly the labelled rows."""
     s = run.settings
-    rows = run.tables["labels"].join(run.tables["truth"].select(s.id_col, s.label_col), s.id_col)
-    run.tables["contingency"] = external.contingency(rows, "cluster", s.label_col)
-    run.tables["external"] = external.scores(run.tables["contingency"])
+    truth = run.tables["truth"].select(s.id_col, s.label_col)
+    joins.label_gate(run.tables["labels"].select(s.id_col).distinct(), truth, s.id_col, s.label_col)
+    rows = run.tables["labels"].join(truth, s.id_col)
+    run.tables["contingency"] = external.contingency(rows, "cluster", s.label_col, KEYS)
+    run.tables["external"] = external.scores(run.tables["contingency"], KEYS)
 
 
 #: Number, name, function, tables needed, tables made.
@@ -134,7 +196,8 @@ STAGES: list[tuple[int, str, Callable[[Run], None], tuple[str, ...], tuple[str,
     (4, "express", express, ("scores",), ("coefficients",)),
     (5, "affinity", relate, ("coefficients",), ("affinity",)),
     (6, "cluster", group, ("affinity", "coefficients", "scores"), ("labels",)),
-    (8, "evaluate", evaluate, ("scores", "labels"), ("internal",)),
+    (7, "pictures", picture, ("labels", "affinity", "scores"), ("gallery", "heatmap", "coordinates")),
+    (8, "evaluate", evaluate, ("scores", "labels", "affinity", "atom_labels"), ("internal",)),
     (9, "anova", explain, ("processed", "labels"), ("anova",)),
     (10, "compare", compare, ("labels", "truth"), ("external",)),
 ]

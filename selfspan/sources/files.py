@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +48,29 @@ def properties(spark: SparkSession, values: dict) -> DataFrame:
 def append_results(df: DataFrame, path: str) -> None:
     """Add rows to a result table, so that finished grid points survive a stop."""
     df.write.mode("append").parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark finds anything at a path."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
+def resolve_input(spark: SparkSession, override: str | None, *candidates: str) -> str:
+    """The override if there is one, else the first candidate that exists; none is an error that names them all."""
+    if override:
+        return override
+    for path in candidates:
+        if exists(spark, path):
+            return path
+    raise FileNotFoundError(f"none of {list(candidates)}")
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A short text, such as a manifest, as one file of a folder."""
+    spark.createDataFrame([(line,) for line in text.splitlines()], "value string").coalesce(1).write.mode("errorifexists").text(path)
