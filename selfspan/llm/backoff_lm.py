@@ -35,6 +35,8 @@ HOLD = 1 << 20
 #: Codes of the end of a text and of its start; word hashes of that value do not matter.
 END, START = np.uint64(0xE0D), np.uint64(0x57A27)
 START_OF = np.array([START])
+#: Partitions a block or bucket: with more of them than keys, few keys meet in one.
+SPREAD = 4
 #: Bits of a bigram's key. Keys meet only within a bucket or a block, some millions of them whatever the corpus: a chance
 #: of about one in a hundred that any two of a bucket are one.
 PAIR_BITS = 48
@@ -352,8 +354,8 @@ def score_texts(docs: DataFrame, share: float = COMMON_SHARE, block_bytes: int =
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))  # and as many buckets
     # rows go to blocks in turn, so that equal ones do not meet in one
-    dealt = texts.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    asked = dealt.sortWithinPartitions("block").mapInArrow(lambda b: _requests(b, common, blocks), _ASKED).repartition(blocks, "bucket").groupBy("bucket")
+    dealt = texts.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")).repartition(SPREAD * blocks, "block")
+    asked = dealt.sortWithinPartitions("block").mapInArrow(lambda b: _requests(b, common, blocks), _ASKED).repartition(SPREAD * blocks, "bucket").groupBy("bucket")
     freed = asked.applyInArrow(_masses, "state int, freed long").groupBy("state").agg(F.sum("freed").alias("freed"))
     masses = freed.agg(F.collect_list(F.struct("state", "freed")).alias("m"))  # at most one a common word
     shared = spark.range(blocks).crossJoin(F.broadcast(masses)).select(F.col("id").cast("int").alias("block"), F.col("m.state").alias("states"), F.col("m.freed").alias("masses"))
