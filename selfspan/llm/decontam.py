@@ -21,6 +21,8 @@ from .common import materialise
 
 #: Tokens in a window; an item with fewer is one window.
 WINDOW = 8
+#: An item of fewer tokens is no evidence within a text: only a text that is nothing else leaks it.
+SHORT = 4
 #: Share of an item's windows, or number of them, that make a leak; at least LEAST of them where the item has so many.
 SHARE, ENOUGH, LEAST = 0.25, 12, 3
 #: Windows of a benchmark that are broadcast at most, by either hash: 200 bytes each.
@@ -89,7 +91,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     A window is met with the very same words and values, whatever their case and spacing (``literal_hits``), or, where at
     least half of its tokens are plain words, with other values. Where an alignment maps one value of the item to two of
     the document, its windows that hold this value are not sound; ``hits`` are the item's windows met soundly or
-    literally. A pair is a leak if the sound windows reach ``share`` of the windows (or those of plain words ``share`` of
+    literally. An item of fewer than SHORT tokens is leaked only by a text of nothing else. A pair is a leak if the sound windows reach ``share`` of the windows (or those of plain words ``share`` of
     theirs) or ``enough``, and ``least`` where the item has that many, or if ``enough`` windows are literal. Null or
     empty texts and items without words match nothing; rows of one doc_id (null too) are one document; repeated items
     each match. Only ``doc_id``, ``text`` and ``item_id`` are read. Without documents or items there are no rows.
@@ -101,7 +103,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     met = None
     for length in lengths:
         item = wanted.where(F.col("length") == length).drop("length")
-        keyed = windows_of(tokens, "doc_id", length).select("doc_id", "at", "f", F.explode(F.when(F.col("h") == F.col("g"), F.array("g")).otherwise(F.array("g", "h"))).alias("h"))
+        keyed = windows_of(tokens if length >= SHORT else tokens.where(F.size("plain") == length), "doc_id", length).select("doc_id", "at", "f", F.explode(F.when(F.col("h") == F.col("g"), F.array("g")).otherwise(F.array("g", "h"))).alias("h"))
         part = keyed.join(F.broadcast(item) if small else item.hint("merge"), "h").select(
             "doc_id", "item_id", "total", "typed_total", "typed", "templated", "item_at", (F.col("at") - F.col("item_at")).alias("offset"), (F.col("f") == F.col("item_f")).alias("literal"),
             F.expr("transform(slots, s -> struct(s.item_value AS item_value, f[s.k] AS value))").alias("slots"),

@@ -235,10 +235,10 @@ def test_leaks_with_other_values(spark):
     item = "A train travels 120 km in 3 hours from Paris to Lyon. How far does the train from Paris go in 7 hours?"
     swap = lambda *pairs: _swap(item, pairs)
     benchmark = spark.createDataFrame([(1, item, 0), (2, "short item", 0), (3, "", 0), (4, None, 0)], "item_id long, text string, h int")
-    texts = ["Before. " + swap(("120", "90"), ("3", "2"), ("Paris", "Rome"), ("7", "9")) + " and more", "Before. " + swap(("120", "90"), ("from Paris go", "from Oslo go")), "nothing of it", None, "", "x short item y", item, item]
+    texts = ["Before. " + swap(("120", "90"), ("3", "2"), ("Paris", "Rome"), ("7", "9")) + " and more", "Before. " + swap(("120", "90"), ("from Paris go", "from Oslo go")), "nothing of it", None, "", "x short item y", item, item, "Short  ITEM."]
     docs = spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)], "doc_id long, text string, plain string")
     got = {(r.doc_id, r.item_id): (r.hits, r.literal_hits, r.windows) for r in decontam.leaks(docs, benchmark).collect()}
-    assert set(got) == {(0, 1), (5, 2), (6, 1), (7, 1)}
+    assert set(got) == {(0, 1), (6, 1), (7, 1), (8, 2)}
     assert got[0, 1][1] < got[0, 1][0] and got[6, 1][1] == got[6, 1][2]
     assert decontam.leaks(docs.limit(0), benchmark).count() == 0 and decontam.leaks(docs, benchmark.limit(0)).count() == 0
 
