@@ -118,6 +118,9 @@ def measures(points: Column) -> Column:
     )
 
 
+# The names of the 40 features, as the builders below give them.
+
+
 def _eye(m: Column, side: str) -> dict[str, Column]:
     width, height = distance(m["left"], m["right"]), distance(m["top"], m["bottom"])
     return {
