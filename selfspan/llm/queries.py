@@ -12,42 +12,82 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of 400 bytes: every byte that one covers goes.
+
+    Null and empty texts have nothing to remove; equal rows remove each other; a null doc_id stays null. An empty table gives no rows, and other columns are not read.
+    """
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op2_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses of documents by source.
+
+    Null sources are a source; null and empty texts have no tokens and are used in every whole epoch; equal rows are separate documents. An empty table gives no rows, and other columns are not read.
+    """
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op3_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts before and after a revision of every text.
+
+    Null texts are empty; every row, repeated or without doc_id, stands for itself. An empty table gives no rows, and other columns are not read.
+    """
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.sample_revision())
 
 
 def op4_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near duplicates by three words and 0.85.
+
+    Texts without words link with nothing; a row without doc_id is never linked and stays; equal rows are one document. An empty table gives no rows, and other columns are not read.
+    """
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), words=3, part=85, whole=100)
 
 
 def op5_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores.
+
+    A null text is empty, its one token the end; a null doc_id counts as training; equal rows count each time. An empty table gives no rows, and other columns are not read.
+    """
     return backoff_lm.score_texts(table(spark, sf_dir, "documents"))
 
 
 def op6_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on urls.
+
+    A null url has an empty host, fits no rule and is allowed; equal rows are judged alike. An empty table gives no rows, and other columns are not read.
+    """
     return url_cascade.judge_urls(table(spark, sf_dir, "pages"))
 
 
 def op7_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items they leak.
+
+    Null and empty texts leak nothing; rows of one doc_id, or of none, are one document; equal items leak each. An empty table gives no rows, and other columns are not read.
+    """
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and place of every row.
+
+    A null text has size 1; null and repeated ids are ids like others, spread where they outweigh a slot. An empty table gives no rows, and other columns are not read.
+    """
     return slot_sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
 def op9_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links among vectors of equal labels.
+
+    Unsound vectors and rows without label or vec_id link with nothing; equal vectors link with each other. An empty table gives no rows, and other columns are not read.
+    """
     return epsilon_grid.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op10_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text.
+
+    Null and empty texts score as texts without hits; a null doc_id is scored and not held out; equal rows score alike. An empty table gives no rows, and other columns are not read.
+    """
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
