@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.session import truncate
+
 
 def join_gate(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """One row: left_only, right_only, null_keys, repeated_keys of a one-to-one join, from one full outer join of counts."""
@@ -31,14 +35,20 @@ def strict_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, key)
 
 
+def with_place(df: DataFrame, groups: list[str], order: str, name: str) -> DataFrame:
+    """Number the rows of each group from 0 in the order of a column. Rows are dealt out by range and written; a place is the
+    group's rows in earlier ranges plus the place within the own one, so no task orders a whole group, however large."""
+    part = truncate(df.repartitionByRange(*groups, order).withColumn("__part", F.spark_partition_id()))
+    by = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over ranges, not rows
+    before = part.groupBy(*groups, "__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(by), F.lit(0))).drop("__n")
+    own = part.withColumn("__at", F.row_number().over(Window.partitionBy(*groups, "__part").orderBy(order)))
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*groups, "__part")])
+    return own.alias("a").join(F.broadcast(before).alias("b"), same).select(*[f"a.{c}" for c in df.columns], (F.col("a.__at") + F.col("b.__before") - 1).alias(name))
+
+
 def with_row_id(df: DataFrame, order: str, name: str = "row_id") -> DataFrame:
-    """Number rows from 0 in the order of a key. Places are counted per range partition and offset by the rows before it,
-    so no single task sorts the table."""
-    part = df.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
-    sizes = part.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    own = part.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
-    return own.join(F.broadcast(before), "__part").withColumn(name, F.col("__at") + F.col("__before") - 1).drop("__part", "__at", "__before")
+    """Number rows from 0 in the order of a key, without a task that sorts the table."""
+    return with_place(df, [], order, name)
 
 
 def missing_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import external
+from .joins import with_place
 
 
 #: The internal metrics of a sweep, in the order of its columns.
@@ -17,21 +18,21 @@ INTERNAL = ["silhouette", "dbi", "chi", "affinity_silhouette", "affinity_ratio",
 def gallery(labels: DataFrame, id_col: str, cluster: str, columns: int = 5, keys: list[str] | None = None) -> DataFrame:
     """(keys, cluster, id, row, column): place of each member in its cluster's gallery, by id."""
     keys = keys or []
-    at = F.row_number().over(Window.partitionBy(*keys, cluster).orderBy(id_col)) - 1
-    return labels.select(*keys, F.col(cluster).alias("cluster"), F.col(id_col).alias("id"), F.floor(at / columns).alias("row"), (at % columns).cast("long").alias("column"))
+    rows = labels.select(*keys, F.col(cluster).alias("cluster"), F.col(id_col).alias("id"))
+    placed, at = with_place(rows, [*keys, "cluster"], "id", "at"), F.col("at")
+    return placed.select(*keys, "cluster", "id", F.floor(at / columns).alias("row"), (at % columns).cast("long").alias("column"))
 
 
 def heatmap_order(labels: DataFrame, id_col: str, cluster: str, keys: list[str] | None = None) -> DataFrame:
     """(keys, place, id, cluster, boundary): rows by cluster and id, boundary where a cluster starts. A place is the rows of
-    earlier clusters plus the place in the own one, so no task orders the whole table."""
+    earlier clusters plus the place in the own one."""
     keys = keys or []
     rows = labels.select(*keys, F.col(id_col).alias("id"), F.col(cluster).alias("cluster"))
     sizes = rows.groupBy(*keys, "cluster").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("cluster")  # over the clusters, not the rows
     before = sizes.select(*keys, "cluster", F.coalesce(F.sum("n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy(*keys, "cluster").orderBy("id"))
-    placed = rows.withColumn("at", own).join(F.broadcast(before), [*keys, "cluster"])
-    return placed.select(*keys, (F.col("before") + F.col("at") - 1).alias("place"), "id", "cluster", ((F.col("at") == 1) & (F.col("before") > 0)).alias("boundary"))
+    placed = with_place(rows, [*keys, "cluster"], "id", "at").join(F.broadcast(before), [*keys, "cluster"])
+    return placed.select(*keys, (F.col("before") + F.col("at")).alias("place"), "id", "cluster", ((F.col("at") == 0) & (F.col("before") > 0)).alias("boundary"))
 
 
 def external_sweep(labellings: DataFrame, truth: str = "label") -> DataFrame:
