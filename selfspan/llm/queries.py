@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import backoff_lm, decontam, epsilon_grid, minhash_join, mixing, slot_sharding, suffix_dedup, token_counts, toxicity, url_cascade
+from . import backoff_lm, collision_search, decontam, epsilon_grid, middle_filling, minhash_join, mixing, slot_sharding, suffix_dedup, token_counts, toxicity, url_cascade, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,7 +92,37 @@ def op10_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_repeated_capture_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle rewriting of every text, with checksums of the output and of the text restored from it.
+
+    Null and empty texts have no units and stay plain; a null doc_id draws as an empty one; equal rows give equal results; texts of any length are matched whole. An empty table gives no rows, and other columns are not read.
+    """
+    rewritten = middle_filling.fill_in_middle(table(spark, sf_dir, "documents"))
+    checksum = lambda c: F.sha2(c.cast("binary"), 256)
+    restored = middle_filling.restore(F.col("output"), F.col("form"))
+    return rewritten.select("doc_id", "n", "form", "prefix_chars", "middle_chars", checksum(F.col("output")).alias("output_sha256"), checksum(restored).alias("restored_sha256"))
+
+
+def op12_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest rows found for every row whose vec_id is divisible by 50.
+
+    Unsound vectors and rows without vec_id take no part; ties go to the smaller vec_id; equal rows count once. An empty table gives no rows, and other columns are not read.
+    """
+    return collision_search.nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sound vector on the 4 leading components of the distinct ones, whitened.
+
+    Null vectors and vectors with null or non-finite entries are dropped; a null vec_id stays null; equal rows are one of the fit list and are each returned; components without variance are left out. An empty table gives no rows, and other columns are not read.
+    """
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op11_repeated_capture_fim": op11_repeated_capture_fim,
+    "op12_collision_search": op12_collision_search,
+    "op13_qdwh_whitening": op13_qdwh_whitening,
     "op3_edit_token_counts": op3_edit_token_counts,
     "op2_temperature_mix": op2_temperature_mix,
     "op7_template_decontam": op7_template_decontam,
