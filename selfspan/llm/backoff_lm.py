@@ -1,17 +1,21 @@
 """Language-model scores from a weighted backoff automaton of smoothed bigrams.
 
-States are the root, the start of a text and every word of the training texts. A state's arcs are its bigrams seen twice
-or more in training, weighted by their discounted relative frequency plus the backed-off share (the discount is one, so a
-bigram seen once has the backed-off share alone and needs no arc); its failure arc leads to the root and weighs log10 of
-the mass the discount has freed. The root has an arc for every word, weighted by add-one unigrams. A text is read once
-from left to right: each token takes the state's arc, or the failure arc and the root's, and the sum of weights is its
-log10 probability.
+States are the root, the start of a text and every word of the training texts. A state's arcs are its bigrams seen in
+training, weighted by their discounted relative frequency plus the backed-off share; its failure arc leads to the root and
+weighs log10 of the mass the discount has freed. The discount is what the numbers of bigrams seen once and twice say, n1 /
+(n1 + 2 n2). The root has an arc for every word, weighted by add-one unigrams. A text is read once from left to right: each
+token takes the state's arc, or the failure arc and the root's, and the sum of weights is its log10 probability.
 
 Texts are dealt into blocks of bounded size; a block asks for its words and bigrams, packed into one row a bucket of
 hashes. A bucket sums its keys over all blocks and answers each with the slice of the automaton that its texts can touch.
 A word's bigrams lie in the word's bucket, which thus knows the mass freed; only those of common words (``COMMON_SHARE``
 of all training tokens or more, so at most 1 / COMMON_SHARE of them however large the corpus) and of the start are spread
-over all buckets. Common words' counts are broadcast, and their masses go to every block.
+over all buckets. Common words' counts are broadcast, and their masses go to every block. Most bigrams are seen once, and
+then a block that has it in its own training texts needs no answer to know: only counts of two and more are sent, and of
+one to blocks that have the bigram in held-out texts alone.
+
+A row's block is a hash of its doc_id and text, so a lost task deals its rows as before. Rows that are equal in both and
+together fill a good part of a block are read as one, with their number.
 """
 
 from __future__ import annotations
@@ -35,6 +39,12 @@ HOLD = 1 << 20
 #: Codes of the end of a text and of its start; word hashes of that value do not matter.
 END, START = np.uint64(0xE0D), np.uint64(0x57A27)
 START_OF = np.array([START])
+#: Equal rows of so many bytes together are read as one: there are fewer than the corpus's size over this.
+HEAVY_BYTES = BLOCK_BYTES // 8
+#: Rows that one row of a result stands for at most, until they are dealt out.
+TOGETHER = 4096
+#: States under which the numbers of bigrams seen once and twice come with the masses.
+ONCE, TWICE = -1, -2
 #: Partitions a block or bucket: with more of them than keys, few keys meet in one.
 SPREAD = 4
 #: Bits of a bigram's key. Keys meet only within a bucket or a block, some millions of them whatever the corpus: a chance
@@ -162,8 +172,9 @@ class Requests:
     def __init__(self, s: Common, buckets: int):
         self.s, self.buckets, self.waiting, self.size, self.parts = s, buckets, [], 0, []
 
-    def add(self, w: np.ndarray, held_out: bool) -> None:
-        self.waiting.append((w, held_out))
+    def add(self, w: np.ndarray, copies: int) -> None:
+        """A text's words and how often it counts: 0 if it is held out."""
+        self.waiting.append((w, copies))
         self.size += len(w)
         if self.size >= HOLD:
             self.count()
@@ -172,7 +183,7 @@ class Requests:
         if self.waiting:
             s = self.s
             words, _, at = _strung([x for x, _ in self.waiting])
-            weight = np.repeat([not h for _, h in self.waiting], [len(x) for x, _ in self.waiting])
+            weight = np.repeat([c for _, c in self.waiting], [len(x) for x, _ in self.waiting])
             rare = s.index(words[at]) < 0
             of_words, of_pairs = words[at][rare], _pairs(words, at)
             parts = []
@@ -212,12 +223,12 @@ def _requests(batches: Iterator[pa.RecordBatch], common, buckets: int) -> Iterat
     """What every block in the partition, whose rows are in the order of blocks, asks for."""
     last, held = None, None
     for batch in batches:
-        for text, block, held_out in zip(*(batch.column(n).to_pylist() for n in ("text", "block", "held_out")), strict=True):
+        for text, block, held_out, copies in zip(*(batch.column(n).to_pylist() for n in ("text", "block", "held_out", "copies")), strict=True):
             if block != last:
                 if held is not None:
                     yield held.answer(last)
                 last, held = block, Requests(common.value, buckets)
-            held.add(tokens(text), held_out)
+            held.add(tokens(text), 0 if held_out else copies)
     if held is not None:
         yield held.answer(last)
 
@@ -229,49 +240,53 @@ def _column(asked: pa.Table, keys: str, *numbers: str) -> tuple[np.ndarray, ...]
 
 
 def _masses(asked: pa.Table) -> pa.Table:
-    """(state, freed): what the discount frees in one bucket's arcs of common words and the start."""
+    """(state, arcs): how many arcs of common words and of the start one bucket has, and of all its bigrams how many were seen
+    once and twice."""
     pairs, counts, states, _ = _column(asked, "common_pairs", "common_counts", "states")
     order, starts = _grouped(pairs)
-    freed = np.bincount(states[order[starts]], np.maximum(_sums(counts, order, starts) - 1, 0))
-    found = np.flatnonzero(freed)
-    return pa.table({"state": pa.array(found, pa.int32()), "freed": pa.array(freed[found].astype(np.int64))})
+    often = _sums(counts, order, starts)
+    arcs = np.bincount(states[order[starts]], often > 0)
+    pairs, counts, _ = _column(asked, "pairs", "pair_counts")
+    seen = np.concatenate((often, _sums(counts, *_grouped(pairs))))
+    found = np.flatnonzero(arcs)
+    return pa.table({"state": pa.array(np.append(found, (ONCE, TWICE)), pa.int32()), "arcs": pa.array(np.append(arcs[found], ((seen == 1).sum(), (seen == 2).sum())).astype(np.int64))})
 
 
 def _answers(asked: pa.Table) -> pa.Table:
-    """One bucket's answer to each block: counts and freed masses of its words, and its arcs."""
+    """One bucket's answer to each block: counts of its words and of their arcs, and the arcs that the block cannot know."""
     words, counts, fans, word_rows = _column(asked, "words", "word_counts", "fans")
     order, starts = _grouped(words)
     totals = _back(_sums(counts, order, starts), order, starts)
     word_of = _back(np.arange(len(starts)), order, starts)
-    pairs, counts, pair_rows = _column(asked, "pairs", "pair_counts")
+    pairs, own_seen, pair_rows = _column(asked, "pairs", "pair_counts")
     order, starts = _grouped(pairs)
-    seen = _sums(counts, order, starts)
-    freed = np.bincount(np.repeat(word_of, fans)[order[starts]], np.maximum(seen - 1, 0), len(words))[word_of].astype(np.int64)
+    seen = _sums(own_seen, order, starts)
+    fan = np.bincount(np.repeat(word_of, fans)[order[starts]], seen > 0, len(words))[word_of].astype(np.int64)
     seen = _back(seen, order, starts)
-    common, counts, common_rows = _column(asked, "common_pairs", "common_counts")
+    common, own_often, common_rows = _column(asked, "common_pairs", "common_counts")
     order, starts = _grouped(common)
-    often = _back(_sums(counts, order, starts), order, starts)
+    often = _back(_sums(own_often, order, starts), order, starts)
     ends = [np.append(0, np.cumsum(r)) for r in (word_rows, pair_rows, common_rows)]
     cols: list[list] = [[] for _ in range(5)]
     for k in range(asked.num_rows):
         x, y, z = (slice(*e[k : k + 2]) for e in ends)
-        arc, n = np.concatenate((pairs[y], common[z])), np.concatenate((seen[y], often[z]))
-        kept = np.flatnonzero(n > 1)
+        arc, n, own = np.concatenate((pairs[y], common[z])), np.concatenate((seen[y], often[z])), np.concatenate((own_seen[y], own_often[z]))
+        kept = np.flatnonzero((n > 1) | ((n == 1) & (own == 0)))
         kept = kept[np.argsort(arc[kept])]
-        row = (_steps(words[x]), _bytes(totals[x]), _bytes(freed[x]), _steps(arc[kept]), _bytes(n[kept]))
+        row = (_steps(words[x]), _bytes(totals[x]), _bytes(fan[x]), _steps(arc[kept]), _bytes(n[kept]))
         for col, value in zip(cols, row, strict=True):
             col.append(value)
-    return pa.Table.from_arrays([asked.column("block"), *(pa.array(c, pa.binary()) for c in cols)], ["block", "words", "word_counts", "freed", "arcs", "arc_counts"])
+    return pa.Table.from_arrays([asked.column("block"), *(pa.array(c, pa.binary()) for c in cols)], ["block", "words", "word_counts", "fans", "arcs", "arc_counts"])
 
 
-_ANSWERS = "block int, words binary, word_counts binary, freed binary, arcs binary, arc_counts binary"
-_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_ANSWERS = "block int, words binary, word_counts binary, fans binary, arcs binary, arc_counts binary"
+_SCORES = "copies long, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 class Automaton:
-    """The slice of the model that one block's texts can touch."""
+    """The slice of the model that one block's texts can touch; ``own``: the bigrams of its own training texts, rising."""
 
-    def __init__(self, s: Common, answers: pa.Table):
+    def __init__(self, s: Common, answers: pa.Table, own: np.ndarray):
         def table(keys: str, *numbers: str) -> tuple[np.ndarray, ...]:
             *found, _ = _column(rows, keys, *numbers)
             order = np.argsort(found[0])
@@ -279,11 +294,14 @@ class Automaton:
 
         rows = answers.filter(answers.column("words").is_valid()) if answers.num_rows else answers
         nothing = (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
-        self.s, self.masses = s, np.zeros(s.n + 1, np.int64)
-        self.words, self.arcs = (table("words", "word_counts", "freed"), table("arcs", "arc_counts")) if rows.num_rows else (nothing, nothing)
-        for states, masses in zip(answers.column("states").to_pylist(), answers.column("masses").to_pylist(), strict=True):
+        self.s, self.fans, self.own, kinds = s, np.zeros(s.n + 1, np.int64), (own, np.ones(len(own), np.int64)), {ONCE: 0, TWICE: 0}
+        self.words, self.arcs = (table("words", "word_counts", "fans"), table("arcs", "arc_counts")) if rows.num_rows else (nothing, nothing)
+        for states, arcs in zip(answers.column("states").to_pylist(), answers.column("arcs_of_states").to_pylist(), strict=True):
             if states:
-                self.masses[states] = masses
+                at, n = np.array(states), np.array(arcs)
+                self.fans[at[at >= 0]] = n[at >= 0]
+                kinds |= dict(zip(at[at < 0].tolist(), n[at < 0].tolist(), strict=True))
+        self.discount = (kinds[ONCE] + 1) / (kinds[ONCE] + 2 * kinds[TWICE] + 2)  # above 0 and below 1, whatever was seen
 
     @staticmethod
     def _find(table: tuple[np.ndarray, ...], keys: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -299,40 +317,55 @@ class Automaton:
         """(known tokens, log10 by the root alone, log10 by the automaton) of each text."""
         s = self.s
         words, starts, at = _strung(texts)
-        count, freed = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        count, fan = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         index = s.index(words[at])
         often, rare = at[index >= 0], at[index < 0]
-        count[often], freed[often] = s.counts[index[index >= 0]], self.masses[index[index >= 0]]
-        count[rare], freed[rare] = self._find(self.words, words[rare])
-        count[starts], freed[starts] = s.texts, self.masses[s.n]
+        count[often], fan[often] = s.counts[index[index >= 0]], self.fans[index[index >= 0]]
+        count[rare], fan[rare] = self._find(self.words, words[rare])
+        count[starts], fan[starts] = s.texts, self.fans[s.n]
         root = (count[at] + 1) / (s.total + s.kinds + 1)
-        arc = self._find(self.arcs, _pairs(words, at))[0]
-        seen = np.maximum(count[at - 1], 1)
-        weight = np.maximum(arc - 1, 0) / seen + (1 - freed[at - 1] / seen) * root
+        pairs = _pairs(words, at)
+        arc = self._find(self.arcs, pairs)[0]
+        unsaid = np.flatnonzero(arc == 0)
+        arc[unsaid] = self._find(self.own, pairs[unsaid])[0]
+        seen = count[at - 1]
+        free = np.divide(self.discount * fan[at - 1], seen, out=np.ones(len(at)), where=seen > 0)  # all of a state unseen
+        weight = np.maximum(arc - self.discount, 0) / np.maximum(seen, 1) + free * root
         first = starts - np.arange(len(starts))  # of each text's tokens
         return tuple(np.add.reduceat(x, first) for x in ((count[at] > 0).astype(np.int64), np.log10(root), np.log10(weight)))
 
 
 def _score(left: pa.Table, right: pa.Table, common) -> pa.Table:
     s = common.value
-    model = Automaton(s, right)
-    lengths, found, waiting, size = [], [], [], 0
+    texts, chunks, size = [], [[]], 0
     for batch in left.select(["text"]).to_batches(max_chunksize=1024):
         for text in batch.column(0).to_pylist():
-            waiting.append(tokens(text))
-            lengths.append(len(waiting[-1]))
-            size += lengths[-1]
+            texts.append(tokens(text))
+            chunks[-1].append(len(texts) - 1)
+            size += len(texts[-1])
             if size >= HOLD:
-                found.append(model.read(waiting))
-                waiting, size = [], 0
-    if waiting:
-        found.append(model.read(waiting))
+                chunks.append([])
+                size = 0
+    chunks = [c for c in chunks if c]
+    trained = ~left.column("held_out").to_numpy().astype(bool)
+    own = []
+    for chunk in chunks:
+        if known := [texts[k] for k in chunk if trained[k]]:
+            words, _, at = _strung(known)
+            own.append(np.unique(_pairs(words, at)))
+    model = Automaton(s, right, np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64))
+    found = [model.read([texts[k] for k in chunk]) for chunk in chunks]
     known, base, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else ([], [], [])
-    rows = [left.column("doc_id"), left.column("held_out"), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array([s.total] * len(lengths), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
-    return pa.Table.from_arrays(rows, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    rows = [left.column("doc_id"), left.column("held_out"), pa.array([len(t) for t in texts], pa.int64()), pa.array(known, pa.int64()), pa.array([s.total] * len(texts), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
+    copies = left.column("copies").to_numpy()
+    parts = -(-copies // TOGETHER)
+    place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    together = pa.array(np.minimum(np.repeat(copies, parts) - TOGETHER * place, TOGETHER).astype(np.int64))
+    at = pa.array(np.repeat(np.arange(len(copies)), parts))
+    return pa.Table.from_arrays([together, *(r.take(at) for r in rows)], ["copies", "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def score_texts(docs: DataFrame, share: float = COMMON_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, share: float = COMMON_SHARE, block_bytes: int = BLOCK_BYTES, heavy_bytes: int = HEAVY_BYTES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32(doc_id as text) mod 7 is 2 are held out of all counts; a null doc_id counts as training. A null text
@@ -353,11 +386,17 @@ def score_texts(docs: DataFrame, share: float = COMMON_SHARE, block_bytes: int =
 
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))  # and as many buckets
-    # rows go to blocks in turn, so that equal ones do not meet in one
-    dealt = texts.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")).repartition(SPREAD * blocks, "block")
+    keyed = texts.withColumn("key", F.xxhash64("doc_id", "text"))
+    heavy = keyed.groupBy("key").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8).alias("bytes"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("bytes") >= heavy_bytes)).select("key")
+    heavy = F.broadcast(spark.createDataFrame(heavy.toPandas(), "key long"))  # at most one a HEAVY_BYTES of text
+    light = keyed.join(heavy, "key", "left_anti").withColumn("copies", F.lit(1).cast("long"))
+    folded = keyed.join(heavy, "key", "left_semi").groupBy("key", "doc_id", "text", "held_out").agg(F.count("*").alias("copies")).select(*light.columns)
+    dealt = light.unionByName(folded).withColumn("block", F.pmod("key", F.lit(blocks)).cast("int")).drop("key").repartition(SPREAD * blocks, "block")
     asked = dealt.sortWithinPartitions("block").mapInArrow(lambda b: _requests(b, common, blocks), _ASKED).repartition(SPREAD * blocks, "bucket").groupBy("bucket")
-    freed = asked.applyInArrow(_masses, "state int, freed long").groupBy("state").agg(F.sum("freed").alias("freed"))
-    masses = freed.agg(F.collect_list(F.struct("state", "freed")).alias("m"))  # at most one a common word
-    shared = spark.range(blocks).crossJoin(F.broadcast(masses)).select(F.col("id").cast("int").alias("block"), F.col("m.state").alias("states"), F.col("m.freed").alias("masses"))
+    arcs = asked.applyInArrow(_masses, "state int, arcs long").groupBy("state").agg(F.sum("arcs").alias("arcs"))
+    masses = arcs.agg(F.collect_list(F.struct("state", "arcs")).alias("m"))  # at most one a common word
+    shared = spark.range(blocks).crossJoin(F.broadcast(masses)).select(F.col("id").cast("int").alias("block"), F.col("m.state").alias("states"), F.col("m.arcs").alias("arcs_of_states"))
     slices = asked.applyInArrow(_answers, _ANSWERS).unionByName(shared, allowMissingColumns=True)
-    return dealt.groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(lambda l, r: _score(l, r, common), _SCORES)
+    scored = dealt.groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(lambda l, r: _score(l, r, common), _SCORES)
+    each = scored.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.drop("copies", "copy")

@@ -137,23 +137,32 @@ def test_language_model(docs):
     for w in itertools.chain(*train):
         c[w] = c.get(w, 0) + 1
     total, kinds = sum(c.values()), len(c)
-    history = {w: n for w, n in c.items() if n >= max(2, 4e-6 * total)} | {None: len(train)}
+    history = c | {None: len(train)}
     pair = {}
     for w in train:
         for v, x in zip([None, *w], w):
-            if v in history and x in history:
-                pair[v, x] = pair.get((v, x), 0) + 1
-    pair = {k: n for k, n in pair.items() if n > 1}
-    freed = {}
-    for (v, _), n in pair.items():
-        freed[v] = freed.get(v, 0) + n - 1
+            pair[v, x] = pair.get((v, x), 0) + 1
+    once, twice = (sum(n == k for n in pair.values()) for k in (1, 2))
+    discount = (once + 1) / (once + 2 * twice + 2)
+    fan = {}
+    for v, _ in pair:
+        fan[v] = fan.get(v, 0) + 1
     root = lambda x: (c.get(x, 0) + 1) / (total + kinds + 1)
-    chance = lambda v, x: max(pair.get((v, x), 0) - 1, 0) / history[v] + (1 - freed.get(v, 0) / history[v]) * root(x) if v in history else root(x)
+    chance = lambda v, x: (max(pair.get((v, x), 0) - discount, 0) + discount * fan.get(v, 0) * root(x)) / history[v] if v in history and v != "\0" else root(x)
     # a state's chances add up to one over the vocabulary and one unseen word
     assert sum(chance(None, x) for x in [*c, "unseen"]) == pytest.approx(1)
     want = sorted((str(i), h, len(w), sum(x in c for x in w), round(sum(math.log10(root(x)) for x in w), 6), round(sum(math.log10(chance(v, x)) for v, x in zip([None, *w], w)), 6)) for i, h, w in data)
-    got = backoff_lm.score_texts(docs, block_bytes=500).collect()
-    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
+    assert 0 < once and 0 < twice
+    for options in ({"block_bytes": 500}, {}, {"block_bytes": 500, "heavy_bytes": 1}, {"block_bytes": 2000, "heavy_bytes": 9}):
+        got = backoff_lm.score_texts(docs, **options).collect()
+        assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
+
+
+def test_language_model_reads_many_equal_rows_as_one(spark, monkeypatch):
+    monkeypatch.setattr(backoff_lm, "TOGETHER", 7)
+    rows = [(None, "a b a c")] * 40 + [(i, f"a b {'c' * (i % 3)} d") for i in range(30)]
+    read = lambda heavy: sorted((str(r.doc_id), r.n_known, round(r.score, 9)) for r in backoff_lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=100, heavy_bytes=heavy).collect())
+    assert len(read(100)) == 70 and read(100) == read(1 << 30)
 
 
 def test_language_model_has_every_bigram_whatever_words_are_common(docs):
