@@ -48,23 +48,33 @@ def f_p_value(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
 
 def f_statistics(df: DataFrame, cluster: str, features: list[str], keys: list[str] | None = None) -> DataFrame:
     """(keys, feature, groups, n, f, eta_squared) over the groups of more than one known value; features with fewer than two
-    such groups are left out. Moments per feature and group are partial aggregates of the unpivoted table."""
+    such groups are left out. Moments per feature and group are partial aggregates of the unpivoted table.
+
+    Where nothing varies within the groups, f is infinite, or null if nothing varies between them either. Groups and features
+    of one value are told by their least and greatest value, not by moments that rounding may have touched.
+    """
     by = [*(keys or []), "feature"]
     tall = nan_to_null(df).select(*by[:-1], cluster, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])).alias("e")).select(*by[:-1], cluster, "e.*").where(f"x IS NOT NULL AND `{cluster}` IS NOT NULL")
-    groups = tall.groupBy(*by, cluster).agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("v")).where("n > 1")
+    groups = tall.groupBy(*by, cluster).agg(
+        F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.when(F.min("x") == F.max("x"), F.min("x")).otherwise(F.avg("x")).alias("m"), F.when(F.min("x") == F.max("x"), 0.0).otherwise(F.var_samp("x")).alias("v")
+    ).where("n > 1")
     whole = groups.groupBy(*by).agg(F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
     sums = groups.join(whole, by).groupBy(*by).agg(
-        F.count("*").alias("groups"), F.max("total").alias("n"), F.sum(F.col("n") * F.pow(F.col("m") - F.col("mean"), 2)).alias("between"), F.sum((F.col("n") - 1) * F.col("v")).alias("within")
+        F.count("*").alias("groups"), F.max("total").alias("n"), F.when(F.min("low") < F.max("high"), F.sum(F.col("n") * F.pow(F.col("m") - F.col("mean"), 2))).otherwise(0.0).alias("between"), F.sum((F.col("n") - 1) * F.col("v")).alias("within")
     ).where("groups > 1")
-    return sums.select(*by, "groups", "n", F.try_divide(F.col("between") / (F.col("groups") - 1), F.col("within") / (F.col("n") - F.col("groups"))).alias("f"), F.try_divide("between", F.col("between") + F.col("within")).alias("eta_squared"))
+    f = F.when(F.col("within") > 0, F.col("between") / (F.col("groups") - 1) / (F.col("within") / (F.col("n") - F.col("groups")))).when(F.col("between") > 0, float("inf"))
+    return sums.select(*by, "groups", "n", f.alias("f"), F.try_divide("between", F.col("between") + F.col("within")).alias("eta_squared"))
 
 
 def adjust(p_values: DataFrame, p: str = "p_value", alpha: float = 0.05, keys: list[str] | None = None) -> DataFrame:
-    """Benjamini-Hochberg within each group of ``keys``: adds adjusted_p and significant. The table has one row a test."""
+    """Benjamini-Hochberg within each group of ``keys``: adds adjusted_p and significant. The table has one row a test. A test
+    without a p value is no part of the family: it has no adjusted value and is not significant."""
     family = Window.partitionBy(*(keys or [F.lit(0)]))
-    ranked = p_values.withColumn("__rank", F.row_number().over(family.orderBy(p))).withColumn("__m", F.count(p).over(family))
-    running = F.min(F.col(p) * F.col("__m") / F.col("__rank")).over(family.orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("adjusted_p", F.least(running, F.lit(1.0))).withColumn("significant", F.col("adjusted_p") <= alpha).drop("__rank", "__m")
+    known = p_values.withColumn("__p", F.when(~F.isnan(p), F.col(p).cast("double")))
+    ranked = known.withColumn("__rank", F.row_number().over(family.orderBy(F.asc_nulls_last("__p")))).withColumn("__m", F.count("__p").over(family))
+    running = F.min(F.col("__p") * F.col("__m") / F.col("__rank")).over(family.orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0))
+    adjusted = ranked.withColumn("adjusted_p", F.when(F.col("__p").isNotNull(), F.least(running, F.lit(1.0))))
+    return adjusted.withColumn("significant", F.coalesce(F.col("adjusted_p") <= alpha, F.lit(False))).drop("__p", "__rank", "__m")
 
 
 def anova(df: DataFrame, cluster: str, features: list[str], alpha: float = 0.05, keys: list[str] | None = None) -> DataFrame:

@@ -1,10 +1,12 @@
-"""Principal components from aggregated moments: the only thing gathered is the d x d centred Gram matrix."""
+"""Principal components from aggregated moments: the only thing gathered is the d x d centred Gram matrix.
+
+Products are summed of features less their mean, which a pass before finds, so that an offset common to all rows costs no digits.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -22,34 +24,55 @@ def long_form(df: DataFrame, id_col: str, features: str = "features") -> DataFra
     return df.select(id_col, F.posexplode(features).alias("feature", "value")).withColumn("value", F.col("value").cast("double"))
 
 
-def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's sums: rows, coordinates and products of coordinates, as one row."""
-    n, first, second = 0, None, None
+def _rows(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task's number of rows and sums of features, as one row."""
+    n, total = 0, None
     for batch in batches:
         if batch.num_rows:
-            lists = batch.column(0)
-            x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            n += batch.num_rows
-            first, second = (x.sum(axis=0), x.T @ x) if first is None else (first + x.sum(axis=0), second + x.T @ x)
+            x = _rows(batch)
+            n, total = n + len(x), x.sum(axis=0) if total is None else total + x.sum(axis=0)
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([first], pa.list_(pa.float64())), pa.array([second.ravel()], pa.list_(pa.float64()))], ["n", "first", "second"])
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total], pa.list_(pa.float64()))], ["n", "sums"])
+
+
+def means(df: DataFrame, features: str = "features") -> tuple[int, np.ndarray]:
+    """(number of rows, mean of every feature): d numbers reach the driver."""
+    parts = df.select(F.col(features).cast("array<double>").alias("v")).mapInArrow(_sums, "n long, sums array<double>")
+    rows = parts.select("n", F.posexplode("sums").alias("at", "s")).groupBy("at").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).orderBy("at").collect()
+    return (rows[0]["n"], np.array([r["s"] for r in rows]) / rows[0]["n"]) if rows else (0, np.zeros(0))
+
+
+def _products(batches: Iterator[pa.RecordBatch], mean: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One task's sums of centred features, and of their products for i <= j, as one row."""
+    first, second = np.zeros(len(mean)), np.zeros((len(mean), len(mean)))
+    for batch in batches:
+        if batch.num_rows:
+            x = _rows(batch) - mean
+            first += x.sum(axis=0)
+            second += x.T @ x
+    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate((first, second[np.triu_indices(len(mean))]))], pa.list_(pa.float64()))], ["sums"])
 
 
-def moments(df: DataFrame, features: str = "features") -> DataFrame:
-    """(at, s, n) of the sums of the features (at < d) and of their products (the d * d from there on): outer products are
-    summed within tasks, so a task ships d * d numbers however many rows it has."""
-    parts = df.select(F.col(features).cast("array<double>").alias("v")).mapInArrow(_moments, "n long, first array<double>, second array<double>")
-    return parts.select("n", F.posexplode(F.concat("first", "second")).alias("at", "s")).groupBy("at").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+def moments(df: DataFrame, mean: np.ndarray, features: str = "features") -> DataFrame:
+    """(at, s): sums of the features less ``mean`` (at < d) and, from there on, of their products for i <= j by rows: outer
+    products are summed within tasks, so a task ships d * (d + 3) / 2 numbers however many rows it has."""
+    parts = df.select(F.col(features).cast("array<double>").alias("v")).mapInArrow(lambda b: _products(b, mean), "sums array<double>")
+    return parts.select(F.posexplode("sums").alias("at", "s")).groupBy("at").agg(F.sum("s").alias("s"))
 
 
 def centred_gram(df: DataFrame, features: str = "features") -> DataFrame:
-    """(i, j, g) for i <= j: sums of products of centred features."""
-    sums = moments(df, features)
-    d = F.broadcast(sums.agg(F.count("*").alias("c")).select(((F.sqrt(4 * F.col("c") + 1) - 1) / 2).cast("int").alias("d")))
-    cells = sums.crossJoin(d).where("at >= d").select(F.floor((F.col("at") - F.col("d")) / F.col("d")).cast("int").alias("i"), ((F.col("at") - F.col("d")) % F.col("d")).cast("int").alias("j"), F.col("s").alias("xy"), "n").where("i <= j")
-    means = sums.crossJoin(d).where("at < d")
-    side = lambda k: F.broadcast(means.select(F.col("at").alias(k), F.col("s").alias(f"s{k}")))
-    return cells.join(side("i"), "i").join(side("j"), "j").select("i", "j", (F.col("xy") - F.col("si") * F.col("sj") / F.col("n")).alias("g"))
+    """(i, j, g) for i <= j: sums of products of centred features. What rounding has left of the means is taken off again."""
+    n, mean = means(df, features)
+    d = len(mean)
+    sums = moments(df, mean, features)
+    at = df.sparkSession.createDataFrame([(d + k, int(i), int(j)) for k, (i, j) in enumerate(zip(*np.triu_indices(d), strict=True))], "at int, i int, j int")
+    rest = sums.where(F.col("at") < d)
+    side = lambda k: F.broadcast(rest.select(F.col("at").alias(k), F.col("s").alias(f"s{k}")))
+    return sums.join(F.broadcast(at), "at").join(side("i"), "i").join(side("j"), "j").select("i", "j", (F.col("s") - F.col("si") * F.col("sj") / n).alias("g"))
 
 
 @dataclass(frozen=True)
@@ -64,13 +87,16 @@ class Components:
 
 def fit_components(df: DataFrame, features: str = "features", threshold: float = 0.90, k: int | None = None) -> Components:
     """The fewest components whose cumulative variance ratio exceeds ``threshold``, or ``k`` of them."""
-    rows = sorted(moments(df, features).collect())  # d * (d + 1) numbers
-    if not rows:
+    n, mean = means(df, features)
+    if not n:
         raise ValueError("no rows to decompose")
-    sums, n = np.array([r["s"] for r in rows]), rows[0]["n"]
-    d = int((sqrt(4 * len(rows) + 1) - 1) / 2)
-    mean = sums[:d] / n
-    gram = sums[d:].reshape(d, d) - n * np.outer(mean, mean)
+    d = len(mean)
+    rows = moments(df, mean, features).toArrow()  # d * (d + 3) / 2 numbers
+    sums = np.zeros(rows.num_rows)
+    sums[rows.column("at").to_numpy()] = rows.column("s").to_numpy()
+    gram = np.zeros((d, d))
+    gram[np.triu_indices(d)] = sums[d:]
+    gram += np.triu(gram, 1).T - np.outer(sums[:d], sums[:d]) / n
     values, basis = np.linalg.eigh(gram)
     values, basis = np.maximum(values[::-1], 0), basis[:, ::-1]
     ratios = values / (values.sum() or 1.0)

@@ -59,7 +59,6 @@ def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, BLOCK):
             part = batch.slice(at, BLOCK)
             yield pa.RecordBatch.from_pydict({
-                "block": pa.array([part.column(0)[0].as_py()], pa.int64()),
                 "ids": pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())),
                 "clusters": pa.array([part.column(1).to_pylist()], pa.list_(pa.list_(pa.int64()))),
                 "raw": pa.array([np.array(part.column(2).to_pylist(), np.float64).tobytes()], pa.binary()),
@@ -73,9 +72,10 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batch.to_pylist():
             ids, others = np.array(r["ids"]), np.array(r["clusters_b"]).T
             x, y = (np.frombuffer(r[k], np.float64).reshape(n, -1) for k, n in (("raw", len(ids)), ("raw_b", others.shape[1])))
+            centre = y.mean(axis=0)  # squares of what is left lose no digits to a common offset
+            x, y = x - centre, y - centre
             d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
-            if r["block"] == r["block_b"]:
-                np.fill_diagonal(d, 0)
+            d[ids[:, None] == np.array(r["ids_b"])[None]] = 0
             for labelling, row in enumerate(others):
                 kinds, at = np.unique(row, return_inverse=True)
                 sums = d @ np.eye(len(kinds))[at]
@@ -103,9 +103,9 @@ def silhouette(df: DataFrame, id_col: str, cluster: str, features: str = "featur
         which = F.when(for_one, n).otherwise(which)
     marked = rows.withColumn("labelling", which.cast("int"))
     each_row = marked.select("id", F.array("c").alias("c"), "v") if not keys else marked.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("labelling", "c"))), lambda x: x["c"]).alias("c"), F.first("v").alias("v"))
-    kind = "block long, ids array<long>, clusters array<array<long>>, raw binary"
+    kind = "ids array<long>, clusters array<array<long>>, raw binary"
     left, right = each_row.where(query).select("id", "c", "v").mapInArrow(_block, kind), each_row.select("id", "c", "v").mapInArrow(_block, kind)
-    pairs = left.drop("clusters").crossJoin(right.select(F.col("block").alias("block_b"), F.col("clusters").alias("clusters_b"), F.col("raw").alias("raw_b")))
+    pairs = left.drop("clusters").crossJoin(right.select(F.col("ids").alias("ids_b"), F.col("clusters").alias("clusters_b"), F.col("raw").alias("raw_b")))
     sums = pairs.mapInArrow(_sums, "labelling int, i long, other long, d double").groupBy("labelling", "i", "other").agg(F.sum("d").alias("d"))
     sizes = marked.groupBy("labelling", F.col("c").alias("other")).agg(F.count("*").alias("n"))
     x = sums.join(sizes, ["labelling", "other"]).join(marked.select("labelling", F.col("id").alias("i"), F.col("c").alias("own")), ["labelling", "i"])

@@ -40,7 +40,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
-# ---- validation, imputation, scaling -------------------------------------------------------------------------------
+# validation, imputation, scaling
 
 GAPPY_SQL = """SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_quantity END AS quantity,
     CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_extendedprice END AS price, l_discount AS discount, 1.0::DOUBLE AS one FROM lineitem"""
@@ -115,7 +115,7 @@ def weighted_features(spark, sf_dir):
     return rounded(preparation.weight_features(df, groups))
 
 
-# ---- joins ----------------------------------------------------------------------------------------------------------
+# joins
 
 
 @query("""SELECT (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS left_only,
@@ -143,7 +143,7 @@ def row_ids(spark, sf_dir):
     return joins.with_row_id(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", "row_id")
 
 
-# ---- external scores ------------------------------------------------------------------------------------------------
+# external scores
 
 
 def scores_sql(counts: str, key: str = "1") -> str:
@@ -183,7 +183,7 @@ def external_sweep(spark, sf_dir):
     return rounded(views.external_sweep(stacked))
 
 
-# ---- analysis of variance --------------------------------------------------------------------------------------------
+# analysis of variance
 
 
 def anova_sql(rows: str) -> str:
@@ -218,7 +218,16 @@ def adjusted_p_values(spark, sf_dir):
     return rounded(anova.adjust(p, "p"), 8)
 
 
-# ---- vectors: components and internal scores -------------------------------------------------------------------------
+@query("""WITH p AS (SELECT p_brand AS test, CASE WHEN p_brand NOT LIKE '%3' THEN avg(p_size) / 1000.0 END AS p FROM part GROUP BY p_brand), r AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM p WHERE p IS NOT NULL),
+    a AS (SELECT test, p, least(1, min(p * m / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS q FROM r)
+    SELECT test, round(p, 8) AS p, round(q, 8) AS adjusted_p, q <= 0.05 AS significant FROM a UNION ALL SELECT test, NULL, NULL, false FROM p WHERE p IS NULL""")
+def adjusted_p_values_nulls(spark, sf_dir):
+    """Tests of which some have no p value."""
+    p = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("test")).agg((F.avg("p_size") / 1000).alias("p"))
+    return rounded(anova.adjust(p.withColumn("p", F.when(~F.col("test").like("%3"), F.col("p"))), "p"), 8)
+
+
+# vectors: components and internal scores
 
 LONG_SQL = "SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding)))::INT AS f FROM embeddings"
 
@@ -270,6 +279,14 @@ def silhouette(spark, sf_dir):
     return rounded(internal.silhouette(embedded(spark, sf_dir), "vec_id", "label"))
 
 
+@query(PAIR_SQL + """, s AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE list_distance(a.v, b.v) END) AS d FROM e a, e b WHERE a.vec_id % 5 = 0 GROUP BY ALL),
+    r AS (SELECT vec_id, max(CASE WHEN own = other THEN d / nullif(n - 1, 0) END) AS a, min(CASE WHEN own <> other THEN d / n END) AS b, max(CASE WHEN own = other THEN n END) AS n FROM s JOIN c ON c.label = other GROUP BY vec_id)
+    SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS rows FROM r""")
+def silhouette_query(spark, sf_dir):
+    """The silhouette of a stated query set against all rows."""
+    return rounded(internal.silhouette(embedded(spark, sf_dir), "vec_id", "label", query="id % 5 = 0"))
+
+
 CENTROID_SQL = f"WITH l AS ({LONG_SQL}), m AS (SELECT label, f, avg(x) AS m, count(*) AS n FROM l GROUP BY ALL)"
 
 
@@ -286,10 +303,10 @@ def calinski_harabasz(spark, sf_dir):
     return rounded(internal.calinski_harabasz(embedded(spark, sf_dir), "label"), 5)
 
 
-# ---- a trade graph of nations: coefficients, affinity, cuts -----------------------------------------------------------
+# a trade graph of nations: coefficients, affinity, cuts
 
 TRADE_SQL = """t AS (SELECT c_nationkey::BIGINT AS i, s_nationkey::BIGINT AS j, sum(l_extendedprice * (CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END)) AS value
-        FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_discount >= 0.05 GROUP BY ALL),
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL),
     u AS (SELECT i, j, sum(w) AS w FROM (SELECT i, j, abs(value) AS w FROM t WHERE i <> j UNION ALL SELECT j, i, abs(value) FROM t WHERE i <> j) GROUP BY ALL),
     w AS (SELECT i, j, w / (SELECT max(w) FROM u) AS w FROM u WHERE w > 0), n AS (SELECT n_nationkey::BIGINT AS node, n_regionkey::BIGINT AS cluster FROM nation),
     z AS (SELECT w.i, w.j, w, a.cluster AS ci, b.cluster AS cj FROM w JOIN n a ON a.node = w.i JOIN n b ON b.node = w.j)"""
@@ -298,7 +315,7 @@ TRADE_SQL = """t AS (SELECT c_nationkey::BIGINT AS i, s_nationkey::BIGINT AS j,
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(i, j, value): what customers of nation i spend with suppliers of nation j, returns counted against."""
     t = lambda n: table(spark, sf_dir, n)
-    rows = t("lineitem").where("l_discount >= 0.05").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    rows = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
     return rows.groupBy(F.col("c_nationkey").cast("long").alias("i"), F.col("s_nationkey").cast("long").alias("j")).agg(F.sum(F.col("l_extendedprice") * F.when(F.col("l_returnflag") == "R", -1).otherwise(1)).alias("value"))
 
 
@@ -344,7 +361,7 @@ def eigengap(spark, sf_dir):
     return affinity.laplacian_spectrum(w, sorted(r["node"] for r in nations.collect()))
 
 
-# ---- subspace clustering ----------------------------------------------------------------------------------------------
+# subspace clustering
 
 
 def projected(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
@@ -496,7 +513,7 @@ def surface(spark, sf_dir):
     return rounded(grid.surface(order_grid(spark, sf_dir).where("lambda > 0 AND gamma > 0"), "ARI"))
 
 
-# ---- geometry ----------------------------------------------------------------------------------------------------------
+# geometry
 
 SHAPE_SQL = "p AS (SELECT l_orderkey AS id, l_linenumber AS k, l_extendedprice / 1000 AS x, l_quantity AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_quantity) AS at, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)"
 
@@ -514,14 +531,13 @@ def polygons(spark, sf_dir):
     return rounded(shapes(spark, sf_dir).select("id", geometry.polygon_area(p).alias("area"), geometry.perimeter(p).alias("perimeter")), 5)
 
 
-@query(f"""WITH {SHAPE_SQL}, q AS (SELECT a.id, a.x, a.y, b.x AS nx, b.y AS ny FROM p a JOIN p b ON a.id = b.id AND b.at = a.at % a.n + 1 WHERE a.n > 3),
+@query(f"""WITH {SHAPE_SQL}, q AS (SELECT a.id, a.x, a.y, b.x AS nx, b.y AS ny FROM p a JOIN p b ON a.id = b.id AND b.at = a.at % a.n + 1),
     s AS (SELECT id, abs(sum(x * ny - nx * y)) / 2 AS area, sum(sqrt((x - nx) ** 2 + (y - ny) ** 2)) AS around, max(x) - min(x) AS w, max(y) - min(y) AS h FROM q GROUP BY id)
     SELECT id, round(4 * pi() * area / (around * around + 1e-8), 6) AS circularity, round(h / (w + 1e-8), 5) AS aspect_ratio FROM s""")
 def shape_ratios(spark, sf_dir):
     p = F.col("pts")
     size = lambda axis: F.array_max(F.transform(p, lambda q: q[axis])) - F.array_min(F.transform(p, lambda q: q[axis]))
-    rows = shapes(spark, sf_dir).where(F.size("pts") > 3)
-    return rows.select("id", F.round(geometry.circularity(geometry.polygon_area(p), geometry.perimeter(p)), 6).alias("circularity"), F.round(geometry.aspect_ratio(size("y"), size("x")), 5).alias("aspect_ratio"))
+    return shapes(spark, sf_dir).select("id", F.round(geometry.circularity(geometry.polygon_area(p), geometry.perimeter(p)), 6).alias("circularity"), F.round(geometry.aspect_ratio(size("y"), size("x")), 5).alias("aspect_ratio"))
 
 
 @query()
@@ -534,7 +550,7 @@ def face_features(spark, sf_dir):
     return geometry.face_features(faces)
 
 
-# ---- views -------------------------------------------------------------------------------------------------------------
+# views
 
 
 @query("""SELECT row_number() OVER (ORDER BY label, vec_id) - 1 AS place, vec_id AS id, label::BIGINT AS cluster,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.session import truncate
 from ..operators import affinity, anova, decomposition, external, internal, joins, preparation, self_expression, spectral, validation, views
+from .ledger import Ledger, content_digest, write_run
 
 
 @dataclass(frozen=True)
@@ -58,6 +59,8 @@ class Run:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     records: list[dict] = field(default_factory=list)
     extra: dict = field(default_factory=dict)
+    #: By table name: the table that a stage made and its content digest.
+    digests: dict[str, tuple[DataFrame, str]] = field(default_factory=dict)
 
 
 KEYS = ["method", "k"]
@@ -216,15 +219,26 @@ def select_stages(first: int | None = None, last: int | None = None, only: list[
 
 
 def fingerprint(run: Run, stage: int) -> str:
-    """Hash of the settings and of the plans of what the stage reads: equal inputs give the same, so it may be skipped."""
+    """Hash of the settings and of the content of what the stage reads. The content of tables that stages made is known; that
+    of other tables is read, as their files may have changed."""
     needs = next(s[3] for s in STAGES if s[0] == stage)
-    parts = [json.dumps(asdict(run.settings), sort_keys=True, default=str), *(f"{n}:{run.tables[n].semanticHash()}" for n in needs if n in run.tables)]
+    known = {n: run.digests[n][1] for n in needs if n in run.digests and run.digests[n][0] is run.tables.get(n)}
+    parts = [json.dumps(asdict(run.settings), sort_keys=True, default=str), *(f"{n}:{known.get(n) or content_digest(run.tables[n])}" for n in needs if n in run.tables)]
     return hashlib.sha256("\n".join(parts).encode()).hexdigest()
 
 
-def run_stages(run: Run, stages: list[int], keep_going: bool = False, dry_run: bool = False, skip_done: bool = False) -> Run:
+def _take_up(run: Run, ledger: Ledger, found: dict) -> None:
+    spark = next(iter(run.tables.values())).sparkSession
+    for name, path in found["tables"].items():
+        run.tables[name] = ledger.load(spark, path)
+        run.digests[name] = (run.tables[name], found["digests"][name])
+
+
+def run_stages(run: Run, stages: list[int], keep_going: bool = False, dry_run: bool = False, skip_done: bool = False, ledger: Ledger | None = None) -> Run:
     """Run stages in order. A missing input is an error; a failing stage ends the run unless ``keep_going``; a stage whose
-    fingerprint has run before is skipped with ``skip_done``. ``records`` tells what happened."""
+    fingerprint has run before is skipped with ``skip_done``. With a ``ledger``, a stage's tables are kept in its folder, and
+    a stage that any session has done on the same settings and content is not run: its tables are read. ``records`` tells
+    what happened."""
     for n, name, f, needs, _ in STAGES:
         if n not in stages:
             continue
@@ -233,10 +247,15 @@ def run_stages(run: Run, stages: list[int], keep_going: bool = False, dry_run: b
             continue
         if lacking := [x for x in needs if x not in run.tables]:
             raise LookupError(f"stage {n} ({name}) needs {lacking}")
-        mark = fingerprint(run, n)
-        if skip_done and any(r.get("fingerprint") == mark and r["status"] == "done" for r in run.records):
+        spark = run.tables[needs[0]].sparkSession
+        mark = fingerprint(run, n) if skip_done or ledger else None
+        found = ledger.find(spark, n, mark) if ledger else None
+        if found or (skip_done and any(r.get("fingerprint") == mark and r["status"] == "done" for r in run.records)):
+            if found:
+                _take_up(run, ledger, found)
             run.records.append({"stage": n, "name": name, "status": "skipped", "fingerprint": mark})
             continue
+        before = dict(run.tables)
         try:
             f(run)
         except Exception as e:
@@ -244,10 +263,19 @@ def run_stages(run: Run, stages: list[int], keep_going: bool = False, dry_run: b
             if not keep_going:
                 raise
         else:
+            if ledger:
+                tables, digests = ledger.keep(spark, n, mark, {k: t for k, t in run.tables.items() if before.get(k) is not t})
+                run.tables |= tables
+                run.digests |= {k: (tables[k], d) for k, d in digests.items()}
             run.records.append({"stage": n, "name": name, "status": "done", "fingerprint": mark})
     return run
 
 
+def save(run: Run, folder: str) -> str:
+    """The run's tables, manifest and environment in a folder of its own."""
+    return write_run(next(iter(run.tables.values())).sparkSession, folder, asdict(run.settings), run.records, run.tables)
+
+
 def manifest(run: Run) -> str:
     """The records and settings as JSON."""
     return json.dumps({"settings": asdict(run.settings), "records": run.records}, indent=2, default=str)
