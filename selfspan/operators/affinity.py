@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.session import truncate
+from . import eigenvectors
 from .spectral import matrix
 
 
@@ -120,6 +122,21 @@ def laplacian_spectrum(w: DataFrame, nodes: list[int], limit: int = 4096) -> Dat
     return clean_graph(w).select("i", "j", "w").repartition(1).mapInArrow(run, "place int, eigenvalue double, gap double")
 
 
+def leading_spectrum(w: DataFrame, nodes: DataFrame, places: int, tol: float = 1e-6) -> DataFrame:
+    """(place, eigenvalue, gap) of the ``places`` least eigenvalues of the normalised Laplacian, ascending, of a graph of any
+    number of nodes (node); an isolated node has a zero row. The last gap is to the next eigenvalue."""
+    graph = truncate(clean_graph(w))
+    met = graph.select(F.col("i").alias("node")).distinct()
+    alone, rest = nodes.join(met, "node", "left_anti").count(), truncate(nodes.join(met, "node", "left_semi"))
+    values = np.zeros(0)
+    if alone <= places and not rest.isEmpty():
+        values = np.maximum(1 - eigenvectors.leading(eigenvectors.normalised(graph), rest, places + 1, tol)[0], 0)
+    found = np.concatenate((np.zeros(min(alone, places + 1)), values))[: places + 1]
+    found[found < 1e-12] = 0
+    gap = [float(b - a) for a, b in zip(found, found[1:], strict=False)] + [None]
+    return w.sparkSession.createDataFrame([(p + 1, float(v), gap[p]) for p, v in enumerate(found[:places])], "place int, eigenvalue double, gap double")
+
+
 def threshold(coefficients: DataFrame, tau: float) -> DataFrame:
     """Soft threshold of the values: sign(v) * max(|v| - tau, 0)."""
     return coefficients.withColumn("value", F.signum("value") * F.greatest(F.abs("value") - tau, F.lit(0.0)))

@@ -49,13 +49,13 @@ class Solver:
 #: The settings of the final models, and the names that methods go by.
 SPARSE = Solver(lam=0.025897373396156047, gamma=0.3986470631277377)
 LOW_RANK = Solver(lam=1.2247448713915892, gamma=0.38729833462074176)
-ALIASES = {"ssc": "sparse", "sparse": "sparse", "robust_sparse": "sparse", "lrsc": "low_rank", "low_rank": "low_rank", "robust_low_rank": "low_rank"}
+ALIASES = {"ssc": "sparse", "sparse": "sparse", "robust_sparse": "sparse", "lrsc": "low_rank", "low_rank": "low_rank", "robust_low_rank": "low_rank", "sparse_all": "sparse_all"}
 
 
 def method_names(value: str) -> list[str]:
-    """Canonical names of a method or of both."""
-    if value in ("both", "all"):
-        return ["sparse", "low_rank"]
+    """Canonical names of a method or of both; ``both_all``: the sparse one over all rows, without landmarks."""
+    if value in ("both", "all", "both_all"):
+        return ["sparse_all" if value == "both_all" else "sparse", "low_rank"]
     if value not in ALIASES:
         raise ValueError(f"unknown method {value!r}")
     return [ALIASES[value]]

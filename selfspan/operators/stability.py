@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import external
+from ..functions.session import truncate
+from . import external, many_means
 
 #: Makes (id, cluster) of (id, features) for a number of clusters and a seed.
 Clustering = Callable[[DataFrame, int, int], DataFrame]
@@ -33,14 +34,34 @@ def k_means(rows: DataFrame, k: int, seed: int) -> DataFrame:
     return KMeans(k=k, seed=seed, featuresCol="__vector", predictionCol="cluster").fit(data).transform(data).select(rows.columns[0], "cluster")
 
 
-def stability(rows: DataFrame, ks: list[int], clustering: Clustering = k_means, runs: int = 20, noise: float = 0.01, seed: int = 42) -> DataFrame:
+#: k-means runs of each clustering, of which the best counts.
+RESTARTS = 3
+
+
+def _shaken_means(rows: DataFrame, id_col: str, ks: list[int], runs: int, noise: float, seed: int) -> DataFrame:
+    """(k, run, base, again) of every row: all clusterings of all k and copies are fitted side by side, a pass moves them all."""
+    every = [many_means.Run(k, seed + t, 0.0 if r is None else noise, 0 if r is None else seed + r) for k in ks for r in (None, *range(runs)) for t in range(RESTARTS)]
+    fitted = many_means.fit_runs(rows, id_col, every)
+    chosen = fitted.best(lambda run: (run.k, run.noise, run.shake))
+    of = rows.sparkSession.createDataFrame([(n, every[n].k, every[n].shake - seed if every[n].noise else -1) for n in chosen], "run int, k int, copy int")
+    found = truncate(many_means.labels(rows, id_col, fitted, chosen).join(F.broadcast(of), "run").drop("run"))
+    base = found.where("copy < 0").select("k", id_col, F.col("cluster").alias("base"))
+    return found.where("copy >= 0").select("k", F.col("copy").alias("run"), id_col, F.col("cluster").alias("again")).join(base, ["k", id_col])
+
+
+def stability(rows: DataFrame, ks: list[int], clustering: Clustering | None = None, runs: int = 20, noise: float = 0.01, seed: int = 42) -> DataFrame:
     """(k, stability, runs): mean agreement (ARI) of the clusters of ``rows`` (id, features) with those of ``runs`` shaken
-    copies; run r draws with the seed + r."""
-    id_col, counts = rows.columns[0], None
-    for k in ks:
-        base = clustering(rows, k, seed).withColumnRenamed("cluster", "base")
-        for r in range(runs):
-            again = clustering(shaken(rows, id_col, noise, seed + r), k, seed + r).withColumnRenamed("cluster", "again")
-            part = external.contingency(base.join(again, id_col), "base", "again").select(F.lit(k).alias("k"), F.lit(r).alias("run"), "Cluster", "Label", "n")
-            counts = part if counts is None else counts.union(part)
+    copies; copy r is shaken with the seed + r. Clusters are k-means', all copies of all k fitted together, or those that
+    ``clustering`` makes, one call a copy."""
+    id_col = rows.columns[0]
+    if clustering is None:
+        counts = external.contingency(_shaken_means(rows, id_col, ks, runs, noise, seed), "base", "again", ["k", "run"])
+    else:
+        counts = None
+        for k in ks:
+            base = clustering(rows, k, seed).withColumnRenamed("cluster", "base")
+            for r in range(runs):
+                again = clustering(shaken(rows, id_col, noise, seed + r), k, seed + r).withColumnRenamed("cluster", "again")
+                part = external.contingency(base.join(again, id_col), "base", "again").select(F.lit(k).alias("k"), F.lit(r).alias("run"), "Cluster", "Label", "n")
+                counts = part if counts is None else counts.union(part)
     return external.scores(counts, ["k", "run"]).groupBy("k").agg(F.avg("ARI").alias("stability"), F.count("*").alias("runs"))

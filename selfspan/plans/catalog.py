@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions.session import truncate
-from ..operators import affinity, anova, decomposition, external, grid, internal, joins, preparation, self_expression, spectral, validation, views
+from ..operators import affinity, anova, column_generation, decomposition, external, grid, internal, joins, preparation, self_expression, spectral, validation, views
 from ..operators import stability as shaking
 from . import stages
 
@@ -375,6 +376,12 @@ def sparse_coefficients(spark, sf_dir):
     return self_expression.sparse_coefficients(projected(spark, sf_dir), "vec_id").values
 
 
+@query()
+def sparse_coefficients_all(spark, sf_dir):
+    """Every row over all other rows, exactly."""
+    return column_generation.sparse_coefficients(projected(spark, sf_dir), "vec_id").values
+
+
 @query()
 def low_rank_coefficients(spark, sf_dir):
     return self_expression.low_rank_coefficients(projected(spark, sf_dir), "vec_id").values
@@ -384,8 +391,8 @@ def low_rank_coefficients(spark, sf_dir):
 def coefficient_info(spark, sf_dir):
     """What each method's fit of all rows came to: settings, iterations, convergence, errors, structure."""
     rows = projected(spark, sf_dir)
-    parts = [f(rows, "vec_id").info().withColumn("method", F.lit(m)) for m, f in self_expression.METHODS.items()]
-    return parts[0].unionByName(parts[1])
+    parts = [f(rows, "vec_id").info().withColumn("method", F.lit(m)) for m, f in stages.METHODS.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def clustered(spark: SparkSession, sf_dir: str, method: str, clusters: int | tuple[int, ...] = 10, assignment: str = "kmeans") -> stages.Run:
@@ -400,7 +407,8 @@ def clustered(spark: SparkSession, sf_dir: str, method: str, clusters: int | tup
 
 @query()
 def subspace_clusters(spark, sf_dir):
-    return clustered(spark, sf_dir, "sparse").tables["labels"]
+    """Every vector over all others, a graph of all vectors, its embedding and ten clusters: no landmarks."""
+    return clustered(spark, sf_dir, "sparse_all").tables["labels"]
 
 
 @query()
@@ -411,7 +419,7 @@ def subspace_clusters_discretized(spark, sf_dir):
 @query()
 def subspace_scores(spark, sf_dir):
     """Both methods at ten clusters: internal and external scores, and whether the fit converged."""
-    run = stages.run_stages(clustered(spark, sf_dir, "both"), stages.select_stages(8, 10))
+    run = stages.run_stages(clustered(spark, sf_dir, "both_all"), stages.select_stages(8, 10))
     fits = run.tables["fit_info"].where("Property IN ('Converged', 'iterations')").groupBy("method").pivot("Property", ["Converged", "iterations"]).agg(F.first("Value"))
     return run.tables["internal"].join(run.tables["external"], stages.KEYS).join(fits, "method")
 
@@ -419,13 +427,13 @@ def subspace_scores(spark, sf_dir):
 @query()
 def subspace_sweep(spark, sf_dir):
     """One fit a method, labels for 3 to 10 clusters, seven metrics each."""
-    run = stages.run_stages(clustered(spark, sf_dir, "both", tuple(range(3, 11))), [8])
+    run = stages.run_stages(clustered(spark, sf_dir, "both_all", tuple(range(3, 11))), [8])
     return run.tables["internal"]
 
 
 @query()
 def subspace_anova(spark, sf_dir):
-    run = stages.run_stages(clustered(spark, sf_dir, "sparse", (4, 10)), [9])
+    run = stages.run_stages(clustered(spark, sf_dir, "sparse_all", (4, 10)), [9])
     return run.tables["anova"]
 
 

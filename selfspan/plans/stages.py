@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.session import truncate
-from ..operators import affinity, anova, decomposition, external, internal, joins, preparation, self_expression, spectral, validation, views
+from ..operators import affinity, anova, column_generation, decomposition, external, internal, joins, preparation, self_expression, spectral, validation, views
 from .ledger import Ledger, content_digest, write_run
 
 
@@ -27,7 +27,8 @@ class Settings:
     weighting: str = "sqrt"
     variance: float = 0.90
     components: int | None = None
-    #: One method, or ``both``: tables from the coefficients on have a column ``method``.
+    #: One method, or ``both``, or ``both_all``; ``sparse_all`` has no landmarks: its dictionary, graph and clusters are of all
+    #: rows. Tables from the coefficients on have a column ``method``.
     method: str = "sparse"
     #: Numbers of clusters: one fit, and labels for each; tables from the labels on have a column ``k``.
     clusters: int | tuple[int, ...] = 4
@@ -64,6 +65,9 @@ class Run:
 
 
 KEYS = ["method", "k"]
+#: Coefficients by method; those in ALL_ROWS need no landmarks.
+METHODS = self_expression.METHODS | {"sparse_all": column_generation.sparse_coefficients}
+ALL_ROWS = {"sparse_all"}
 
 
 def start(settings: Settings, features: DataFrame, truth: DataFrame | None = None) -> Run:
@@ -105,7 +109,7 @@ def express(run: Run) -> None:
     validation.vector_gate(rows, s.id_col)
     stack: dict[str, DataFrame] = {}
     for method in self_expression.method_names(s.method):
-        found = self_expression.METHODS[method](rows, s.id_col, solver=getattr(s, method), atoms=s.atoms)
+        found = METHODS[method](rows, s.id_col, solver=getattr(s, method.removesuffix("_all")), atoms=s.atoms)
         run.extra[method] = found
         made = {"coefficients": found.values, "errors": found.errors, "fit_info": found.info()}
         for name, table in made.items():
@@ -120,27 +124,33 @@ def express(run: Run) -> None:
 def relate(run: Run) -> None:
     """coefficients -> affinity (method, i, j, w) among the dictionary's rows."""
     c = run.tables["coefficients"]
-    atoms = F.broadcast(c.select(F.col("i").alias("j")).distinct())  # of a bounded number
-    run.tables["affinity"] = truncate(affinity.affinity(c.join(atoms, "j", "left_semi"), keys=["method"]))
+    landmarks = ~F.col("method").isin(*ALL_ROWS)
+    atoms = F.broadcast(c.where(landmarks).select("method", F.col("i").alias("j")).distinct())  # of a bounded number
+    among = c.where(landmarks).join(atoms, ["method", "j"], "left_semi").unionByName(c.where(~landmarks))
+    run.tables["affinity"] = truncate(affinity.affinity(among, keys=["method"]))
 
 
 def group(run: Run) -> None:
-    """affinity -> labels (method, k, id, cluster) of every row, and atom_labels of the dictionary: one decomposition a method,
+    """affinity -> labels (method, k, id, cluster) of every row, and atom_labels of the graph's nodes: one decomposition a method,
     whatever the number of ks. A row without any coefficient goes to the largest cluster."""
     s, w = run.settings, run.tables["affinity"]
-    ids, _ = self_expression.dictionary(run.tables["scores"], s.id_col, atoms=s.atoms)
-    parts = []
+    everyone, parts = run.tables["scores"].select(F.col(s.id_col).cast("long").alias("node")), []
     for method in self_expression.method_names(s.method):
         graph = w.where(F.col("method") == method)
+        if method in ALL_ROWS:
+            parts.append(spectral.cluster_all(graph, everyone, s.ks, s.seed, s.assignment).withColumn("method", F.lit(method)))
+            continue
+        ids, _ = self_expression.dictionary(run.tables["scores"], s.id_col, atoms=s.atoms)
         parts.append(spectral.cluster_nodes(graph, [int(i) for i in ids], s.ks, s.seed, s.assignment).withColumn("method", F.lit(method)))
     atoms = truncate(reduce(DataFrame.unionByName, parts))
     run.tables["atom_labels"] = atoms
-    votes = reduce(DataFrame.unionByName, [
-        spectral.assign(run.tables["coefficients"].where(F.col("method") == m).drop("method"), atoms.where(F.col("method") == m).drop("method"), ["k"]).withColumn("method", F.lit(m)) for m in self_expression.method_names(s.method)
-    ])
+    landmarks = [m for m in self_expression.method_names(s.method) if m not in ALL_ROWS]
+    of = lambda t, m: t.where(F.col("method") == m).drop("method")
+    found = [spectral.assign(of(run.tables["coefficients"], m), of(atoms, m), ["k"]).withColumn("method", F.lit(m)) for m in landmarks]
+    votes = reduce(DataFrame.unionByName, found) if found else atoms.limit(0).withColumnRenamed("node", "j")
     largest = atoms.groupBy(*KEYS, "cluster").count().groupBy(*KEYS).agg(F.max(F.struct("count", (-F.col("cluster")).alias("minus"))).alias("b")).select(*KEYS, (-F.col("b.minus")).alias("largest"))
     everyone = run.tables["scores"].select(s.id_col).crossJoin(F.broadcast(largest))  # rows x labellings, which is the result's size
-    own, vote = F.broadcast(atoms.withColumnRenamed("node", s.id_col).withColumnRenamed("cluster", "own")), votes.withColumnRenamed("j", s.id_col).withColumnRenamed("cluster", "vote")
+    own, vote = atoms.withColumnRenamed("node", s.id_col).withColumnRenamed("cluster", "own"), votes.withColumnRenamed("j", s.id_col).withColumnRenamed("cluster", "vote")
     joined = everyone.join(own, [*KEYS, s.id_col], "left").join(vote, [*KEYS, s.id_col], "left")
     run.tables["labels"] = truncate(joined.select(*KEYS, s.id_col, F.coalesce("own", "vote", "largest").alias("cluster")))
 
@@ -161,12 +171,12 @@ def evaluate(run: Run) -> None:
     joins.label_gate(ids, run.tables["labels"], s.id_col, "cluster", KEYS)
     rows = run.tables["scores"].join(run.tables["labels"], s.id_col)
     w, atoms = run.tables["affinity"], run.tables["atom_labels"]
-    nodes = atoms.select("node").distinct()
     spectra = []
     for method in self_expression.method_names(s.method):
-        graph = w.where(F.col("method") == method).drop("method")
+        graph, nodes = w.where(F.col("method") == method).drop("method"), atoms.where(F.col("method") == method).select("node").distinct()
         affinity.affinity_gate(graph, nodes)
-        spectra.append(affinity.laplacian_spectrum(graph, [r[0] for r in nodes.collect()]).select(F.lit(method).alias("method"), F.col("place").alias("k"), F.col("gap").alias("eigengap")))
+        spectrum = affinity.leading_spectrum(graph, nodes, max(s.ks), tol=1e-4) if method in ALL_ROWS else affinity.laplacian_spectrum(graph, [r[0] for r in nodes.collect()])
+        spectra.append(spectrum.select(F.lit(method).alias("method"), F.col("place").alias("k"), F.col("gap").alias("eigengap")))
     parts = [
         internal.silhouette(rows, s.id_col, "cluster", query=s.silhouette_rows, keys=KEYS).drop("rows"), internal.davies_bouldin(rows, "cluster", keys=KEYS), internal.calinski_harabasz(rows, "cluster", keys=KEYS),
         affinity.affinity_silhouette(w, atoms, keys=KEYS).withColumnRenamed("silhouette", "affinity_silhouette"), affinity.affinity_ratio(w, atoms, keys=KEYS).withColumnRenamed("ratio", "affinity_ratio"), affinity.normalised_cut(w, atoms, keys=KEYS),
