@@ -472,21 +472,27 @@ def stability(spark, sf_dir):
     return shaking.stability(embedded(spark, sf_dir).select("vec_id", "features"), [10])
 
 
-#: Steps of the registered searches on each axis of the fine ranges, and iterations of a point: a search of 15 steps takes
-#: nine and twenty-five times as long.
-SPARSE_STEPS, LOW_RANK_STEPS, SEARCH_ITERATIONS = 5, 3, 200
+#: Steps of the registered low-rank search on each axis of its fine range, and iterations of a point: 15 steps take
+#: twenty-five times as long.
+LOW_RANK_STEPS, SEARCH_ITERATIONS = 3, 200
 
 
 def searched(spark: SparkSession, sf_dir: str, method: str, spec: tuple, steps: int) -> grid.Search:
     """A search over all vectors, scored against their labels."""
-    solver = replace({"sparse": self_expression.SPARSE, "low_rank": self_expression.LOW_RANK}[method], max_iter=SEARCH_ITERATIONS)
+    solver = replace(self_expression.LOW_RANK, max_iter=SEARCH_ITERATIONS) if method == "low_rank" else self_expression.SPARSE
     return grid.search(projected(spark, sf_dir), embedded(spark, sf_dir), "vec_id", "label", grid.points_of((*spec[:4], steps)), method, 10, solver=solver)
 
 
 @query()
 def grid_search(spark, sf_dir):
-    """The sparse method at points of its fine ranges: scores and diagnostics of every point."""
-    return searched(spark, sf_dir, "sparse", grid.FINE_SPARSE, SPARSE_STEPS).results
+    """The sparse method at all points of its fine ranges, exactly, over all rows: scores and diagnostics of every point."""
+    return searched(spark, sf_dir, "sparse_all", grid.FINE_SPARSE, grid.FINE_SPARSE[4]).results
+
+
+@query()
+def grid_search_coarse(spark, sf_dir):
+    """The sparse method at all points of the coarse ranges, exactly, over all rows: the best rows."""
+    return grid.regenerate(searched(spark, sf_dir, "sparse_all", grid.COARSE, grid.COARSE[4]).results)["best"]
 
 
 @query()
