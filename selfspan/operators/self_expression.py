@@ -421,38 +421,6 @@ def effective_rank(values: DataFrame, nodes: int, limit: int = 4096) -> int:
     return values.join(F.broadcast(atoms), "j", "left_semi").select("i", "j", "value").repartition(1).mapInArrow(rank, "rank long").first()[0]
 
 
-def _lasso(batches: Iterator[pa.RecordBatch], ids: np.ndarray, atoms: np.ndarray, alpha: float, max_iter: int, tol: float) -> Iterator[pa.RecordBatch]:
-    gram = atoms.T @ atoms / len(atoms)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        own_id = batch.column(0).to_numpy()
-        x = unit_rows(np.array(batch.column(1).to_pylist(), float)).T
-        target, w = atoms.T @ x / len(atoms), np.zeros((len(ids), x.shape[1]))
-        fitted = np.zeros_like(w)  # gram @ w, kept up to date
-        for _ in range(max_iter):
-            step = 0.0
-            for i in np.flatnonzero(np.diag(gram) > 0):  # one atom for all rows of the batch at once
-                new = np.where(ids[i] == own_id, 0.0, soft(target[i] - fitted[i] + gram[i, i] * w[i], alpha) / gram[i, i])
-                change = new - w[i]
-                if change.any():
-                    fitted += gram[:, i : i + 1] * change
-                    w[i], step = new, max(step, np.abs(change).max())
-            if step < tol:
-                break
-        i, j = np.nonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own_id[j]), pa.array(w[i, j])], ["i", "j", "value"])
-
-
-def lasso_coefficients(rows: DataFrame, id_col: str, features: str = "features", alpha: float = 0.001, atoms: int = ATOMS, max_iter: int = 1000, tol: float = 1e-6) -> DataFrame:
-    """(i, j, value) of plain sparse coefficients: each row a lasso over the dictionary's other rows, by coordinate descent
-    in tasks, all rows of a batch together."""
-    ids, d = dictionary(rows, id_col, features, atoms)
-    shared = rows.sparkSession.sparkContext.broadcast((ids, d))
-    data = rows.select(F.col(id_col).cast("long"), F.col(features).cast("array<double>"))
-    return data.mapInArrow(lambda b: _lasso(b, *shared.value, alpha, max_iter, tol), "i long, j long, value double")
-
-
 def low_rank_closed_form(x: np.ndarray, lam: float = 0.1) -> np.ndarray:
     """Plain low-rank coefficients: singular values of (G + lam I)^-1 G, diagonal cleared, shrunk by lam."""
     g = x.T @ x

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions.session import truncate
-from ..operators import affinity, anova, column_generation, decomposition, external, grid, internal, joins, preparation, self_expression, spectral, validation, views
+from ..operators import affinity, anova, column_generation, decomposition, external, grid, internal, joins, lasso, preparation, self_expression, spectral, validation, views
 from ..operators import stability as shaking
 from . import stages
 
@@ -382,6 +382,12 @@ def sparse_coefficients_all(spark, sf_dir):
     return column_generation.sparse_coefficients(projected(spark, sf_dir), "vec_id").values
 
 
+@query()
+def lasso_coefficients(spark, sf_dir):
+    """Plain sparse coefficients of every row over all other rows."""
+    return lasso.lasso_coefficients(projected(spark, sf_dir), "vec_id")
+
+
 @query()
 def low_rank_coefficients(spark, sf_dir):
     return self_expression.low_rank_coefficients(projected(spark, sf_dir), "vec_id").values
