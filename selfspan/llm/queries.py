@@ -152,6 +152,6 @@ ORACLE = {
         )
         SELECT page_id, host, path, rule, CASE
             WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-            WHEN list_has_any(string_split_regex(host, '[.-]'), ['casino', 'bets', 'poker', 'pills', 'spam', 'adult', 'porn', 'ads']) THEN 'block' ELSE 'allow' END AS verdict
+            WHEN host IN (SELECT host FROM r GROUP BY host HAVING count(*) FILTER (rule NOT IN ('org/', 'com/fr/')) > count(*) FILTER (rule IN ('org/', 'com/fr/'))) THEN 'block' ELSE 'allow' END AS verdict
         FROM r""",
 }

@@ -23,8 +23,6 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-#: Parts of a host's name, between dots and hyphens, that put it on the block list: what advertisers of these trades use.
-LISTED_WORDS = ("casino", "bets", "poker", "pills", "spam", "adult", "porn", "ads")
 #: Keys a level may hold: at 1.44 * 4 bits a key, 24 MB. Beyond it, membership is an equi-join.
 MAX_KEYS = 1 << 25
 RATE = 1 / 16
@@ -96,18 +94,20 @@ class Cascade:
         return answer
 
 
-def host_list(pages: DataFrame, words=LISTED_WORDS) -> DataFrame:
-    """(host): the block list that the corpus itself gives: its hosts with one of ``words`` as a part of their name."""
-    host, _ = url_parts()
-    parts = F.split("host", r"[.-]")
-    return pages.select(host.alias("host")).distinct().where(F.arrays_overlap(parts, F.array(*[F.lit(w) for w in words])))
+def host_list(pages: DataFrame, rules=RULES) -> DataFrame:
+    """(host): the block list that the rules' verdicts teach: hosts of which the rules block more pages than they allow. Pages
+    that no rule fits have no say; the cascade carries the verdict of their host over to them."""
+    host, path = url_parts()
+    _, verdict = rule_columns(rules)
+    judged = pages.select(host.alias("host"), path.alias("path")).select("host", verdict.alias("verdict"))
+    return judged.groupBy("host").agg(F.count_if(F.col("verdict") == "block").alias("blocked"), F.count_if(F.col("verdict") == "allow").alias("allowed")).where("blocked > allowed").select("host")
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame | None = None, rules=RULES, max_keys: int = MAX_KEYS) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict.
 
     The longest rule that fits decides; without one, a host is blocked if the cascade holds it. ``listed``: the block
-    list, a table (host) in lower case, by default ``host_list`` of the pages; hosts on it that no page has, null and
+    list, a table (host) in lower case, by default ``host_list``, learned from the pages; hosts on it that no page has, null and
     repeated ones change nothing. A null url, or one without ``://``, has an empty host and path: no rule fits, and it is
     allowed unless the empty host is listed. Repeated rows are judged alike; other columns are not read; an empty table
     gives no rows. The list meets the corpus's distinct hosts in one join; the pages are never joined or shuffled. With
@@ -116,7 +116,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame | None = None, rules=RULES, m
     """
     host, path = url_parts()
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
-    chosen = (host_list(pages) if listed is None else listed.select("host").where("host IS NOT NULL").distinct()).select(F.col("host").alias("key"), F.lit(True).alias("on_list"))
+    chosen = (host_list(pages, rules) if listed is None else listed.select("host").where("host IS NOT NULL").distinct()).select(F.col("host").alias("key"), F.lit(True).alias("on_list"))
     hosts = parts.groupBy(F.col("host").alias("key")).agg(F.count("*").alias("n"))
     universe = materialise(hosts.join(chosen, "key", "left").select("key", F.coalesce("on_list", F.lit(False)).alias("listed")), "hosts")
     if universe.where("listed").count() <= max_keys:

@@ -172,20 +172,21 @@ def test_language_model_has_every_bigram_whatever_words_are_common(docs):
 
 
 def test_urls(spark):
-    urls = ["http://A.example.org/es/x?q", "https://example.org/en/12#t", "x://notexample.org/en/1", "http://spam.net", "http://ok.net/", None, "no scheme", "http://b.com/fr/://c", "http://b.com/de/", "http://m.Casino-win.com/zz", "http://a.org", "http://org/", "http://spamalot.net"]
+    urls = ["http://A.example.org/es/x?q", "https://example.org/en/12#t", "x://notexample.org/en/1", "http://spam.net", "http://ok.net/", None, "no scheme", "http://b.com/fr/://c", "http://b.com/de/", "http://m.Casino-win.com/zz", "http://a.org", "http://org/", "http://spamalot.net", "http://ads.com/de/1", "http://ads.com/de/2", "http://ads.com/fr/1", "HTTP://ADS.com/zz?q", "http://b.com/zz"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(None, "http://spam.net", "h")], "page_id long, url string, host string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_cascade.judge_urls(pages).collect()}
     assert got[0] == ("a.example.org", "/es/x", "example.org/es/", "block")
     assert got[1] == ("example.org", "/en/12", "example.org/en/1", "block")
     assert got[2][2:] == ("org/", "allow")
-    assert got[3] == ("spam.net", "", None, "block") and got[4] == ("ok.net", "/", None, "allow")
+    assert got[3] == ("spam.net", "", None, "allow") and got[4] == ("ok.net", "/", None, "allow")
     assert got[5] == got[6] == ("", "", None, "allow")
-    assert got[7] == ("b.com", "/fr/://c", "com/fr/", "allow") and got[8][2:] == ("com/de/", "block") and got[9][3] == "block"
-    assert got[10] == ("a.org", "", None, "allow") and got[11][2] == "org/" and got[None][3] == "block"
-    assert got[12][3] == "allow"  # a part of a name, not any letters of it
+    assert got[7] == ("b.com", "/fr/://c", "com/fr/", "allow") and got[8][2:] == ("com/de/", "block") and got[9][3] == "allow"
+    assert got[10] == ("a.org", "", None, "allow") and got[11][2] == "org/" and got[None][3] == "allow"
+    # rules block two pages of ads.com and allow one, but one each of b.com
+    assert got[15][3] == "allow" and got[16] == ("ads.com", "/zz", None, "block") and got[17][3] == "allow"
     listed = spark.createDataFrame([("ok.net",), ("ok.net",), ("elsewhere.net",), (None,)], "host string")
     by_list = [{r.page_id: r.verdict for r in url_cascade.judge_urls(pages, listed, max_keys=k).collect()} for k in (1 << 25, 0)]
-    assert by_list[0] == by_list[1] and by_list[0][4] == "block" and by_list[0][3] == "allow"
+    assert by_list[0] == by_list[1] and by_list[0][4] == "block" and by_list[0][16] == "allow"
     assert url_cascade.judge_urls(pages.limit(0)).count() == 0
     keys = spark.range(3000).selectExpr("cast(id as string) AS key", "id % 7 = 0 AS listed")
     cascade = url_cascade.Cascade.build(keys)
