@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions.session import truncate
-from ..operators import affinity, anova, column_generation, decomposition, external, grid, internal, joins, lasso, preparation, self_expression, spectral, validation, views
+from ..operators import affinity, anova, closed_form, column_generation, decomposition, external, grid, internal, joins, lasso, preparation, self_expression, spectral, validation, views
 from ..operators import stability as shaking
 from . import stages
 
@@ -388,6 +388,12 @@ def lasso_coefficients(spark, sf_dir):
     return lasso.lasso_coefficients(projected(spark, sf_dir), "vec_id")
 
 
+@query()
+def low_rank_closed_form(spark, sf_dir):
+    """Plain low-rank coefficients of all vectors, from factors of as many columns as the components have."""
+    return closed_form.low_rank_coefficients(projected(spark, sf_dir), "vec_id")
+
+
 @query()
 def low_rank_coefficients(spark, sf_dir):
     return self_expression.low_rank_coefficients(projected(spark, sf_dir), "vec_id").values
