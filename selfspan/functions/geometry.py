@@ -7,11 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 EPS = 1e-8
 
@@ -81,27 +78,36 @@ def quadratic_curvature(points: Column) -> Column:
     return F.try_divide(n * s2 * y2 - n * s3 * y1 - s2 * s2 * y0, n * s2 * s4 - n * s3 * s3 - s2 * s2 * s2)
 
 
-def _hull_area(xy: np.ndarray) -> float | None:
-    p = xy[np.lexsort((xy[:, 1], xy[:, 0]))]
-    if len(np.unique(p, axis=0)) < 3:
-        return None
-    hull: list[np.ndarray] = []
-    for chain in (p, p[::-1]):
-        start = len(hull)
-        for q in chain:
-            while len(hull) >= start + 2 and (hull[-1][0] - hull[-2][0]) * (q[1] - hull[-2][1]) - (hull[-1][1] - hull[-2][1]) * (q[0] - hull[-2][0]) <= 0:
-                hull.pop()
-            hull.append(q)
-        hull.pop()
-    h = np.array(hull)
-    area = 0.5 * abs(float((h[:, 0] * np.roll(h[:, 1], -1) - np.roll(h[:, 0], -1) * h[:, 1]).sum()))
-    return area or None
+def _given(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
 
 
-@F.pandas_udf(T.DoubleType())
-def hull_area(points: pd.Series) -> pd.Series:
-    """Area of the convex hull; null where the points do not span one."""
-    return pd.Series([None if p is None else _hull_area(np.array([(q["x"], q["y"]) for q in p], float).reshape(-1, 2)) for p in points], dtype="float64")
+def _chain(points: Column) -> Column:
+    """Half of the convex hull of points in order: a fold whose state is the stack of the monotone chain. A new point takes off
+    those that do not turn left before it; once one does, the rest of the inner fold leaves the stack as it is."""
+
+    def left(a: Column, b: Column, c: Column) -> Column:
+        return (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
+
+    def push(stack: Column, q: Column) -> Column:
+        off = lambda s, _: F.when((F.size(s) >= 2) & (left(F.get(s, F.size(s) - 2), F.get(s, F.size(s) - 1), q) <= 0), F.slice(s, F.lit(1), F.size(s) - 1)).otherwise(s)
+        return F.concat(F.aggregate(stack, stack, off), F.array(q))
+
+    return F.aggregate(points, F.slice(points, 1, 0), push)
+
+
+def hull_area(points: Column) -> Column:
+    """Area of the convex hull; null where the points do not span one. Points about the first one, so that an offset costs no
+    digits."""
+    plain = F.transform(points, lambda p: F.struct((p["x"] - points[0]["x"]).cast("double").alias("x"), (p["y"] - points[0]["y"]).cast("double").alias("y")))
+
+    def area(p: Column) -> Column:
+        half = lambda c: F.slice(c, F.lit(1), F.size(c) - 1)  # noqa: E731  the last point begins the other half
+        around = F.concat(_given(_chain(p), half), _given(_chain(F.reverse(p)), half))
+        return F.when(F.size(p) >= 3, F.nullif(_given(around, polygon_area), F.lit(0.0)))
+
+    return F.when(F.size(points) > 0, _given(F.array_sort(F.array_distinct(plain)), area))
 
 
 def solidity(points: Column) -> Column:
@@ -211,7 +217,7 @@ def face_features(landmarks: DataFrame, id_col: str = "Image", points: str = "pt
                 raise ValueError(f"two plugins give {feature!r}")
             out[feature] = column
     regions = landmarks.where(F.size(points) > 0).select(id_col, *[region(F.col(points), places).alias(f"p_{r}") for r, places in REGIONS.items()])
-    hulls = regions.withColumns({f"h_{r}": hull_area(f"p_{r}") for r in REGIONS})
+    hulls = regions.withColumns({f"h_{r}": hull_area(F.col(f"p_{r}")) for r in REGIONS})
     measured = hulls.select(id_col, *[measures(F.col(f"p_{r}")).withField("hull", F.col(f"h_{r}")).alias(f"m_{r}") for r in REGIONS])
     return measured.select(id_col, *[c.alias(n) for n, c in out.items()])
 

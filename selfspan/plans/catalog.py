@@ -566,6 +566,18 @@ def shape_ratios(spark, sf_dir):
     return shapes(spark, sf_dir).select("id", F.round(geometry.circularity(geometry.polygon_area(p), geometry.perimeter(p)), 6).alias("circularity"), F.round(geometry.aspect_ratio(size("y"), size("x")), 5).alias("aspect_ratio"))
 
 
+@query(f"""WITH {SHAPE_SQL}, q AS (SELECT a.id, a.x, a.y, b.x AS nx, b.y AS ny FROM p a JOIN p b ON a.id = b.id AND b.at = a.at % a.n + 1), o AS (SELECT id, abs(sum(x * ny - nx * y)) / 2 AS area FROM q GROUP BY id),
+    d AS (SELECT DISTINCT id, x, y FROM p), t AS (SELECT a.id, a.x AS ux, a.y AS uy, b.x AS vx, b.y AS vy, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS turn,
+        (b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y) AS along, (b.x - a.x) ** 2 + (b.y - a.y) ** 2 AS far FROM d a JOIN d b ON a.id = b.id AND (a.x, a.y) <> (b.x, b.y) JOIN d c ON c.id = a.id),
+    e AS (SELECT id, ux, uy, vx, vy FROM t GROUP BY ALL HAVING bool_and(turn > 1e-12 OR (abs(turn) <= 1e-12 AND along >= 0 AND along <= far * (1 + 1e-12)))),
+    h AS (SELECT id, nullif(round(sum(ux * vy - vx * uy) / 2, 9), 0) AS hull FROM e GROUP BY id)
+    SELECT id, round(hull, 7) AS hull, round(area / (hull + 1e-8), 7) AS solidity FROM o LEFT JOIN h USING (id)""")
+def hulls(spark, sf_dir):
+    """Convex hulls of orders' lines, and how much of them the polygons fill."""
+    p = F.col("pts")
+    return shapes(spark, sf_dir).select("id", F.round(geometry.hull_area(p), 7).alias("hull"), F.round(geometry.solidity(p), 7).alias("solidity"))
+
+
 @query()
 def face_features(spark, sf_dir):
     """The 40 features of landmark sets made from each vector's coordinates."""

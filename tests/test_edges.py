@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from selfspan.functions import geometry
 from selfspan.operators import anova, decomposition, internal
 from selfspan.plans import stages
 from selfspan.plans.ledger import Ledger, content_digest, environment
@@ -101,3 +102,32 @@ def test_digests_and_run_folder(spark, tmp_path):
     folder = stages.save(run, f"{tmp_path}/run")
     assert spark.read.option("header", True).csv(f"{folder}/scores").count() == 20
     assert '"stage": 3' in spark.read.text(f"{folder}/manifest").first()[0] and environment(spark)["spark"] in spark.read.text(f"{folder}/environment").first()[0]
+
+
+def test_hulls(spark):
+    rng = np.random.default_rng(12)
+    shapes = [rng.normal(size=(n, 2)).tolist() for n in (3, 4, 9, 60, 106)] + [rng.integers(0, 4, (40, 2)).tolist(), [[0, 0], [2, 0], [2, 2], [0, 2], [1, 0], [1, 1], [2, 0]], [[0, 0], [1, 1], [2, 2]], [[1, 1], [1, 1], [2, 5]], [[3, 4]], []]
+    shapes.append((rng.normal(size=(30, 2)) + 1e9).tolist())
+
+    def by_wrapping(p):
+        p = np.unique(np.array(p, float).reshape(-1, 2), axis=0)
+        if len(p) < 3:
+            return None
+        at, hull = p[0], []
+        while not hull or not np.array_equal(at, hull[0]):
+            hull.append(at)
+            best = next(q for q in p if not np.array_equal(q, at))
+            for q in p:
+                turn = (best[0] - at[0]) * (q[1] - at[1]) - (best[1] - at[1]) * (q[0] - at[0])
+                if turn < 0 or (turn == 0 and ((q - at) ** 2).sum() > ((best - at) ** 2).sum()):
+                    best = q
+            at = best
+        h = np.array(hull) - hull[0]
+        return 0.5 * abs((h[:, 0] * np.roll(h[:, 1], -1) - np.roll(h[:, 0], -1) * h[:, 1]).sum()) or None
+
+    df = spark.createDataFrame([(i, [(float(x), float(y)) for x, y in p]) for i, p in enumerate(shapes)] + [(99, None)], "id int, pts array<struct<x: double, y: double>>")
+    got = {r.id: r.area for r in df.select("id", geometry.hull_area(F.col("pts")).alias("area")).collect()}
+    assert got.pop(99) is None
+    for i, p in enumerate(shapes):
+        want = by_wrapping(p)
+        assert (got[i] is None and want is None) or got[i] == pytest.approx(want, rel=1e-9)
