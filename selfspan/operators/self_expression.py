@@ -49,7 +49,7 @@ class Solver:
 #: The settings of the final models, and the names that methods go by.
 SPARSE = Solver(lam=0.025897373396156047, gamma=0.3986470631277377)
 LOW_RANK = Solver(lam=1.2247448713915892, gamma=0.38729833462074176)
-ALIASES = {"ssc": "sparse", "sparse": "sparse", "robust_sparse": "sparse", "lrsc": "low_rank", "low_rank": "low_rank", "robust_low_rank": "low_rank", "sparse_all": "sparse_all"}
+ALIASES = {"ssc": "sparse", "sparse": "sparse", "robust_sparse": "sparse", "lrsc": "low_rank", "low_rank": "low_rank", "robust_low_rank": "low_rank", "sparse_all": "sparse_all", "low_rank_all": "low_rank_all"}
 
 
 def method_names(value: str) -> list[str]:

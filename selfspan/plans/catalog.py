@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions.session import truncate
-from ..operators import affinity, anova, closed_form, column_generation, decomposition, external, grid, internal, joins, lasso, preparation, self_expression, spectral, validation, views
+from ..operators import affinity, anova, closed_form, column_generation, decomposition, exact_low_rank, external, grid, internal, joins, lasso, preparation, self_expression, spectral, validation, views
 from ..operators import stability as shaking
 from . import stages
 
@@ -399,6 +399,19 @@ def low_rank_coefficients(spark, sf_dir):
     return self_expression.low_rank_coefficients(projected(spark, sf_dir), "vec_id").values
 
 
+@query()
+def low_rank_factors(spark, sf_dir):
+    """Robust low-rank coefficients of every row over all other rows, as factors."""
+    rows = truncate(projected(spark, sf_dir))
+    return exact_low_rank.factors(rows, "vec_id")
+
+
+@query()
+def low_rank_coefficients_all(spark, sf_dir):
+    """Robust low-rank coefficients of every row over all other rows, exactly."""
+    return exact_low_rank.low_rank_coefficients(projected(spark, sf_dir), "vec_id").values
+
+
 @query()
 def coefficient_info(spark, sf_dir):
     """What each method's fit of all rows came to: settings, iterations, convergence, errors, structure."""
@@ -513,6 +526,12 @@ def grid_search_low_rank(spark, sf_dir):
     return grid.regenerate(searched(spark, sf_dir, "low_rank", grid.FINE_LOW_RANK, LOW_RANK_STEPS).results)["best"]
 
 
+@query()
+def grid_search_low_rank_all(spark, sf_dir):
+    """The low-rank method at all points of its fine ranges over all rows: scores and diagnostics of every point."""
+    return grid.low_rank_results(truncate(projected(spark, sf_dir)), embedded(spark, sf_dir), "vec_id", "label", grid.points_of(grid.FINE_LOW_RANK), 10)
+
+
 GRID_SQL = """g AS (SELECT l_discount AS "lambda", l_tax AS gamma, avg(l_quantity) AS ARI, max(l_extendedprice) AS NMI, sum(l_linenumber) % 3 > 0 AS Converged FROM lineitem GROUP BY ALL)"""
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.session import truncate
-from ..operators import affinity, anova, column_generation, decomposition, external, internal, joins, preparation, self_expression, spectral, validation, views
+from ..operators import affinity, anova, column_generation, decomposition, exact_low_rank, external, internal, joins, preparation, self_expression, spectral, validation, views
 from .ledger import Ledger, content_digest, write_run
 
 
@@ -27,8 +27,8 @@ class Settings:
     weighting: str = "sqrt"
     variance: float = 0.90
     components: int | None = None
-    #: One method, or ``both``, or ``both_all``; ``sparse_all`` has no landmarks: its dictionary, graph and clusters are of all
-    #: rows. Tables from the coefficients on have a column ``method``.
+    #: One method, or ``both``, or ``both_all``; ``sparse_all`` and ``low_rank_all`` have no landmarks: dictionary, graph and
+    #: clusters are of all rows. Tables from the coefficients on have a column ``method``.
     method: str = "sparse"
     #: Numbers of clusters: one fit, and labels for each; tables from the labels on have a column ``k``.
     clusters: int | tuple[int, ...] = 4
@@ -66,8 +66,8 @@ class Run:
 
 KEYS = ["method", "k"]
 #: Coefficients by method; those in ALL_ROWS need no landmarks.
-METHODS = self_expression.METHODS | {"sparse_all": column_generation.sparse_coefficients}
-ALL_ROWS = {"sparse_all"}
+METHODS = self_expression.METHODS | {"sparse_all": column_generation.sparse_coefficients, "low_rank_all": exact_low_rank.low_rank_coefficients}
+ALL_ROWS = {"sparse_all", "low_rank_all"}
 
 
 def start(settings: Settings, features: DataFrame, truth: DataFrame | None = None) -> Run:
