@@ -13,6 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import wide_components
+
+#: Features up to which the whole Gram matrix is gathered, and components found beyond it.
+WIDE = 2048
+MOST = 512
+
 
 def vectors(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """(id, features): the columns as one array of doubles."""
@@ -77,7 +83,8 @@ def centred_gram(df: DataFrame, features: str = "features") -> DataFrame:
 
 @dataclass(frozen=True)
 class Components:
-    """Mean (d), loadings (d x k, the largest loading of each positive), variance ratios of all d, and k."""
+    """Mean (d), loadings (d x k, the largest loading of each positive), variance ratios of all d (of the k where there are more
+    than WIDE features), and k."""
 
     mean: np.ndarray
     loadings: np.ndarray
@@ -86,11 +93,14 @@ class Components:
 
 
 def fit_components(df: DataFrame, features: str = "features", threshold: float = 0.90, k: int | None = None) -> Components:
-    """The fewest components whose cumulative variance ratio exceeds ``threshold``, or ``k`` of them."""
+    """The fewest components whose cumulative variance ratio exceeds ``threshold``, or ``k`` of them. Of more than WIDE features
+    at most MOST components are found, the leading ones by themselves."""
     n, mean = means(df, features)
     if not n:
         raise ValueError("no rows to decompose")
     d = len(mean)
+    if d > WIDE:
+        return _fit_wide(df.select(F.col(features).cast("array<double>").alias("v")), n, mean, threshold, k)
     rows = moments(df, mean, features).toArrow()  # d * (d + 3) / 2 numbers
     sums = np.zeros(rows.num_rows)
     sums[rows.column("at").to_numpy()] = rows.column("s").to_numpy()
@@ -105,12 +115,48 @@ def fit_components(df: DataFrame, features: str = "features", threshold: float =
     return Components(mean, basis[:, :keep], ratios, keep)
 
 
+def _fit_wide(data: DataFrame, n: int, mean: np.ndarray, threshold: float, k: int | None) -> Components:
+    if k is not None and min(k, n) > MOST:
+        raise ValueError(f"{k} components of {len(mean)} features; {MOST} at most")
+    want = 16 if k is None else min(k, n)
+    while True:
+        values, basis, total = wide_components.leading(data, n, mean, want)
+        ratios = values / (total or 1.0)
+        enough = int(np.searchsorted(np.cumsum(ratios), threshold, "right")) + 1
+        if k is not None or enough <= len(values) or len(values) < want:
+            break
+        if want == MOST:
+            raise ValueError(f"{MOST} components explain {ratios.sum():.4f} of the variance, not {threshold}")
+        want = min(2 * want, MOST)
+    keep = len(values) if k is not None else min(enough, len(values))
+    basis = basis * np.sign(basis[np.abs(basis).argmax(axis=0), np.arange(basis.shape[1])])
+    return Components(mean, basis[:, :keep], ratios, keep)
+
+
+def _wide_scores(df: DataFrame, c: Components, features: str) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast((c.mean, c.loadings))  # at most MOST numbers a feature
+    kept = [x for x in df.columns if x != features]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, loadings = shared.value
+        for batch in batches:
+            for at, x in wide_components.slices(batch, len(mean), batch.num_columns - 1):
+                made = (x - mean) @ loadings
+                same = batch.slice(at, len(x))
+                yield pa.RecordBatch.from_arrays([*same.columns[:-1], *(pa.array(np.ascontiguousarray(v)) for v in made.T)], [*same.schema.names[:-1], *(f"PC{i + 1}" for i in range(c.k))])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields]
+    return df.select(*kept, F.col(features).cast("array<double>").alias("__v")).mapInArrow(run, ", ".join([*kinds, *(f"PC{i + 1} double" for i in range(c.k))]))
+
+
 def _dot(features: Column, weights: np.ndarray, shift: float) -> Column:
     return F.aggregate(F.zip_with(features, F.lit([float(w) for w in weights]), lambda a, b: a * b), F.lit(-float(shift)), lambda s, x: s + x)
 
 
 def scores(df: DataFrame, c: Components, features: str = "features") -> DataFrame:
     """The rows with PC1 to PCk in place of the features."""
+    if len(c.mean) > WIDE:
+        return _wide_scores(df, c, features)
     pcs = [_dot(F.col(features), c.loadings[:, k], float(c.mean @ c.loadings[:, k])).alias(f"PC{k + 1}") for k in range(c.k)]
     return df.select(*[x for x in df.columns if x != features], *pcs)
 
@@ -146,6 +192,6 @@ def artifacts(df: DataFrame, c: Components, id_col: str, names: list[str], thres
 
 def variance_sweep(df: DataFrame, thresholds: tuple[float, ...] = (0.90, 0.95, 0.97, 0.99), features: str = "features") -> DataFrame:
     """(threshold, components): one decomposition, every threshold."""
-    c = fit_components(df, features, k=1 << 30)
+    c = fit_components(df, features, max(thresholds))
     total = np.cumsum(c.ratios)
     return df.sparkSession.createDataFrame([(t, min(len(total), int(np.searchsorted(total, t, "right")) + 1)) for t in thresholds], "threshold double, components int")

@@ -399,6 +399,20 @@ def low_rank_coefficients(spark, sf_dir):
     return self_expression.low_rank_coefficients(projected(spark, sf_dir), "vec_id").values
 
 
+def word_counts(spark: SparkSession, sf_dir: str, width: int = 4096) -> DataFrame:
+    """(doc_id, features): how often the words of each document fall into each of ``width`` places of a hash."""
+    words = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")).alias("w"))
+    counts = words.groupBy("doc_id", F.pmod(F.xxhash64("w"), F.lit(width)).cast("int").alias("at")).agg(F.count("*").alias("n"))
+    found = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"))
+    return found.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)).cast("double")).alias("features"))
+
+
+@query()
+def wide_variance(spark, sf_dir):
+    """Leading components of word counts of 4,096 places, without a matrix of places by places."""
+    return decomposition.variance_table(spark, decomposition.fit_components(truncate(word_counts(spark, sf_dir)), k=8))
+
+
 @query()
 def low_rank_factors(spark, sf_dir):
     """Robust low-rank coefficients of every row over all other rows, as factors."""
