@@ -43,7 +43,7 @@ def with_place(df: DataFrame, groups: list[str], order: str, name: str) -> DataF
     before = part.groupBy(*groups, "__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(by), F.lit(0))).drop("__n")
     own = part.withColumn("__at", F.row_number().over(Window.partitionBy(*groups, "__part").orderBy(order)))
     same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*groups, "__part")])
-    return own.alias("a").join(F.broadcast(before).alias("b"), same).select(*[f"a.{c}" for c in df.columns], (F.col("a.__at") + F.col("b.__before") - 1).alias(name))
+    return own.alias("a").join(before.alias("b"), same).select(*[f"a.{c}" for c in df.columns], (F.col("a.__at") + F.col("b.__before") - 1).alias(name))
 
 
 def with_row_id(df: DataFrame, order: str, name: str = "row_id") -> DataFrame:

@@ -75,6 +75,10 @@ def scale_statistics(df: DataFrame, method: str, id_col: str | None = None) -> D
     """(feature, location, spread) of each numeric column."""
     stats, _ = _scale(method)
     columns = numeric_columns(df, (id_col,) if id_col else ())
+    if method == "robust" and columns:
+        three = quantiles(nan_to_null(df), {f"{c}__{k}": (c, share) for c in columns for k, share in (("a", 0.5), ("low", 0.25), ("high", 0.75))})
+        of = lambda c, k: F.col(f"`{c}__{k}`").cast("double")
+        return three.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), of(c, "a").alias("location"), (of(c, "high") - of(c, "low")).alias("spread")) for c in columns])))
     rows = [F.struct(F.lit(c).alias("feature"), stats["a"](c).cast("double").alias("location"), stats["b"](c).cast("double").alias("spread")).alias(c) for c in columns]
     return nan_to_null(df).agg(*rows).select(F.inline(F.array(*[F.col(f"`{c}`") for c in columns])))
 

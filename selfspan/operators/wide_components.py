@@ -32,6 +32,23 @@ def slices(batch: pa.RecordBatch, width: int, column: int = 0) -> Iterator[tuple
         yield at, part.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, width)
 
 
+def spread(entries: DataFrame, id_col: str, width: int) -> DataFrame:
+    """(id, features) of ``width`` doubles from (id, at, value); places without an entry are 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, SLICE // width)
+        for batch in batches:
+            for first in range(0, batch.num_rows, step):
+                part = batch.slice(first, step)
+                made, places = np.zeros((part.num_rows, width)), part.column(1)
+                made[np.repeat(np.arange(part.num_rows), places.value_lengths().to_numpy()), places.flatten().to_numpy()] = part.column(2).flatten().to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(made), pa.list_(pa.float64()))], [id_col, "features"])
+
+    lists = entries.groupBy(id_col).agg(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), F.col("value").cast("double").alias("value"))).alias("e"))
+    kind = entries.schema[id_col].dataType.simpleString()
+    return lists.select(id_col, "e.at", "e.value").mapInArrow(run, f"{id_col} {kind}, features array<double>")
+
+
 def _images(batches: Iterator[pa.RecordBatch], mean: np.ndarray, block: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A task's sums in pieces of features: of centred rows times their products with the block, and of the rows themselves."""
     total = np.zeros((len(mean), block.shape[1] + 1))

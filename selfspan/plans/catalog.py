@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions.session import truncate
-from ..operators import affinity, anova, closed_form, column_generation, decomposition, exact_low_rank, external, grid, internal, joins, lasso, preparation, self_expression, spectral, validation, views
+from ..operators import affinity, anova, closed_form, column_generation, decomposition, exact_low_rank, external, grid, internal, joins, lasso, preparation, self_expression, spectral, validation, views, wide_components
 from ..operators import stability as shaking
 from . import stages
 
@@ -402,9 +402,8 @@ def low_rank_coefficients(spark, sf_dir):
 def word_counts(spark: SparkSession, sf_dir: str, width: int = 4096) -> DataFrame:
     """(doc_id, features): how often the words of each document fall into each of ``width`` places of a hash."""
     words = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")).alias("w"))
-    counts = words.groupBy("doc_id", F.pmod(F.xxhash64("w"), F.lit(width)).cast("int").alias("at")).agg(F.count("*").alias("n"))
-    found = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"))
-    return found.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)).cast("double")).alias("features"))
+    counts = words.groupBy("doc_id", F.pmod(F.xxhash64("w"), F.lit(width)).alias("at")).agg(F.count("*").alias("value"))
+    return wide_components.spread(counts, "doc_id", width)
 
 
 @query()

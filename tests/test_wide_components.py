@@ -53,3 +53,8 @@ def test_few_rows_equal_rows_and_limits(spark, monkeypatch):
         decomposition.fit_components(table(spark, rows(60, 50)), k=9)
     with pytest.raises(ValueError, match="no rows"):
         decomposition.fit_components(table(spark, x).limit(0), k=2)
+
+
+def test_entries_are_spread_over_places(spark):
+    entries = spark.createDataFrame([(1, 0, 2), (1, 3, 5), (2, 1, 7)], "id long, at long, value long")
+    assert {r.id: r.features for r in wide_components.spread(entries, "id", 4).collect()} == {1: [2, 0, 0, 5], 2: [0, 7, 0, 0]}
