@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, connected_components, map_groups, materialise, mix, shingle_set, word_hashes
+from .common import as_long, connected_components, map_groups, materialise, mix, packed, shingle_set, word_hashes
 
 COORDINATES = 64
 #: Chance, at most, that a pair just at the similarity asked for agrees in too few coordinates to be a candidate.
@@ -33,6 +33,8 @@ MISS = 1e-6
 #: Postings compared, and documents confirmed, in one task at most; beyond it, block by block.
 LIST_BLOCK = 2048
 GROUP_BLOCK = 1024
+#: Shingles of the documents of one such block, about: a task holds those of two, at some 50 bytes each.
+GROUP_SHINGLES = 1 << 21
 #: Large stars' roots that are broadcast at most, 12 bytes each.
 BROADCAST_ROOTS = 1 << 20
 #: Rows for which signatures are hashed at once.
@@ -161,7 +163,8 @@ def confirmed_stars(candidates: DataFrame, texts: DataFrame, words: int, part: i
     """The candidate edges (a, b) that hold on the full sets. A star is dealt out in blocks of up to GROUP_BLOCK members, each
     with the root's text: a text is shipped once an edge at most. Roots of more than one block are few, and broadcast up to
     BROADCAST_ROOTS, so that no task takes all edges of one."""
-    big = materialise(candidates.groupBy("a").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("many")).where("many > 1"), "large-stars")
+    stars = candidates.groupBy("a").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("many")).where("many > 1")
+    big = materialise(packed(stars, candidates.count()), "large-stars")
     sized = candidates.join(F.broadcast(big) if big.count() <= BROADCAST_ROOTS else big.hint("merge"), "a", "left").withColumn("blocks", F.coalesce("many", F.lit(1)))
     members = sized.select(F.col("a").alias("root"), F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"), F.col("b").alias("rep"), F.lit(1).alias("place"))
     roots = members.select("root", "block").distinct().select("root", "block", F.col("root").alias("rep"), F.lit(0).alias("place"))
@@ -179,6 +182,14 @@ def in_blocks(rows: DataFrame, group: list[str], size: str, block: int, of: str)
     return rows.withColumn("pair", F.explode(pairs)).drop(size)
 
 
+def with_room(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """``groups`` (node, candidates, ..) with ``members``: the rows of the group, or more where its sets (node, n_shingles) are so
+    large that blocks of GROUP_BLOCK rows would hold more than GROUP_SHINGLES shingles."""
+    held = groups.select("node", "candidates").join(sets.hint("merge"), "node").groupBy("candidates")
+    room = F.ceil(F.sum("n_shingles") * GROUP_BLOCK / GROUP_SHINGLES)
+    return groups.join(held.agg(F.greatest(F.count("*"), room).alias("members")), "candidates")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, part: int = 80, whole: int = 100, matches: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, copy_of (the smallest id with an equal set).
 
@@ -211,17 +222,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, part: int = 80, whole: int
     code = reps.select("rep", F.expr("unhex(array_join(transform(sign, x -> lpad(hex(x & 255), 2, '0')), ''))").alias("code"))
     lists = in_blocks(rare.join(code, "rep"), ["token"], "df", LIST_BLOCK, "rep")
     candidates = materialise(map_groups(lists, ["token", "pair"], lambda t, s: _collide(t, s, matches), "a long, b long").distinct(), "candidates")
-    sure = materialise(confirmed_stars(candidates, texts, words, part, whole).distinct(), "star-links")
+    tried = candidates.count()
+    sure = materialise(packed(confirmed_stars(candidates, texts, words, part, whole).distinct(), tried), "star-links")
     near = connected_components(candidates).withColumnRenamed("component", "candidates")
-    joined = materialise(near.join(connected_components(sure, "star-groups"), "node", "left").select("node", "candidates", F.coalesce("component", "node").alias("own")), "candidate-groups")
+    own = near.join(connected_components(sure, "star-groups"), "node", "left").select("node", "candidates", F.coalesce("component", "node").alias("own"))
+    joined = materialise(packed(own, 2 * tried), "candidate-groups")
 
     # of two, the only edge has been tried
     open_groups = joined.groupBy("candidates").agg(F.count("*").alias("members"), F.min("own").alias("least"), F.max("own").alias("most")).where("least < most AND members > 2")
-    sized = joined.join(open_groups.select("candidates", "members"), "candidates")
+    sized = with_room(joined.join(open_groups.select("candidates"), "candidates"), reps.select(F.col("rep").alias("node"), "n_shingles"))
     # neither side has a bounded size: the plan is the same for a small table as for a large one
     members = texts.join(sized.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").select(F.col("candidates").alias("component"), "members", F.col("doc_id").alias("rep"), "text")
     blocks = in_blocks(members, ["component"], "members", GROUP_BLOCK, "rep")
-    links = materialise(map_groups(blocks, ["component", "pair"], lambda t, s: _settle(t, s, words, part, whole), "a long, b long").distinct(), "links")
+    links = materialise(packed(map_groups(blocks, ["component", "pair"], lambda t, s: _settle(t, s, words, part, whole), "a long, b long").distinct(), tried), "links")
     side = lambda n: joined.select(F.col("node").alias(n), F.col("own").alias(f"own_{n}"))
     between = links.join(side("a"), "a").join(side("b"), "b").select(F.col("own_a").alias("a"), F.col("own_b").alias("b"))
     merged = connected_components(between, "links")

@@ -6,13 +6,15 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from selfspan.llm import backoff_lm, decontam, epsilon_grid, minhash_join, mixing, slot_sharding, suffix_dedup, toxicity, url_cascade
-from selfspan.llm.common import connected_components
+from selfspan.llm.common import LEAST_FILES, connected_components, shared_folder
 
 random.seed(5)
 WORDS = [a + b for a in "bcdfgh" for b in ("an", "or", "el", "it")]
@@ -39,6 +41,10 @@ def words_of(text):
     return [w for w in re.split(r"[ \t-\r]+", "".join(c.lower() if c.isascii() else c for c in text or "")) if w]
 
 
+def shared_files(spark):
+    return Path(shared_folder(spark).removeprefix("file:")).rglob("*.parquet")
+
+
 def unions(n_ids, links):
     root = {i: i for i in n_ids}
 
@@ -123,6 +129,39 @@ def test_blocks_of_large_groups_change_nothing(docs, monkeypatch):
     assert sorted(map(tuple, minhash_join.near_duplicates(docs, words=3, part=85).collect()), key=str) == want
 
 
+def test_blocks_of_long_texts_hold_few_shingles(spark, monkeypatch):
+    """40 documents of 300 to 495 shingles, in blocks of 2000 shingles: no task gets all of them."""
+    monkeypatch.setattr(minhash_join, "GROUP_SHINGLES", 2000)
+    sizes = {i: 300 + 5 * i for i in range(40)} | {100: 7, 101: 8, 102: 9}
+    groups = spark.createDataFrame([(i, i // 100) for i in sizes], "node long, candidates long")
+    sets = spark.createDataFrame(list(sizes.items()), "node long, n_shingles long")
+    blocks = minhash_join.in_blocks(minhash_join.with_room(groups, sets), ["candidates"], "members", minhash_join.GROUP_BLOCK, "node").collect()
+    held = {}
+    for r in blocks:
+        held.setdefault((r.candidates, r.pair), []).append(r.node)
+    assert sorted(held[1, 0]) == [100, 101, 102]
+    assert max(sum(sizes[i] for i in ids) for ids in held.values()) < sum(sizes.values()) / 2
+    together = {pair for ids in held.values() for pair in itertools.combinations(sorted(ids), 2)}
+    assert set(itertools.combinations(range(40), 2)) <= together  # every pair meets
+
+
+def test_a_small_graph_is_written_in_few_files(spark):
+    """Whatever the number of shuffle partitions: a step of the search writes no more files than its edges need."""
+    before = set(shared_files(spark))
+    settings = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = connected_components(spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long"), "few-files").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {r.component for r in got} == {0} and len(got) == 301
+    folders = Counter(f.parent.name for f in set(shared_files(spark)) - before if f.parent.name.startswith("few-files"))
+    assert len(folders) > 4 and sorted(folders.values())[-2] <= LEAST_FILES  # but for the first, whose edges are not counted yet
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 200), (300, 200), (7, 7)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
