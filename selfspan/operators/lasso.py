@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .column_generation import ERROR, _loose, settle
+from .column_generation import ERROR, Held, settle, states
 from .self_expression import Solver
 
 #: Places of a row's pool beyond one a feature, which is as many atoms as a solution needs.
 SPARE = 8
 #: Atoms of a block that join a pool at once.
 AT_ONCE = 6
+#: Atoms in a block of those that come by.
+BLOCK = 2048
 SLACK = 1e-10
 
 
@@ -63,56 +65,102 @@ def path_end(x: np.ndarray, atoms: np.ndarray, alpha: float) -> np.ndarray:
     return w
 
 
-class Pools:
+def path_ends(x: np.ndarray, atoms: np.ndarray, used: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """``path_end`` of many rows: x (rows, features), atoms (rows, places, features), which of the places are used, and weights. The
+    corners of all rows are passed side by side."""
+    n, m, d = atoms.shape
+    products, left = atoms @ np.swapaxes(atoms, 1, 2) / d, (atoms @ x[:, :, None])[:, :, 0] / d
+    w, active, last = np.zeros((n, m)), np.zeros((n, m), bool), np.full(n, -1)
+    weight = np.where(used, np.abs(left), 0).max(axis=1, initial=0)
+    live = np.flatnonzero(weight > alpha)
+    active[live, np.where(used, np.abs(left), -1)[live].argmax(axis=1)] = True
+    for _ in range(50 * (m + 1)):
+        if not len(live):
+            break
+        on, part, at = active[live], products[live], np.arange(len(live))
+        system = np.where(on[:, :, None] & on[:, None, :], part, np.eye(m))
+        try:
+            way = np.linalg.solve(system, np.where(on, np.sign(left[live]), 0)[:, :, None])[:, :, 0]
+        except np.linalg.LinAlgError:  # equal atoms in some row
+            for r in live:
+                w[r] = 0
+                w[r, used[r]] = path_end(x[r], atoms[r, used[r]], float(alpha[r]))
+            break
+        fall = (part @ way[:, :, None])[:, :, 0]
+        now, rest, stays = weight[live][:, None], used[live] & ~on, np.arange(m) == last[live][:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            meets = np.minimum(*(np.where(rest & ~stays & (v > 1e-14 * now), v, np.inf) for v in ((now - left[live]) / (1 - fall), (now + left[live]) / (1 + fall))))
+            ends = -w[live] / way
+        ends = np.where(on & ~stays & (ends > 1e-14 * now), ends, np.inf)
+        meet, end = meets.min(axis=1), ends.min(axis=1)
+        step = np.minimum(np.minimum(meet, end), weight[live] - alpha[live])
+        w[live] += step[:, None] * np.where(on, way, 0)
+        left[live] -= step[:, None] * fall
+        weight[live] -= step
+        goes = end <= meet
+        place = np.where(goes, ends.argmin(axis=1), meets.argmin(axis=1))
+        there = weight[live] <= alpha[live] * (1 + 1e-15)
+        moved = ~there
+        off = live[moved & goes]
+        w[off, place[moved & goes]] = 0
+        active[live[moved], place[moved]] = ~goes[moved]
+        last[live[moved]] = place[moved]
+        live = live[moved & active[live].any(axis=1)]
+    return w
+
+
+class Pools(Held):
     """Each row's pool: ids of its atoms, their coefficients (``signs``) and vectors, ERROR where a place is free."""
 
-    def __init__(self, x: np.ndarray, ids: np.ndarray, atoms: np.ndarray, weights: np.ndarray, vectors: np.ndarray, s: Solver):
-        n, d = x.shape
-        self.x, self.ids, self.atoms, self.signs, self.columns, self.s = x, ids, atoms, weights, vectors.reshape(n, atoms.shape[1], d), s
-        self.entered = np.zeros(n, int)
+    AT_ONCE = BLOCK
+    FREE = 0.0
 
     @classmethod
-    def begin(cls, x: np.ndarray, ids: np.ndarray, s: Solver) -> Pools:
+    def begin(cls, x: np.ndarray, ids: np.ndarray, point: np.ndarray, solvers: list[Solver]):
         n, d = x.shape
-        return cls(x, ids, np.full((n, d + SPARE), ERROR), np.zeros((n, d + SPARE)), np.zeros((n, d + SPARE, d)), s)
+        return cls(x, ids, point, np.full((n, d + SPARE), ERROR), np.zeros((n, d + SPARE)), np.zeros((n, d + SPARE, d)), solvers)
 
-    def take(self, ids: np.ndarray, block: np.ndarray) -> None:
-        alpha, d, rows = self.s.lam, self.x.shape[1], np.arange(len(self.x))
+    def _take(self, rows: np.ndarray, own: np.ndarray, ids: np.ndarray, block: np.ndarray) -> None:
+        d = self.x.shape[1]
         for _ in range(20 * d):
-            left = self.x[rows] - np.einsum("rk,rkf->rf", self.signs[rows], self.columns[rows])
-            beyond = np.abs(left @ block.T) / d - alpha * (1 + SLACK)
-            beyond[ids[None, :] == self.ids[rows][:, None]] = -np.inf
-            best = np.argpartition(-beyond, min(AT_ONCE, len(ids)) - 1, axis=1)[:, :AT_ONCE]
-            over = np.take_along_axis(beyond, best, axis=1) > 0
-            moving = over.any(axis=1)
-            rows, best, over = rows[moving], best[moving], over[moving]
+            left = self.x[rows] - (self.signs[rows][:, None, :] @ self.vectors[rows])[:, 0]
+            size = np.abs(left @ block.T)
+            size[np.flatnonzero(own >= 0), own[own >= 0]] = -np.inf
+            bound = self.lam[rows] * d * (1 + SLACK)
+            moving = size.max(axis=1) > bound
+            rows, own, size, bound = rows[moving], own[moving], size[moving], bound[moving]
+            if not len(rows):
+                return
+            best = np.argpartition(-size, min(AT_ONCE, len(ids)) - 1, axis=1)[:, :AT_ONCE]
+            # of atoms that are in the pool, rounding alone is beyond the weight
+            fresh = (np.take_along_axis(size, best, axis=1) > bound[:, None]) & ~(ids[best][:, :, None] == self.atoms[rows][:, None, :]).any(axis=2)
+            new = fresh.any(axis=1)
+            rows, own, best, fresh = rows[new], own[new], best[new], fresh[new]
             if not len(rows):
                 return
-            rows = rows[[self._solve(r, ids[b[o]], block[b[o]]) for r, b, o in zip(rows, best, over, strict=True)]]
+            self._solve(rows, np.where(fresh, ids[best], ERROR), np.where(fresh[:, :, None], block[best], 0))
             self.entered[rows] += 1
 
-    def _solve(self, r: int, new: np.ndarray, vectors: np.ndarray) -> bool:
-        """Whether any of the atoms was new to the pool; of those that were not, rounding alone is beyond the weight."""
-        used = self.atoms[r] != ERROR
-        fresh = ~np.isin(new, self.atoms[r])
-        if not fresh.any():
-            return False
-        atoms, vectors = np.append(self.atoms[r][used], new[fresh]), np.vstack((self.columns[r][used], vectors[fresh]))
-        w = path_end(self.x[r], vectors, self.s.lam)
-        kept = np.flatnonzero(w)
-        if len(kept) > self.atoms.shape[1]:
+    def _solve(self, rows: np.ndarray, atoms: np.ndarray, vectors: np.ndarray) -> None:
+        places = self.atoms.shape[1]
+        atoms, vectors = np.hstack((self.atoms[rows], atoms)), np.concatenate((self.vectors[rows], vectors), axis=1)
+        full = int((atoms != ERROR).sum(axis=1).max())  # places in use go first
+        order = np.argsort(atoms == ERROR, axis=1, kind="stable")[:, :full]
+        atoms, vectors = np.take_along_axis(atoms, order, axis=1), np.take_along_axis(vectors, order[:, :, None], axis=1)
+        w = path_ends(self.x[rows], vectors, atoms != ERROR, self.lam[rows])
+        if (w != 0).sum(axis=1).max() > places:
             raise ArithmeticError("more atoms than equations in a lasso")
-        self.atoms[r], self.signs[r], self.columns[r] = ERROR, 0, 0
-        self.atoms[r, : len(kept)], self.signs[r, : len(kept)], self.columns[r, : len(kept)] = atoms[kept], w[kept], vectors[kept]
-        return True
+        order = np.argsort(w == 0, axis=1, kind="stable")[:, :places]
+        w, atoms, vectors = np.take_along_axis(w, order, axis=1), np.take_along_axis(atoms, order, axis=1), np.take_along_axis(vectors, order[:, :, None], axis=1)
+        m, none = w.shape[1], w == 0
+        self.atoms[rows], self.signs[rows], self.vectors[rows] = ERROR, 0, 0
+        self.atoms[rows, :m], self.signs[rows, :m], self.vectors[rows, :m] = np.where(none, ERROR, atoms), w, np.where(none[:, :, None], 0, vectors)
 
 
-def _values(batches: Iterator[pa.RecordBatch], s: Solver) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            p = _loose(row, s, Pools)
-            r, k = np.nonzero(p.atoms != ERROR)
-            yield pa.RecordBatch.from_arrays([pa.array(p.atoms[r, k]), pa.array(p.ids[r]), pa.array(p.signs[r, k])], ["i", "j", "value"])
+def _values(batches: Iterator[pa.RecordBatch], solvers: list[Solver]) -> Iterator[pa.RecordBatch]:
+    for p, _, _ in states(batches, solvers, Pools):
+        r, k = np.nonzero(p.atoms != ERROR)
+        yield pa.RecordBatch.from_arrays([pa.array(p.atoms[r, k]), pa.array(p.ids[r]), pa.array(p.signs[r, k])], ["i", "j", "value"])
 
 
 def lasso_coefficients(rows: DataFrame, id_col: str, features: str = "features", alpha: float = 0.001) -> DataFrame:
@@ -120,8 +168,8 @@ def lasso_coefficients(rows: DataFrame, id_col: str, features: str = "features",
     |x - D w|^2 / (2 features) + alpha |w|_1. One row an id; a zero row has none. Rows that fail to settle are an error."""
     if alpha <= 0:
         raise ValueError("the weight must be above 0")
-    s = Solver(alpha, 1.0)
-    settled, _ = settle(rows, id_col, features, [s], Pools)
-    if not settled.where("entered > 0").isEmpty():
+    solvers = [Solver(alpha, 1.0)]
+    settled, _ = settle(rows, id_col, features, solvers, Pools)
+    if not settled.where("NOT settled").isEmpty():
         raise ArithmeticError("the atoms in use did not settle")
-    return settled.mapInArrow(lambda b: _values(b, s), "i long, j long, value double").where(F.col("value") != 0)
+    return settled.mapInArrow(lambda b: _values(b, solvers), "i long, j long, value double").where(F.col("value") != 0)
