@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from selfspan.operators import column_generation, lasso, streams
+from selfspan.operators import column_generation, grid, lasso, spectral, streams
 from selfspan.operators.self_expression import SPARSE, unit_rows
 
 
@@ -42,3 +42,39 @@ def test_any_id_is_an_atom(spark, ids):
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, features array<double>")
     near = {(r.i, r.j) for r in column_generation.sparse_coefficients(rows, "id").values.collect() if abs(r.value) > 0.5}
     assert near == {(ids[a], ids[b]) for a, b in ((0, 1), (1, 0), (2, 3), (3, 2))}
+
+
+def test_points_of_one_solution_are_searched_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(size=(40, 2)) @ rng.normal(size=(2, 4)) for _ in range(3)])
+    truth = spark.createDataFrame([(i, i // 40) for i in range(120)], "id long, label int")
+    # without errors at any weights that small, then two of one ratio, then none of the coefficients left
+    points = [(0.001, 1.0), (0.002, 0.5), (0.3, 0.3), (0.6, 0.6), (5.0, 0.1)]
+    fitted = []
+    monkeypatch.setattr(grid, "search", lambda *a, f=grid.search, **b: fitted.append(a[4]) or f(*a, **b))
+    got = {(r["lambda"], r.gamma): r for r in grid.sparse_results(as_rows(spark, x), truth, "id", "label", points, 3).collect()}
+    assert len(fitted[0]) == 3 and set(got) == set(points)
+    for r in grid.search(as_rows(spark, x), truth, "id", "label", points, "sparse_all", 3).results.collect():
+        one = got[r["lambda"], r.gamma]
+        assert (one.ARI, one.Error, one.active, one.Converged) == (r.ARI, r.Error, r.active, r.Converged) and (r.l1 is None or abs(one.l1 - r.l1) < 1e-9)
+
+
+def test_a_large_graph_is_clustered_by_its_entries(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    label = np.arange(120) // 40
+    x = np.vstack([rng.normal(size=(40, 2)) @ rng.normal(size=(2, 6)) for _ in range(3)])
+    truth = spark.createDataFrame([(i, int(c)) for i, c in enumerate(label)], "id long, label int")
+    scores = []
+    for module, name, value in ((spectral, "DENSE", 1024), (spectral, "DENSE", 50), (grid, "GRAPH", 50)):
+        monkeypatch.setattr(module, name, value)
+        scores.append(grid.search(as_rows(spark, x), truth, "id", "label", [(0.02, 0.4)], "sparse_all", 3).results.first().ARI)
+    assert min(scores) > 0.9
+
+
+def test_rows_that_are_no_ones_atom_are_nodes(spark):
+    # rows 0 to 3 in two pairs; row 4 is expressed by the others and expresses none
+    x = np.array([[1.0, 0.0, 0.0], [1.0, 0.02, 0.0], [0.0, 1.0, 0.0], [0.02, 1.0, 0.0], [0.7, 0.05, 0.7]])
+    truth = spark.createDataFrame([(i, i // 2) for i in range(5)], "id long, label int")
+    for method in ("sparse", "sparse_all"):
+        found = grid.search(as_rows(spark, x), truth, "id", "label", [(0.01, 0.4)], method, 2)
+        assert {r.id for r in found.labels.collect()} == set(range(5)) and found.results.first().Error is None
