@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from selfspan.operators import column_generation, grid, lasso, spectral, streams
+from selfspan.operators import column_generation, eigenvectors, grid, internal, lasso, spectral, streams
 from selfspan.operators.self_expression import SPARSE, unit_rows
 
 
@@ -78,3 +78,45 @@ def test_rows_that_are_no_ones_atom_are_nodes(spark):
     for method in ("sparse", "sparse_all"):
         found = grid.search(as_rows(spark, x), truth, "id", "label", [(0.01, 0.4)], method, 2)
         assert {r.id for r in found.labels.collect()} == set(range(5)) and found.results.first().Error is None
+
+
+def test_eigenvectors_of_few_nodes_are_those_of_many(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    a = rng.random((90, 90)) * (rng.random((90, 90)) < 0.2)
+    a[80:, :], a[:, 80:] = 0, 0  # ten nodes without entries
+    a = (a + a.T) / 20
+    i, j = np.nonzero(a)
+    entries = spark.createDataFrame([(int(7 * r), int(7 * c), float(a[r, c])) for r, c in zip(i, j, strict=True)], "i long, j long, m double")
+    nodes = spark.range(90).selectExpr("id * 7 AS node")
+    want = np.sort(np.linalg.eigvalsh(a))[::-1][:3]
+    parts = {}
+    for within in (0, 1 << 16):
+        monkeypatch.setattr(eigenvectors, "WITHIN", within)
+        values, residuals, table = eigenvectors.leading(entries, nodes, 3, 1e-9)
+        rows = {r.node: np.array(r.vector) for r in table.collect()}
+        assert np.abs(values - want).max() < 1e-9 and residuals.max() <= 1e-9 and set(rows) == {7 * k for k in range(90)} and np.abs([rows[7 * k] for k in range(80, 90)]).max() < 1e-6
+        x = np.array([rows[7 * k] for k in range(90)])
+        parts[within] = x @ x.T
+    assert np.abs(parts[0] - parts[1 << 16]).max() < 1e-6
+
+
+def test_silhouettes_leave_tasks_as_a_number_a_block(spark, monkeypatch):
+    for name, value in (("BLOCK", 64), ("STRIP", 24)):
+        monkeypatch.setattr(internal, name, value)
+    monkeypatch.setattr(streams, "FILE", 70)
+    rng = np.random.default_rng(7)
+    x, label = rng.normal(size=(200, 4)) + 1e6, rng.integers(0, 4, 200) * 2**40
+    label[17] = -5  # a cluster of one
+    rows = spark.createDataFrame([(i, k, int(label[i] if k == 2 else i % 3), v.tolist()) for i, v in enumerate(x) for k in (2, 3)], "id long, k int, c long, features array<double>")
+    stream = {}
+    monkeypatch.setattr(streams, "against_all", lambda own, others, f=streams.against_all: stream.setdefault("pairs", f(own, others)))
+    got = {r.k: r for r in internal.silhouette(rows, "id", "c", query="id % 3 <> 1", keys=["k"]).collect()}
+    assert "Exchange" not in stream["pairs"]._jdf.queryExecution().executedPlan().toString()
+    assert stream["pairs"].mapInArrow(internal._scored, "labelling int, s double, rows long").count() <= 2 * (-(-134 // 64) + 8)
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    for k, own in ((2, label), (3, np.arange(200) % 3)):
+        mean = np.array([[d[i][own == c].sum() / max((own == c).sum() - (own[i] == c), 1) for c in np.unique(own)] for i in range(200)])
+        at = np.searchsorted(np.unique(own), own)
+        a, b = mean[np.arange(200), at], np.where(np.arange(mean.shape[1]) == at[:, None], np.inf, mean).min(axis=1)
+        s = np.where(own == -5, 0, (b - a) / np.maximum(a, b))[np.arange(200) % 3 != 1]
+        assert got[k].rows == len(s) and got[k].silhouette == pytest.approx(s.mean(), abs=1e-8)
