@@ -1,9 +1,10 @@
 """Fits over all rows at size: no shuffle of all rows with all rows, and rows that are done leave."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from selfspan.operators import column_generation, eigenvectors, grid, internal, lasso, spectral, streams
+from selfspan.operators import column_generation, eigenvectors, grid, internal, lasso, many_means, spectral, streams
 from selfspan.operators.self_expression import SPARSE, unit_rows
 
 
@@ -120,3 +121,20 @@ def test_silhouettes_leave_tasks_as_a_number_a_block(spark, monkeypatch):
         a, b = mean[np.arange(200), at], np.where(np.arange(mean.shape[1]) == at[:, None], np.inf, mean).min(axis=1)
         s = np.where(own == -5, 0, (b - a) / np.maximum(a, b))[np.arange(200) % 3 != 1]
         assert got[k].rows == len(s) and got[k].silhouette == pytest.approx(s.mean(), abs=1e-8)
+
+
+def test_runs_that_see_the_same_vectors_share_them(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 3))
+    runs = [many_means.Run(k, 42 + t, noise, shake) for k in (2, 4) for noise, shake in ((0.0, 0), (0.1, 7), (0.1, 8)) for t in range(3)]
+    seen = []
+    monkeypatch.setattr(many_means, "shaken", lambda x, ids, run, f=many_means.shaken: seen.append(run) or f(x, ids, run))
+    batch = lambda: iter([pa.RecordBatch.from_arrays([pa.array(np.arange(600)), pa.array(list(x), pa.list_(pa.float64()))], ["id", "v"])])
+    centres = {r: x[: run.k] for r, run in enumerate(runs)}
+    moved = pa.Table.from_batches(list(many_means._move(batch(), runs, centres))).to_pandas()
+    assert len(seen) == 3  # one copy a shake, whatever the number of runs
+    for r, run in enumerate(runs):
+        y = many_means.shaken(x, np.arange(600), run)
+        d = ((y[:, None] - centres[r][None]) ** 2).sum(axis=2)
+        own = moved[moved.run == r].sort_values("at").v.to_numpy()
+        assert own[0] == pytest.approx(d.min(axis=1).sum()) and np.allclose(own[1:].reshape(run.k, -1)[:, 0], np.bincount(d.argmin(axis=1), minlength=run.k))
