@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from selfspan.operators import column_generation, eigenvectors, grid, internal, lasso, many_means, spectral, streams
+from selfspan.operators import column_generation, eigenvectors, exact_low_rank, grid, internal, lasso, many_means, spectral, streams
 from selfspan.operators.self_expression import SPARSE, unit_rows
 
 
@@ -138,3 +138,18 @@ def test_runs_that_see_the_same_vectors_share_them(spark, monkeypatch):
         d = ((y[:, None] - centres[r][None]) ** 2).sum(axis=2)
         own = moved[moved.run == r].sort_values("at").v.to_numpy()
         assert own[0] == pytest.approx(d.min(axis=1).sum()) and np.allclose(own[1:].reshape(run.k, -1)[:, 0], np.bincount(d.argmin(axis=1), minlength=run.k))
+
+
+def test_low_rank_coefficients_are_neither_written_nor_tabled_for_their_sums(spark, monkeypatch):
+    monkeypatch.setattr(exact_low_rank, "HELD", 300 * 40)  # blocks of 40 rows
+    x = np.random.default_rng(0).normal(size=(300, 6)) * np.linspace(2, 1, 6)
+    written = []
+    monkeypatch.setattr(exact_low_rank, "truncate", lambda df, f=exact_low_rank.truncate: written.append(df.columns) or f(df))
+    fit = exact_low_rank.low_rank_coefficients(as_rows(spark, x), "id", points=[(1.0, 1.0), (1.2, 2.0)])
+    assert written == [["id", "v"]] and fit.brief is not None
+    short = {r["lambda"]: r.asDict() for r in fit.summary().collect()}
+    fit.brief = None
+    long = {r["lambda"]: r.asDict() for r in fit.summary().collect()}
+    assert set(short) == set(long) == {1.0, 1.2}
+    for point, row in long.items():
+        assert {k: v if isinstance(v, (int, bool)) or v is None else pytest.approx(v, rel=1e-9, abs=1e-12) for k, v in row.items()} == short[point]
