@@ -91,8 +91,8 @@ def test_eigenvectors_of_few_nodes_are_those_of_many(spark, monkeypatch):
     nodes = spark.range(90).selectExpr("id * 7 AS node")
     want = np.sort(np.linalg.eigvalsh(a))[::-1][:3]
     parts = {}
-    for within in (0, 1 << 16):
-        monkeypatch.setattr(eigenvectors, "WITHIN", within)
+    for within in (0, 1 << 16):  # the first has more entries than one task takes
+        monkeypatch.setattr(eigenvectors, "ENTRIES", within)
         values, residuals, table = eigenvectors.leading(entries, nodes, 3, 1e-9)
         rows = {r.node: np.array(r.vector) for r in table.collect()}
         assert np.abs(values - want).max() < 1e-9 and residuals.max() <= 1e-9 and set(rows) == {7 * k for k in range(90)} and np.abs([rows[7 * k] for k in range(80, 90)]).max() < 1e-6
